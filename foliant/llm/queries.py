@@ -19,12 +19,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import simhash
+
+    linked = simhash.fingerprint_components(_docs(spark, sf_dir))
+    return linked.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import quality
 
     return quality.score(_docs(spark, sf_dir)).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
