@@ -73,6 +73,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_docs(spark, sf_dir)).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_reply_trees, op8_mixing, op9_quality_rules)}
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import line_templates
+
+    told = line_templates.report(_docs(spark, sf_dir))
+    return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_reply_trees, op8_mixing, op9_quality_rules, op10_line_templates)}
 
 ORACLE_SQL: dict[str, str] = {}
