@@ -30,6 +30,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import decontamination
+
+    return decontamination.overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import reply_trees as trees
 
@@ -80,6 +86,6 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op6_reply_trees, op8_mixing, op9_quality_rules, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_decontamination, op6_reply_trees, op8_mixing, op9_quality_rules, op10_line_templates)}
 
 ORACLE_SQL: dict[str, str] = {}
