@@ -30,6 +30,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import ctw
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ctw.score(_docs(spark, sf_dir), held_out=held_out)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import decontamination
 
@@ -86,6 +93,6 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_decontamination, op6_reply_trees, op8_mixing, op9_quality_rules, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op6_reply_trees, op8_mixing, op9_quality_rules, op10_line_templates)}
 
 ORACLE_SQL: dict[str, str] = {}
