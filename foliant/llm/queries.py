@@ -73,6 +73,13 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import langid
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return langid.identify(_docs(spark, sf_dir), held_out=held_out)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import mixing
 
@@ -93,6 +100,6 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op6_reply_trees, op8_mixing, op9_quality_rules, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op6_reply_trees, op7_language_id, op8_mixing, op9_quality_rules, op10_line_templates)}
 
 ORACLE_SQL: dict[str, str] = {}
