@@ -43,6 +43,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import suffix_dedup
+
+    return suffix_dedup.digests(_docs(spark, sf_dir))
+
+
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import reply_trees as trees
 
@@ -100,6 +106,6 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op6_reply_trees, op7_language_id, op8_mixing, op9_quality_rules, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op5_suffix_dedup, op6_reply_trees, op7_language_id, op8_mixing, op9_quality_rules, op10_line_templates)}
 
 ORACLE_SQL: dict[str, str] = {}
