@@ -76,17 +76,22 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1, score: str = "score", m
     m = messages.select("tree", "node", "parent", F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"))
     known = m.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
     m = m.join(known, (m.parent == known.pn) & m.tree.eqNullSafe(known.pt), "left").select("tree", "node", F.col("pn").alias("up"), "score")
-    # `up` is the 2^k-th ancestor, total and steps cover the messages from node to before it
+    # `up` is the 2^k-th ancestor, total and steps cover the messages from node to before it.
+    # A round works on the messages that had an ancestor in the last one; the others are done.
     jumps = [tools.stage(m.select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))]
     n = jumps[0].count()
-    while 1 << (len(jumps) - 1) <= n and jumps[-1].where("up is not null").limit(1).count():
-        near = jumps[-1]
-        far = near.select(F.col("node").alias("fn"), F.col("up").alias("fu"), F.col("total").alias("ft"), F.col("steps").alias("fs"))
+    done = jumps[0].where("up is null")
+    while 1 << (len(jumps) - 1) <= n:
+        near = jumps[-1].where("up is not null")
+        if not near.limit(1).count():
+            break
+        far = near.union(done).select(F.col("node").alias("fn"), F.col("up").alias("fu"), F.col("total").alias("ft"), F.col("steps").alias("fs"))
         joined = near.join(far, near.up == far.fn, "left")
         jumps.append(tools.stage(joined.select("tree", "node", F.col("fu").alias("up"), (F.col("total") + F.coalesce("ft", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("fs", F.lit(0))).alias("steps"))))
+        done = done.union(jumps[-1].where("up is null"))
     inner = jumps[0].where("up is not null").select(F.col("up").alias("node")).distinct()
     value = F.col("total") / F.col("steps") if mean else F.col("total")
-    leaves = jumps[-1].where("up is null").join(inner, "node", "left_anti").withColumn("value", value)
+    leaves = done.join(inner, "node", "left_anti").withColumn("value", value)
     order = Window.partitionBy("tree").orderBy(F.desc("value"), F.desc("steps"), "node")
     best = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
     path = best.select("tree", F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
