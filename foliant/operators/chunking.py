@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliant.functions import fixed
 from foliant.functions import text as T
@@ -106,5 +107,5 @@ def spread(df: DataFrame, order: list[str], size: int) -> DataFrame:
     if n <= size:
         return df
     wanted = df.sparkSession.range(size).select(F.floor(F.col("id").cast("double") * n / size).alias("__at"))
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(df.schema.add("__at", "long"))
+    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(StructType([*df.schema, StructField("__at", LongType())]))
     return numbered.join(F.broadcast(wanted), "__at", "left_semi").drop("__at")

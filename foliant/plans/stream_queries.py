@@ -1 +1,101 @@
+"""Structured Streaming queries over events. Each runs all there is (availableNow) into a table
+under the session's shared folder and returns that table; each equals a batch twin in SQL."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from foliant.plans.text_queries import query
+
+LIMIT, WINDOW = 2, 3600
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path = f"{sf_dir}/events.parquet"
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(fs_path).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all there is into Parquet (exactly once) and reads it back."""
+    at = _folder(stream.sparkSession)
+    writer = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state")
+    writer.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def limited(stream: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """event_id, user_id, bucket, allowed with a counter of each (user, bucket) as state.
+
+    A counter is a number; it is dropped when its window has passed by event time. Within a micro-batch requests are
+    taken in order of time, between batches in order of arrival.
+    """
+
+    def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        used = state.get[0] if state.exists else 0
+        rows["allowed"] = [used + i < limit for i in range(len(rows))]
+        state.update((min(limit, used + len(rows)),))
+        state.setTimeoutTimestamp(max((int(key[1]) + WINDOW) * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows[["event_id", "user_id", "bucket", "allowed"]]
+
+    d = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    seconds = F.unix_seconds("ts")
+    keyed = d.withColumn("bucket", seconds - F.pmod(seconds, F.lit(WINDOW)))
+    return keyed.groupBy("user_id", "bucket").applyInPandasWithState(decide, "event_id long, user_id long, bucket long, allowed boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, (floor(epoch(ts))::BIGINT // {WINDOW}) * {WINDOW} AS bucket, ts FROM events)
+SELECT event_id, user_id, bucket, row_number() OVER (PARTITION BY user_id, bucket ORDER BY ts, event_id) <= {LIMIT} AS allowed FROM e""")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_table(limited(events(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_waitlist_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sign-up of each user and kind; the keys seen are the state."""
+    return to_table(events(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
+
+
+@query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows with a watermark; an idempotent sink keeps each batch's updates and the
+    last update of a window is its count."""
+    stream = events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "2 hours")
+    counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    at = _folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces its own folder
+        batch.select(F.col("w.start").alias("hour"), "event_type", "n").write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/rows")
+    return rows.groupBy("hour", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-22 00:00:00' GROUP BY event_type""")
+def stream_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows within the retention are carried over, older ones fall away as they stream by."""
+    kept = to_table(events(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-22").cast("timestamp_ntz")).select("event_id", "event_type"))
+    return kept.groupBy("event_type").agg(F.count("*").alias("kept"))

@@ -134,8 +134,8 @@ def first_content_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.content_chapters(chunking.chunks(_docs(spark, sf_dir), BUDGET))
 
 
-@query(f"""WITH sized AS (SELECT doc_id, {WORDS.format('text')} AS words FROM documents), eligible AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM sized WHERE words >= 120)
-SELECT doc_id, words FROM eligible WHERE n <= 12 OR at IN (SELECT floor(i * n::DOUBLE / 12)::BIGINT FROM range(12) r(i))""")
+@query(f"""WITH sized AS (SELECT doc_id, {WORDS.format('text')} AS words FROM documents), eligible AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM sized WHERE words >= 120)
+SELECT doc_id, words FROM eligible WHERE n <= 12 OR pos IN (SELECT floor(i * n::DOUBLE / 12)::BIGINT FROM range(12) r(i))""")
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.word_count(F.col("text")).alias("words"))
     return chunking.spread(d.where(F.col("words") >= fixed.EVAL_MIN_WORDS), ["doc_id"], 12)
