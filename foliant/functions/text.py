@@ -15,6 +15,7 @@ from foliant.functions import fixed
 
 #: JavaScript's white space, which Java's \s is only a part of.
 WS = "[\\t\\n\\x0B\\f\\r \\u00A0\\uFEFF\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+WS_CHARS = "\t\n\x0b\x0c\r \u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: ASCII word boundaries before and after (Java's \b knows Unicode).
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: Texts without characters beyond this are composed already.

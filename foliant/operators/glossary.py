@@ -14,11 +14,13 @@ _TERM = r"(?<![A-Za-z0-9_])" + fixed.PROPER_NOUN + r"(?:(?<=[A-Za-z0-9_])(?![A-Z
 def occurrences(docs: DataFrame, book: str, doc_id: str, text: str = "text") -> DataFrame:
     """book, doc_id, pos, term, initial: every candidate and whether it opens a sentence or line."""
     clean = T.strip_tags(F.col(text))
-    parts = F.split(F.regexp_replace(clean, _TERM, "\u0001$1\u0002"), "\u0001")
-    hit = docs.select(book, doc_id, F.posexplode(F.arrays_zip(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("hit"), parts.alias("before"))).alias("pos", "x"))
+    marked = docs.select(book, doc_id, F.split(F.regexp_replace(clean, _TERM, "\u0001$1\u0002"), "\u0001").alias("parts"))
+    pairs = F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("hit"), F.get("parts", i).alias("before")))
+    hit = marked.select(book, doc_id, F.posexplode(pairs).alias("pos", "x"))
     before = F.replace(F.col("x.before"), F.lit("\u0002"), F.lit(""))
-    gap = F.regexp_extract(before, f"({T.WS}*)$", 1)
-    last = F.right(F.regexp_replace(before, f"{T.WS}+$", ""), F.lit(1))
+    bare = F.rtrim(before, F.lit(T.WS_CHARS))
+    gap = F.substr(before, F.length(bare) + 1)
+    last = F.right(bare, F.lit(1))
     initial = (last == "") | gap.contains("\n") | F.lit(fixed.SENTENCE_END).contains(last)
     return hit.where(F.col("x.hit").isNotNull()).select(book, doc_id, "pos", F.substring_index("x.hit", "\u0002", 1).alias("term"), initial.alias("initial"))
 
@@ -37,7 +39,9 @@ def top_terms(counted: DataFrame, book: str, limit: int = fixed.TERM_LIMIT) -> D
 
     Ties go to the earlier first place. The limit is the report's size.
     """
-    openers = counted.where(is_opener() & ~F.col("term").contains(" ")).groupBy(book).agg(F.collect_set("term").alias("openers"))
+    # both branches need all counts and filter on them, so the counts are shuffled once and reused
+    lone = F.col("first").isNotNull() & F.when(is_opener(), ~F.col("term").contains(" ")).otherwise(False)
+    openers = counted.where(lone).groupBy(book).agg(F.collect_set("term").alias("openers"))
     kept = counted.where(~is_opener() & (F.col("term").contains(" ") | (F.col("n") >= fixed.TERM_MIN_COUNT)))
     words = F.split("term", " ")
     o = F.coalesce("openers", F.array().cast("array<string>"))

@@ -42,10 +42,10 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def limited(stream: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """event_id, user_id, bucket, allowed with a counter of each (user, bucket) as state.
+    """event_id, user_id, bucket, allowed with the counters of each user's open windows as state.
 
-    A counter is a number; it is dropped when its window has passed by event time. Within a micro-batch requests are
-    taken in order of time, between batches in order of arrival.
+    Counters go when their window has passed by event time. Within a micro-batch requests are taken
+    in order of time, between batches in order of arrival.
     """
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,16 +53,19 @@ def limited(stream: DataFrame, limit: int = LIMIT) -> DataFrame:
             state.remove()
             return
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        used = state.get[0] if state.exists else 0
-        rows["allowed"] = [used + i < limit for i in range(len(rows))]
-        state.update((min(limit, used + len(rows)),))
-        state.setTimeoutTimestamp(max((int(key[1]) + WINDOW) * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows[["event_id", "user_id", "bucket", "allowed"]]
+        used = dict(zip(*state.get)) if state.exists else {}
+        before = rows["bucket"].map(used).fillna(0) + rows.groupby("bucket").cumcount()
+        for bucket, n in rows["bucket"].value_counts().items():
+            used[int(bucket)] = min(limit, used.get(int(bucket), 0) + int(n))
+        used = {b: n for b, n in used.items() if (b + WINDOW) * 1000 > state.getCurrentWatermarkMs()}
+        state.update((list(used), list(used.values())))
+        state.setTimeoutTimestamp(max((max(used, default=0) + WINDOW) * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.assign(allowed=before < limit)[["event_id", "user_id", "bucket", "allowed"]]
 
     d = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
     seconds = F.unix_seconds("ts")
     keyed = d.withColumn("bucket", seconds - F.pmod(seconds, F.lit(WINDOW)))
-    return keyed.groupBy("user_id", "bucket").applyInPandasWithState(decide, "event_id long, user_id long, bucket long, allowed boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, bucket long, allowed boolean", "buckets array<long>, used array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @query(f"""WITH e AS (SELECT event_id, user_id, (floor(epoch(ts))::BIGINT // {WINDOW}) * {WINDOW} AS bucket, ts FROM events)
