@@ -72,13 +72,13 @@ class _Tree(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
+def _written(parts: list) -> str:
+    return "".join(part if isinstance(part, str) else _written(part[1]) for part in parts)
+
+
 def _inner(node: list) -> str:
-    out = []
-    for part in node[1][1:] if node[0] else node[1]:
-        out.append(part if isinstance(part, str) else part[1][0] + _inner(part))
-    inner = "".join(out)
-    end = f"</{node[0]}>"
-    return inner.removesuffix(end) if node[0] else inner
+    """What lies between an element's tags."""
+    return _written(node[1][1:]).removesuffix(f"</{node[0]}>")
 
 
 def blocks_of(html: str) -> list[str]:
@@ -92,8 +92,7 @@ def blocks_of(html: str) -> list[str]:
         for part in node[1]:
             if isinstance(part, list):
                 if part[0] in fixed.BLOCK_TAGS and not part[2]:
-                    closed = part if part[1][-1] == f"</{part[0]}>" else [part[0], [*part[1], f"</{part[0]}>"], False]
-                    out.append(_inner(closed))
+                    out.append(_inner(part))
                 else:
                     walk(part)
 
