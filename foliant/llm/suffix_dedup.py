@@ -45,6 +45,7 @@ class Repeat:
     seed: int = 64
     piece: int = 2_000_000  # bytes hashed together
     part_rows: int = 20_000  # anchors to a part of the exchange
+    hot_seeds: int = 256  # most seeds to broadcast
 
 
 _powers: list[np.ndarray] = []
@@ -92,6 +93,13 @@ def anchors(texts: list[bytes], rule: Repeat) -> tuple[np.ndarray, np.ndarray, n
     return text, at - (ends - sizes)[text], h[at].view(np.int64)
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _pieces(texts: list[bytes], rule: Repeat) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (text, offset, bytes) of bounded size; pieces of a text overlap by length - 1."""
     part, size = [], 0
@@ -339,7 +347,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     counts = rows.where(F.col("n_bytes") >= rule.length).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for part in _pieces(texts, rule):
@@ -352,8 +360,12 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     long_ones = d.where(F.col("n_bytes") >= rule.length)
     places = long_ones.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, place long, h long")
     places = tools.stage(places.distinct())
-    again = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = places.join(again, "h").groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
+    again = tools.stage(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    # a seed that holds over 1 / hot_seeds of all places is one of at most hot_seeds, which are
+    # broadcast, so its places are found where they lie; the others meet in a shuffle
+    hot = F.broadcast(again.where(F.col("n") * rule.hot_seeds > places.count()).select("h"))
+    rest = places.join(hot, "h", "left_anti").join(again.select("h"), "h", "left_semi")
+    wanted = places.join(hot, "h", "left_semi").unionByName(rest).groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
     wanted = wanted.join(counts, ["t1", "t2"]).select("t1", "t2", "first", "places")
     texts = d.join(wanted.withColumnRenamed("t1", "u1").withColumnRenamed("t2", "u2"), (d.t1 == F.col("u1")) & (d.t2 == F.col("u2")) & d.doc_id.eqNullSafe(F.col("first")))
     texts = tools.stage(texts.select("t1", "t2", "text", "places"))
@@ -391,7 +403,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     spans = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("place", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), (F.col("n") > 1).alias("copied"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             out = []
             for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 size, own = len(text.encode("utf-8", "surrogatepass")), []
