@@ -43,7 +43,7 @@ _HEAD = struct.Struct("<HHHqq")  # shared prefix, bytes that follow, suffix byte
 class Repeat:
     length: int = 400
     seed: int = 64
-    piece: int = 2_000_000  # bytes hashed together
+    piece: int = 1_000_000  # bytes hashed together; any size finds the same
     part_rows: int = 20_000  # anchors to a part of the exchange
     hot_seeds: int = 256  # most seeds to broadcast
 
@@ -57,8 +57,13 @@ def _rolling(flat: np.ndarray, k: int) -> np.ndarray:
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)], dtype=np.uint64) for p in (np.uint64(_P), np.uint64(_P_INVERSE))]
-    sums = np.r_[np.uint64(0), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], dtype=np.uint64)]
-    h = (sums[k:] - sums[: n - k + 1]) * _powers[1][: n - k + 1]
+    x = flat.astype(np.uint64)
+    x += np.uint64(1)
+    x *= _powers[0][:n]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(x, out=sums[1:])
+    h = np.subtract(sums[k:], sums[: n - k + 1], out=x[: n - k + 1])
+    h *= _powers[1][: n - k + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
