@@ -11,9 +11,10 @@ distinct fingerprints, so chains of neighbours in an entry link a group in linea
 many copies it has.
 
 `near_duplicates` is the filter: word-set fingerprints of 256 bits find candidates through
-eight segments with balls of radius one, and five-word-shingle fingerprints verify that the
-similarity is 0.8 or more. Entries of large groups are split by salt and linked by neighbours
-and first members, never by all pairs.
+eight segments with balls of radius one, and bands of shingle minima find those whose differences
+lie together. Five-word-shingle fingerprints drop candidates that are far beyond the limit, and the
+rest are verified by the Jaccard similarity of their shingle sets, 0.8 or more. Entries of large
+groups are split by salt and linked by neighbours and first members, never by all pairs.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated
 rows are copies of each other; ties are settled by the smaller doc_id; an empty table gives an
@@ -133,26 +134,63 @@ def hexed(fp: Column) -> Column:
 # ---- the near-duplicate filter -------------------------------------------------------------
 
 SEGMENTS, SEGMENT_BITS, VERIFY_WORDS = 8, 32, 2
+#: 16 bands of 4 minima: 0.9998 of the pairs at a similarity of 0.8 share one.
+BANDS, BAND_ROWS = 16, 4
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MARKS = re.compile(r"[^\w\s]+")
 
 
-def _max_distance(similarity: float, bits: int) -> int:
-    """Bits that differ at a shingle similarity: cos = 2j / (1 + j) on sets of equal size."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def _max_distance(similarity: float, bits: int, deviations: float = 6) -> int:
+    """Bits within which pairs of a shingle similarity lie: the mean and six standard deviations.
+
+    The mean is an angle: cos = 2j / (1 + j) on sets of equal size.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def _plain_words(text: str | None) -> list[bytes]:
+    return _MARKS.sub("", (text or "").lower()).encode("utf-8", "surrogatepass").split()
+
+
+def _shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """Hashes of the distinct k-word shingles, sorted."""
+    return np.unique(hashes(list(set(shingles(words, k)))))
+
+
+def _bands(groups: list[np.ndarray]) -> np.ndarray:
+    """BANDS hashes of BAND_ROWS minima each, per group of hashes; empty groups are alike."""
+    out = np.zeros((len(groups), BANDS), np.uint64)
+    full = [i for i, g in enumerate(groups) if len(g)]
+    if not full:
+        return out
+    for begin in range(0, len(full), 64):
+        some = full[begin : begin + 64]
+        flat = np.concatenate([groups[i] for i in some])
+        starts = np.r_[0, np.cumsum([len(groups[i]) for i in some])[:-1]]
+        for j in range(BANDS):
+            key = np.zeros(len(some), np.uint64)
+            for factor in _FACTORS[j]:
+                key = (key ^ np.minimum.reduceat(flat * factor, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            out[some, j] = key
+    return out
 
 
-def _two_prints(texts: list[str | None], k: int) -> np.ndarray:
-    """Per text: 4 words of the word-set fingerprint, VERIFY_WORDS of the k-shingle one."""
+def _prints(texts: list[str | None], k: int) -> np.ndarray:
+    """Per text: 4 words of the word-set fingerprint, VERIFY_WORDS of the k-shingle one, the bands, the number of shingles and a hash of them all."""
     wordsets, shingled = [], []
     for text in texts:
-        words = _MARKS.sub("", (text or "").lower()).encode("utf-8", "surrogatepass").split()
+        words = _plain_words(text)
         wordsets.append(hashes(list(set(words))))
-        shingled.append(hashes(list(set(shingles(words, k)))))
-    return np.hstack([fingerprints(wordsets, SEGMENTS * SEGMENT_BITS // 64), fingerprints(shingled, VERIFY_WORDS)])
+        shingled.append(_shingle_set(words, k))
+    sizes = np.array([len(s) for s in shingled], np.uint64)[:, None]
+    whole = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in shingled], np.uint64)[:, None]
+    return np.hstack([fingerprints(wordsets, SEGMENTS * SEGMENT_BITS // 64), fingerprints(shingled, VERIFY_WORDS), _bands(shingled), sizes, whole])
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """Table entries (entry, id): each segment's value, and the values one set bit above it.
+    """Table entries (entry, id): each segment's value, the values one set bit above it, each band.
 
     Of two values one bit apart the lower meets the upper's own value, so half a ball will do.
     """
@@ -164,7 +202,9 @@ def _entries(classes: DataFrame) -> DataFrame:
     flips = F.filter(F.array(*(F.lit(1 << i) for i in range(SEGMENT_BITS))), lambda m: F.col("v").bitwiseAND(m) == 0)
     ball = F.concat(F.array(F.lit(0).cast("long")), flips)
     one = one.select("id", "s", "v", F.explode(ball).alias("flip"))
-    return one.select("id", F.col("v").bitwiseXOR(F.col("flip")).bitwiseXOR(F.shiftleft(F.col("s").cast("long"), 32)).alias("entry"))
+    balls = one.select("id", F.col("v").bitwiseXOR(F.col("flip")).bitwiseXOR(F.shiftleft(F.col("s").cast("long"), 32)).alias("entry"))
+    keys = F.array(*(F.xxhash64(F.lit(SEGMENTS + j), F.col(f"m{j}")) for j in range(BANDS)))
+    return balls.union(classes.select("id", F.explode(keys).alias("entry")))
 
 
 def _candidates(classes: DataFrame, per_salt: int = 1000) -> DataFrame:
@@ -180,40 +220,60 @@ def _candidates(classes: DataFrame, per_salt: int = 1000) -> DataFrame:
     return inside.union(outer).where("a < b").distinct()
 
 
-def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text_hash and group of every row; equal (doc_id, text) rows stay repeated.
 
-    group is the hash of one text of the group. Texts equal after lowering letters and dropping
-    marks have equal fingerprints and form one class before any search.
+    group is the hash of one text of the group. Texts with equal shingles after lowering letters and
+    dropping marks form one class before any search.
     """
     n = SEGMENTS * SEGMENT_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                prints = _by_slices(batch, lambda texts: _two_prints(texts, k)).view(np.int64)
+                prints = _by_slices(batch, lambda texts: _prints(texts, k)).view(np.int64)
                 arrays = [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(p)) for p in prints.T)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = ["doc_id", "text_hash", *(f"w{i}" for i in range(n)), *(f"v{i}" for i in range(VERIFY_WORDS))]
+    names = ["doc_id", "text_hash", *(f"w{i}" for i in range(n)), *(f"v{i}" for i in range(VERIFY_WORDS)), *(f"m{i}" for i in range(BANDS)), "size", "id"]
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    marked = slim.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
-    prints = names[2:]
-    marked = tools.stage(marked.withColumn("id", F.xxhash64(*prints)))
-    classes = tools.stage(marked.groupBy("id").agg(*(F.min(p).alias(p) for p in prints)))
-    pairs = _candidates(classes)
-    left = classes.select(F.col("id").alias("a"), *(F.col(f"v{i}").alias(f"a{i}") for i in range(VERIFY_WORDS)))
-    right = classes.select(F.col("id").alias("b"), *(F.col(f"v{i}").alias(f"b{i}") for i in range(VERIFY_WORDS)))
-    far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(VERIFY_WORDS)), F.lit(0))
-    links = pairs.join(left, "a").join(right, "b").where(far <= _max_distance(similarity, 64 * VERIFY_WORDS)).select("a", "b")
+    marked = tools.stage(slim.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:])))
+    prints = names[2:-1]
+    classes = tools.stage(marked.groupBy("id").agg(F.min("text_hash").alias("text_hash"), *(F.min(p).alias(p) for p in prints)))
+    known = ["size", *(f"v{i}" for i in range(VERIFY_WORDS))]
+    left = classes.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in known))
+    right = classes.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in known))
+    far = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in known[1:]), F.lit(0))
+    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
+    pairs = _candidates(classes).join(left, "a").join(right, "b").where(sizes & (far <= _max_distance(similarity, 64 * VERIFY_WORDS)))
+    links = _verified(slim, classes, tools.stage(pairs.select("a", "b")), k, similarity, broadcast_rows)
     roots = components(links).withColumnRenamed("root", "group")
     return marked.join(roots, marked.id == roots.node, "left").select("doc_id", "text_hash", F.coalesce("group", "id").alias("group"))
 
 
+def _verified(slim: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, similarity: float, broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity; only their texts are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = pa.array([_shingle_set(_plain_words(text), k).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), own], ["id", "shingles"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = tools.stage(classes.join(ids, "id").select("id", F.col("text_hash").alias("__hash")))
+    wanted = tools.broadcast_if_small(wanted, broadcast_rows)
+    texts = slim.join(wanted, slim.text_hash == F.col("__hash")).select("id", "text")
+    sets = tools.stage(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """The documents without near copies: of each group the row of the smallest doc_id stays."""
-    groups = tools.stage(duplicate_groups(docs, doc_id, text, k, similarity))
+    groups = tools.stage(duplicate_groups(docs, doc_id, text, k, similarity, broadcast_rows))
     key = F.struct(F.col("doc_id"), F.col("text_hash"))
     best = groups.groupBy("group").agg(F.min(key).alias("best"))
     losers = groups.join(best, "group").where(key != F.col("best"))

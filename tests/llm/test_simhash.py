@@ -93,6 +93,27 @@ def test_one_document_of_each_group_stays(spark, limit):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([1, *first.values()])
 
 
+def jaccard(x, y, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_near_the_limit_are_decided_by_shingle_sets(spark):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for g in range(160):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        if g % 2:  # differences that lie together
+            other = words[: 120 - rng.randrange(12, 40)]
+        else:
+            other = near_copy(rng, words, rng.randrange(1, 6)).split()
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        pairs.append(jaccard(*(t for _, t in rows[-2:])) >= 0.8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    assert [2 * g + 1 not in kept for g in range(160)] == pairs and 40 < sum(pairs) < 120
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 == simhash.fingerprint_components(docs).count()
