@@ -3,10 +3,12 @@
 Tokens with digits become a wildcard. A line's leaf in the tree is its token count and its leading
 tokens; in a leaf, lines that agree with its commonest line at most positions share that line's
 template (the rest vote again, a fixed number of rounds; what is left stands for itself). A
-template is boilerplate when it recurs with at least `min_contexts` different lines before it and
-as many after it, counted over all documents, and its lines are then dropped everywhere.
-Asking for different neighbours tells boilerplate from copies of a whole document, whose lines
-recur with the same neighbours: copies are left for near-duplicate search, which keeps one.
+template is boilerplate when it recurs in at least `min_contexts` different documents that are no
+copies, or with as many different lines before it and after it, and its lines are then dropped
+everywhere. A document is a copy when templates that recur in `min_contexts` different documents
+hold more than `max_shared` of its tokens; copies are no evidence and are left for near-duplicate
+search, which keeps one. So the lines of a block of any length count, though they recur with the
+same neighbours.
 
 Only hashes are shuffled, but for the lines of leaves that hold several lines. A template in a
 third of all documents is counted by (template, neighbour) before it is counted by template.
@@ -34,7 +36,8 @@ class Tree:
     min_generalised: int = 8  # shorter lines have no variable fields but digits
     min_agreement: float = 0.7  # share of equal positions that joins a template
     rounds: int = 3  # templates voted per leaf
-    min_contexts: int = 5  # different neighbours on either side
+    min_contexts: int = 5  # different documents, or different neighbours on either side
+    max_shared: float = 0.5  # share of recurring tokens beyond which a document is a copy
     broadcast_rows: int = 500_000
 
 
@@ -50,20 +53,22 @@ def _lines(text: Column) -> Column:
 
 
 def _exploded(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
-    """One row per line with words: doc, h (masked line), before, after, leaf, line."""
+    """One row per line with words: doc, total (tokens of doc), pos, h (masked line), before, after, leaf, line, n_tokens."""
     d = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc"), F.filter(_lines(F.col(text)), lambda x: x.rlike(tools.WORD)).alias("lines"))
     d = d.withColumn("lines", F.transform("lines", _masked))
+    joined = F.array_join("lines", " ")
+    d = d.withColumn("total", F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
     d = d.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("n", F.size("lines"))
     edge = F.array(F.when(F.col("n") > 1, F.col("doc")))
     before = F.concat(edge, F.slice("h", F.lit(1), F.greatest(F.col("n") - 1, F.lit(0))))
     after = F.concat(F.slice("h", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))), edge)
     zipped = F.arrays_zip(F.col("h").alias("h"), before.alias("before"), after.alias("after"), F.col("lines").alias("line"))
-    d = d.select("doc", F.explode(zipped).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.before").alias("before"), F.col("x.after").alias("after"), F.col("x.line").alias("line"))
+    d = d.select("doc", "total", F.posexplode(zipped).alias("pos", "x")).select("doc", "total", "pos", F.col("x.h").alias("h"), F.col("x.before").alias("before"), F.col("x.after").alias("after"), F.col("x.line").alias("line"))
     n_tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     n_fields = (F.length("line") - F.length(F.replace("line", F.lit("<*>"), F.lit("")))) / 3
     d = d.withColumn("n_tokens", n_tokens).where(F.col("n_tokens") - n_fields >= tree.min_words)
     leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", tree.depth))
-    return d.withColumn("leaf", F.when(F.col("n_tokens") >= tree.min_generalised, leaf)).drop("n_tokens")
+    return d.withColumn("leaf", F.when(F.col("n_tokens") >= tree.min_generalised, leaf))
 
 
 def _generalised(docs: DataFrame, lines: DataFrame, text: str, tree: Tree) -> DataFrame:
@@ -97,10 +102,19 @@ def boilerplate(docs: DataFrame, text: str = "text", tree: Tree = Tree()) -> Dat
     for c in ("h", "before", "after"):  # neighbours are compared by template too
         of = known.select(F.col("h").alias(f"{c}_h"), F.col("template").alias(f"{c}_t"))
         lines = lines.join(of, F.col(c) == F.col(f"{c}_h"), "left")
-    marked = lines.select("doc", "h", *(F.coalesce(f"{c}_t", c).alias(n) for c, n in (("h", "t"), ("before", "b"), ("after", "a"))))
-    seen = marked.groupBy("t").agg(F.count_distinct("b").alias("nb"), F.count_distinct("a").alias("na"))
-    recurring = tools.stage(seen.where((F.col("nb") >= tree.min_contexts) & (F.col("na") >= tree.min_contexts)).select("t"))
-    return marked.join(tools.broadcast_if_small(recurring, tree.broadcast_rows), "t").select("doc", "h").distinct()
+    marked = lines.select("doc", "pos", "h", "total", "n_tokens", *(F.coalesce(f"{c}_t", c).alias(n) for c, n in (("h", "t"), ("before", "b"), ("after", "a"))))
+    seen = marked.groupBy("t").agg(*(F.count_distinct(c).alias(f"n_{c}") for c in ("b", "a", "doc")))
+    around = (F.col("n_b") >= tree.min_contexts) & (F.col("n_a") >= tree.min_contexts)
+    common = F.col("n_doc") >= tree.min_contexts
+    recurring = tools.stage(seen.select("t", around.alias("around"), common.alias("common")).where("around or common"))
+    hits = tools.stage(marked.join(tools.broadcast_if_small(recurring, tree.broadcast_rows), "t").select("doc", "pos", "h", "t", "total", "n_tokens", "around", "common"))
+    own = tools.stage(hits.where("common").select("doc", "pos", "t", "total", "n_tokens").distinct())  # repeated texts once
+    shared = own.groupBy("doc").agg(F.sum("n_tokens").alias("shared"), F.first("total").alias("total"))
+    originals = tools.stage(shared.where(F.col("shared") <= tree.max_shared * F.col("total")).select("doc"))
+    evidence = own.join(tools.broadcast_if_small(originals, tree.broadcast_rows), "doc", "left_semi").groupBy("t").agg(F.count_distinct("doc").alias("n"))
+    told = tools.stage(evidence.where(F.col("n") >= tree.min_contexts).select("t"))
+    by_document = hits.join(tools.broadcast_if_small(told, tree.broadcast_rows), "t").select("doc", "h")
+    return hits.where("around").select("doc", "h").union(by_document).distinct()
 
 
 def _dropped(docs: DataFrame, text: str, tree: Tree) -> DataFrame:

@@ -83,6 +83,25 @@ def test_equals_brute_force(spark, limit):
         assert r.n_dropped == (0 if r.kept == docs[r.doc_id] else len(lines) - len(want[r.doc_id].split("\n")))
 
 
+def test_blocks_of_several_lines_go_and_copies_stay(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("bcdfghklmnprst") for _ in range(6)) for _ in range(n))
+    block = [line(9), line(12), line(7)]
+    bodies = [[line(14) for _ in range(6)] for _ in range(12)]
+    docs = [b[:3] + block + b[3:] if i % 2 else b + block for i, b in enumerate(bodies)]
+    base = [line(14) for _ in range(20)]
+    near = []
+    for i in range(8):  # near copies, each with two lines of its own
+        own = list(base)
+        own[2 * i], own[19 - i] = line(14), line(14)
+        near.append(own)
+    texts = ["\n".join(d) for d in docs + near] + ["\n".join(docs[0])] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in lt.drop_lines(df).collect()}
+    assert [got[i] for i in range(12)] == bodies and got[22] == bodies[0]
+    assert [got[12 + i] for i in range(8)] == near
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lt.drop_lines(none).count() == 0 == lt.report(none).count()
