@@ -6,11 +6,14 @@ hashes of all training positions are joined to them inside the scan's tasks, and
 the item is laid over the document without gaps: a stretch of `stretch` tokens (the whole item if
 it is shorter) in which at least `agreement` of the tokens are equal is an overlap.
 
+The masks miss nothing that this rule accepts: MASKS holds for every length of stretch a family of which, wherever the
+allowed substitutions lie, one mask fits between them (the tests enumerate all placements).
+
 The benchmark is a query set of any size: it is dealt into blocks of bounded size by hash, each
 block is indexed and broadcast, and each block is a pass over the documents. Nothing is shuffled.
 
-Tokens are lower-cased words without marks. Defined cases: null and empty texts overlap nothing; items
-of fewer than `min_item` tokens are too common to count and are skipped; equal items are reported
+Tokens are lower-cased words without marks. Defined cases: null and empty texts overlap nothing, and so do items without a token; items
+of fewer than five tokens overlap only documents that consist of them; equal items are reported
 each; repeated documents are judged alike; empty tables give empty results (no benchmark: all
 documents are clean); other columns pass through `clean` untouched.
 """
@@ -28,16 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Masks of span 11 that keep 7 of the tokens.
-MASKS = ("11011001011", "10110110101", "11100101101")
+#: By tokens of the stretch: masks of which one keeps clear of any fifth of the tokens (rounded down).
+MASKS = {
+    5: ("111", "1101"),
+    6: ("1111", "11011"),
+    7: ("11011",),
+    8: ("11111", "111011"),
+    9: ("111011",),
+    10: ("11111", "111011", "11010011"),
+    11: ("1101011", "1110011"),
+    12: ("11111", "111011"),
+    13: ("11101011", "11001111"),
+}
+SHORTEST, STRETCH, AGREEMENT = min(MASKS), max(MASKS), 0.8
 _MARKS = re.compile(r"[^\w\s]+")
 
 
 @dataclass(frozen=True)
 class Overlap:
-    stretch: int = 13
-    agreement: float = 0.8
-    min_item: int = 5
     block_bytes: int = 4_000_000
 
 
@@ -72,20 +83,25 @@ def seed_hashes(t: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Index:
-    """Seed hashes of a block of items, sorted, by mask."""
+    """Seed hashes of a block of items, sorted, by mask; items too short for a mask by all their tokens."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rule: Overlap):
+    def __init__(self, items: list[tuple[int, str | None]]):
         hasher = Hasher()
-        texts = [(i, hasher(tokens(t))) for i, t in items]
-        texts = [(i, t) for i, t in texts if len(t) >= rule.min_item]
-        self.rule, self.ids, self.texts = rule, [i for i, _ in texts], [t for _, t in texts]
-        short = {len(t) for t in self.texts if len(t) < len(MASKS[0])}
+        texts = [(i, t) for i, t in ((i, hasher(tokens(t))) for i, t in items) if len(t)]
+        self.ids, self.texts = [i for i, _ in texts], [t for _, t in texts]
+        self.whole: dict[bytes, list[int]] = {}
+        of: dict[str, list[int]] = {}
+        for k, t in enumerate(self.texts):
+            if len(t) < SHORTEST:
+                self.whole.setdefault(t.tobytes(), []).append(k)
+            for mask in MASKS.get(min(len(t), STRETCH), ()):
+                of.setdefault(mask, []).append(k)
         self.masks = {}
-        for mask in (*MASKS, *("1" * n for n in sorted(short))):
-            of = [(k, seed_hashes(t, mask)) for k, t in enumerate(self.texts) if len(mask) == len(MASKS[0]) or len(t) == len(mask)]
-            h = np.concatenate([x for _, x in of]) if of else np.empty(0, np.uint64)
-            item = np.repeat([k for k, _ in of], [len(x) for _, x in of]).astype(np.int64)
-            at = np.concatenate([np.arange(len(x)) for _, x in of]) if of else np.empty(0, np.int64)
+        for mask, own in of.items():
+            seeds = [seed_hashes(self.texts[k], mask) for k in own]
+            h = np.concatenate(seeds)
+            item = np.repeat(np.array(own), [len(x) for x in seeds])
+            at = np.concatenate([np.arange(len(x)) for x in seeds])
             order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << 22, bool)
             seen[(h >> np.uint64(42)).astype(np.int64)] = True
@@ -104,23 +120,23 @@ class Index:
 
     def overlaps(self, t: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """Per item: start, tokens and equal tokens of its largest overlap with the document."""
-        best: dict[int, tuple[int, int, int]] = {}
+        best = {k: (0, len(t), len(t)) for k in self.whole.get(t.tobytes(), ())} if len(t) else {}
         for k, start in self.hits(t):
             item = self.texts[k]
             a, b = max(0, -start), min(len(item), len(t) - start)
-            need = min(self.rule.stretch, len(item))
+            need = min(STRETCH, len(item))
             if b - a < need:
                 continue
             same = item[a:b] == t[start + a : start + b]
             sums = np.r_[0, np.cumsum(same)]
-            good = np.flatnonzero(sums[need:] - sums[:-need] >= math.ceil(self.rule.agreement * need))
+            good = np.flatnonzero(sums[need:] - sums[:-need] >= math.ceil(AGREEMENT * need))
             if len(good):
                 covered = np.zeros(b - a + 1, np.int64)
                 np.add.at(covered, good, 1)
                 np.add.at(covered, good + need, -1)
                 inside = np.cumsum(covered)[:-1] > 0
                 now = (int(start + a + good[0]), int(inside.sum()), int(same[inside].sum()))
-                if k not in best or (now[2], -now[0]) > (best[k][2], -best[k][0]):
+                if k not in best or (now[2], -now[0], now[1]) > (best[k][2], -best[k][0], best[k][1]):
                     best[k] = now
         return {self.ids[k]: v for k, v in best.items()}
 
@@ -135,7 +151,7 @@ def _scan(texts: list[str | None], index: Index, hasher: Hasher, at_most: int =
         words = [tokens(x) for x in texts[begin : i + 1]]
         ends = np.cumsum([len(w) for w in words])
         flat = hasher([w for doc in words for w in doc])
-        maybe = np.zeros(len(words), bool)
+        maybe = np.array([len(w) < SHORTEST for w in words])
         for mask, (_, _, _, seen) in index.masks.items():
             h = seed_hashes(flat, mask)
             where = np.flatnonzero(seen[(h >> np.uint64(42)).astype(np.int64)])
@@ -161,7 +177,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     kinds = slim.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     found = None
     for block in _blocks(benchmark, item_id, "text", rule):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, rule))
+        index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
@@ -180,7 +196,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", rule: Overlap = Overlap()) -> DataFrame:
     """The documents that overlap no item, with their columns."""
     for block in _blocks(benchmark, item_id, "text", rule):
-        index, at = docs.sparkSession.sparkContext.broadcast(Index(block, rule)), docs.columns.index(text)
+        index, at = docs.sparkSession.sparkContext.broadcast(Index(block)), docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
