@@ -2,7 +2,8 @@
 
 Tokens with digits become a wildcard. A line's leaf in the tree is its token count and its leading
 tokens; in a leaf, lines that agree with its commonest line at most positions share that line's
-template (the rest vote again, a fixed number of rounds; what is left stands for itself). A
+template, the rest vote again, and so on until every line has a template. A round elects several
+templates of a leaf at once, four times as many in each round, so rounds are few however many templates a leaf holds. A
 template is boilerplate when it recurs in at least `min_contexts` different documents that are no
 copies, or with as many different lines before it and after it, and its lines are then dropped
 everywhere. A document is a copy when templates that recur in `min_contexts` different documents
@@ -10,7 +11,8 @@ hold more than `max_shared` of its tokens; copies are no evidence and are left f
 search, which keeps one. So the lines of a block of any length count, though they recur with the
 same neighbours.
 
-Only hashes are shuffled, but for the lines of leaves that hold several lines. A template in a
+Only hashes are shuffled, but for the distinct lines of leaves that hold several; those of a hot leaf are
+compared with its elected templates in a join whose large side Spark may split. A template in a
 third of all documents is counted by (template, neighbour) before it is counted by template.
 
 Defined cases: null texts stay null and have no lines; lines without a word are kept and are nobody's
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import _tools as tools
@@ -35,10 +37,9 @@ class Tree:
     min_words: int = 4  # shorter lines are never dropped
     min_generalised: int = 8  # shorter lines have no variable fields but digits
     min_agreement: float = 0.7  # share of equal positions that joins a template
-    rounds: int = 3  # templates voted per leaf
+    elected: int = 16  # templates of a leaf in the first round; results don't depend on it
     min_contexts: int = 5  # different documents, or different neighbours on either side
     max_shared: float = 0.5  # share of recurring tokens beyond which a document is a copy
-    broadcast_rows: int = 500_000
 
 
 def _masked(line: Column) -> Column:
@@ -76,20 +77,30 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, tree: Tree) -> Da
     several = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
     several = tools.stage(several.where((F.col("n") >= tree.min_contexts) & (F.col("low") != F.col("high"))).select("leaf"))
     # only documents with a line in such a leaf are read again
-    having = tools.stage(lines.join(tools.broadcast_if_small(several, tree.broadcast_rows), "leaf").select(F.col("doc").alias("__doc")).distinct())
-    having = tools.broadcast_if_small(having, tree.broadcast_rows)
+    having = tools.stage(lines.join(tools.broadcast_if_small(several), "leaf").select(F.col("doc").alias("__doc")).distinct())
+    having = tools.broadcast_if_small(having)
     again = docs.join(having, F.xxhash64(F.coalesce(docs[text], F.lit(""))) == having["__doc"], "left_semi")
-    texts = _exploded(again, text, tree).join(tools.broadcast_if_small(several, tree.broadcast_rows), "leaf")
-    left = tools.stage(texts.groupBy("leaf", "h").agg(F.count("*").alias("n"), F.first("line").alias("line")))
-    found = []
-    for turn in range(tree.rounds):
-        votes = left.groupBy("leaf").agg(F.max_by("line", F.struct("n", "h")).alias("pattern"))
-        a, b = F.split("line", " "), F.split("pattern", " ")
-        same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        voted = tools.stage(left.join(votes, "leaf").withColumn("joins", same >= tree.min_agreement * F.size(a)))
-        found.append(voted.where("joins").select("h", F.xxhash64("leaf", "pattern").alias("template")))
-        left = voted.where("not joins").select("leaf", "h", "n", "line")
-    every = found[0]
+    texts = _exploded(again, text, tree).join(tools.broadcast_if_small(several), "leaf")
+    left = tools.stage(texts.groupBy("leaf", "h").agg(F.count("*").alias("n"), F.min("line").alias("line")).withColumn("tokens", F.split("line", " ")))
+
+    def agrees(a: Column, b: Column) -> Column:
+        same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        return same >= tree.min_agreement * F.size(a)
+
+    found, elected = [], tree.elected
+    while left.limit(1).count():
+        place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("n"), "line"))
+        top = left.withColumn("place", place).where(F.col("place") <= elected)
+        by_place = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "tokens"))).alias("top"))
+        # a line is elected unless it agrees with one elected before it
+        none = F.array().cast("array<array<string>>")
+        ballot = F.aggregate("top", none, lambda won, x: F.when(F.exists(won, lambda w: agrees(w, x["tokens"])), won).otherwise(F.array_append(won, x["tokens"])))
+        votes = tools.stage(by_place.select("leaf", ballot.alias("patterns")))
+        first = F.get(F.filter("patterns", lambda p: agrees(p, F.col("tokens"))), F.lit(0))
+        voted = tools.stage(left.join(tools.broadcast_if_small(votes), "leaf").withColumn("pattern", first).drop("patterns"))
+        found.append(voted.where("pattern is not null").select("h", F.xxhash64("leaf", F.array_join("pattern", " ")).alias("template")))
+        left, elected = voted.where("pattern is null").drop("pattern"), 4 * elected
+    every = found[0] if found else left.select("h", F.col("h").alias("template"))
     for f in found[1:]:
         every = every.union(f)
     return tools.stage(every)
@@ -98,7 +109,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, tree: Tree) -> Da
 def boilerplate(docs: DataFrame, text: str = "text", tree: Tree = Tree()) -> DataFrame:
     """(doc, h): the masked lines to drop of every text, both as hashes."""
     lines = tools.stage(_exploded(docs, text, tree).drop("line"))
-    known = tools.broadcast_if_small(_generalised(docs, lines, text, tree), tree.broadcast_rows)
+    known = tools.broadcast_if_small(_generalised(docs, lines, text, tree))
     for c in ("h", "before", "after"):  # neighbours are compared by template too
         of = known.select(F.col("h").alias(f"{c}_h"), F.col("template").alias(f"{c}_t"))
         lines = lines.join(of, F.col(c) == F.col(f"{c}_h"), "left")
@@ -107,23 +118,22 @@ def boilerplate(docs: DataFrame, text: str = "text", tree: Tree = Tree()) -> Dat
     around = (F.col("n_b") >= tree.min_contexts) & (F.col("n_a") >= tree.min_contexts)
     common = F.col("n_doc") >= tree.min_contexts
     recurring = tools.stage(seen.select("t", around.alias("around"), common.alias("common")).where("around or common"))
-    hits = tools.stage(marked.join(tools.broadcast_if_small(recurring, tree.broadcast_rows), "t").select("doc", "pos", "h", "t", "total", "n_tokens", "around", "common"))
+    hits = tools.stage(marked.join(tools.broadcast_if_small(recurring), "t").select("doc", "pos", "h", "t", "total", "n_tokens", "around", "common"))
     own = tools.stage(hits.where("common").select("doc", "pos", "t", "total", "n_tokens").distinct())  # repeated texts once
     shared = own.groupBy("doc").agg(F.sum("n_tokens").alias("shared"), F.first("total").alias("total"))
     originals = tools.stage(shared.where(F.col("shared") <= tree.max_shared * F.col("total")).select("doc"))
-    evidence = own.join(tools.broadcast_if_small(originals, tree.broadcast_rows), "doc", "left_semi").groupBy("t").agg(F.count_distinct("doc").alias("n"))
+    evidence = own.join(tools.broadcast_if_small(originals), "doc", "left_semi").groupBy("t").agg(F.count_distinct("doc").alias("n"))
     told = tools.stage(evidence.where(F.col("n") >= tree.min_contexts).select("t"))
-    by_document = hits.join(tools.broadcast_if_small(told, tree.broadcast_rows), "t").select("doc", "h")
+    by_document = hits.join(tools.broadcast_if_small(told), "t").select("doc", "h")
     return hits.where("around").select("doc", "h").union(by_document).distinct()
 
 
 def _dropped(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     """docs with __drop, the hashes of the masked lines that go (null: none)."""
-    pairs = tools.stage(boilerplate(docs, text, tree))
-    few = pairs.limit(tree.broadcast_rows + 1).count() <= tree.broadcast_rows
-    drops = pairs.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h").alias("__drop"))
+    pairs = boilerplate(docs, text, tree)
+    drops = tools.broadcast_if_small(tools.stage(pairs.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h").alias("__drop"))))
     own = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(F.broadcast(drops) if few else drops, own == drops["__doc"], "left").drop("__doc")
+    return docs.join(drops, own == drops["__doc"], "left").drop("__doc")
 
 
 def _kept(text: Column) -> Column:
