@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,10 +32,12 @@ def lower_bytes(text: str | None) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share; without one named, a folder of this machine if all tasks run on it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -53,9 +57,20 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting; larger tables keep their shuffle join.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its fixed columns, and what strings and arrays hold."""
+    fixed, more = 16 + 8 * len(df.columns), []
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            more.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif isinstance(f.dataType, (ArrayType, MapType)):
+            more.append(F.greatest(F.size(f.name), F.lit(0)) * 16)
+    return sum(more, F.lit(fixed)).cast("long")
 
-    df must be staged or cheap, since it is counted here (at most max_rows + 1 rows).
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only after measuring; larger tables keep their shuffle join.
+
+    df must be staged or cheap, since its bytes are summed here.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes else df

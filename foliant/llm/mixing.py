@@ -116,7 +116,7 @@ def _rounded(open_rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
 def copies(sized: DataFrame, seed: int = 17, **mix) -> DataFrame:
     """From doc_id, source, size: these, source_size, target and copies (0 to `most`)."""
     sized = tools.stage(sized.select("doc_id", "source", F.col("size").cast("long").alias("size")))
-    aims = tools.broadcast_if_small(tools.stage(targets(sized, **mix)), 200_000)
+    aims = tools.broadcast_if_small(tools.stage(targets(sized, **mix)))
     aims = aims.withColumnRenamed("source", "__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(aims, sized.source.eqNullSafe(aims["__source"])).drop("__source")

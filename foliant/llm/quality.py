@@ -27,8 +27,6 @@ class Rules:
     max_repeat_percent: int = 50
     #: a host goes when its shrunk failure rate is above this
     max_host_rate: float = 0.8
-    #: hosts up to this number are broadcast, more are joined by shuffle
-    broadcast_hosts: int = 200_000
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -99,7 +97,7 @@ def _judge(measured: DataFrame, host: str, prefix: str, rules: Rules) -> DataFra
     """Adds {prefix}kept; measured must be staged, since it is read twice."""
     verdicts = host_verdicts(measured, host, f"{prefix}base_failed", rules)
     bad = verdicts.where("host_rejected").select(F.col("host").alias(f"{prefix}__host"))
-    bad = tools.broadcast_if_small(bad, rules.broadcast_hosts).withColumn(f"{prefix}__bad", F.lit(True))
+    bad = tools.broadcast_if_small(bad).withColumn(f"{prefix}__bad", F.lit(True))
     joined = measured.join(bad, F.col(host) == F.col(f"{prefix}__host"), "left")
     kept = ~F.col(f"{prefix}base_failed") & F.col(f"{prefix}__bad").isNull()
     return joined.withColumn(f"{prefix}kept", kept).drop(f"{prefix}__host", f"{prefix}__bad")

@@ -47,12 +47,13 @@ def test_fingerprints_and_components_equal_brute_force(spark):
         assert (r.f, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
 
 
-def test_links_at_two_bits_in_any_segments(spark):
+@pytest.mark.parametrize("crowd", [64, 3, 1])
+def test_links_at_two_bits_in_any_segments(spark, crowd):
     rng = random.Random(3)
     base = rng.getrandbits(63)
     fps = {base} | {base ^ 1 << rng.randrange(63) for _ in range(20)} | {base ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63) for _ in range(50)}
     fps |= {rng.getrandbits(63) for _ in range(200)} | {base ^ 7 << 40}
-    links = simhash.ball_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    links = simhash.ball_links(spark.createDataFrame([(f,) for f in fps], "fp long"), crowd)
     roots = {r.node: r.root for r in components(links).collect()}
     want = brute_components(dict(zip(sorted(fps), sorted(fps))))
     assert {f: roots.get(f, f) for f in fps} == want
@@ -74,8 +75,8 @@ def near_copy(rng, words, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_one_document_of_each_group_stays(spark, limit):
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_one_document_of_each_group_stays(spark, crowd):
     rng = random.Random(1)
     texts, groups = [], []
     for g in range(12):
@@ -85,7 +86,7 @@ def test_one_document_of_each_group_stays(spark, limit):
             groups.append(g)
     rows = [(100 + i, t, "x") for i, t in enumerate(texts)] + [(1, None, "x"), (2, "", "x"), (100, texts[0], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
-    kept = simhash.near_duplicates(docs, broadcast_rows=limit)
+    kept = simhash.near_duplicates(docs, crowd=crowd)
     assert kept.columns == docs.columns
     first = {}
     for i, g in enumerate(groups):
@@ -98,6 +99,36 @@ def jaccard(x, y, k=5):
     return len(x & y) / len(x | y)
 
 
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_groups_equal_all_pairs(spark, crowd):
+    """Near copies of few texts around the limit, so that entries mix what is similar and what is not."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts += [near_copy(rng, words, rng.randrange(0, 7)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in simhash.duplicate_groups(docs, crowd=crowd).collect():
+        got.setdefault(r.group, set()).add(r.doc_id)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[top(i)] = top(j)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(top(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_pairs_near_the_limit_are_decided_by_shingle_sets(spark):
     rng = random.Random(5)
     rows, pairs = [], []
