@@ -11,6 +11,10 @@ of a seed; it knows every string's common prefix with the last one out, so no kn
 compared again, and hands out the common prefix of neighbours with the order. From these and
 the same on the left side follows how far each anchor's neighbourhood recurs.
 
+Beside the bytes, passages of `passage_words` words that occur in several documents are counted, since such a
+passage may have fewer than `length` bytes. It is found the same way: the least hash among the short word
+sequences of a window of words is its anchor, and windows whose anchor recurs are compared by their hash.
+
 Copies are never expanded: equal texts are one text with a count, and anchors with equal
 neighbourhoods one class with a count. Results go back to texts and rows by joins that Spark may split.
 
@@ -46,28 +50,40 @@ class Repeat:
     piece: int = 1_000_000  # bytes hashed together; any size finds the same
     part_rows: int = 20_000  # anchors to a part of the exchange
     hot_seeds: int = 256  # most seeds to broadcast
+    passage_words: int = 51
+    passage_seed: int = 16  # words
 
 
 _powers: list[np.ndarray] = []
 
 
-def _rolling(flat: np.ndarray, k: int) -> np.ndarray:
-    """Mixed 64-bit hash of the k bytes at every place."""
-    n = len(flat)
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)], dtype=np.uint64) for p in (np.uint64(_P), np.uint64(_P_INVERSE))]
+    return _powers
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _rolling(flat: np.ndarray, k: int) -> np.ndarray:
+    """Mixed 64-bit hash of the k bytes at every place."""
+    n = len(flat)
+    powers, inverse = _power(n)
     x = flat.astype(np.uint64)
     x += np.uint64(1)
-    x *= _powers[0][:n]
+    x *= powers[:n]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(x, out=sums[1:])
     h = np.subtract(sums[k:], sums[: n - k + 1], out=x[: n - k + 1])
-    h *= _powers[1][: n - k + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h
+    h *= inverse[: n - k + 1]
+    return _mix(h)
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -98,6 +114,64 @@ def anchors(texts: list[bytes], rule: Repeat) -> tuple[np.ndarray, np.ndarray, n
     return text, at - (ends - sizes)[text], h[at].view(np.int64)
 
 
+def passages(texts: list[bytes], rule: Repeat) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of words: text, first word, word of its anchor, the anchor's seed hash, the window's hash.
+
+    White space between words makes no difference.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    none = np.empty(0, np.int64)
+    if len(flat) < 2 * rule.passage_words - 1:
+        return none, none, none, none, none
+    ends = np.cumsum(sizes)
+    ink = (flat != 32) & ((flat < 9) | (flat > 13))
+    start = ink.copy()
+    start[1:] &= ~ink[:-1]
+    first = (ends - sizes)[sizes > 0]
+    start[first] = ink[first]
+    at = np.flatnonzero(start)
+    if len(at) < rule.passage_words:
+        return none, none, none, none, none
+    x = flat[ink].astype(np.uint64) + np.uint64(1)
+    bounds = np.r_[np.flatnonzero(start[ink]), len(x)]
+    x[bounds[:-1]] += np.uint64(256)
+    powers, inverse = _power(len(x) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(x * powers[: len(x)], dtype=np.uint64)]
+
+    def of(k: int) -> np.ndarray:
+        """Hash of the k words from every word on."""
+        return _mix((sums[bounds[k:]] - sums[bounds[:-k]]) * inverse[bounds[:-k]])
+
+    h, whole = of(rule.passage_seed), of(rule.passage_words)
+    ranked = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
+    least = (_sliding_least(ranked, rule.passage_words - rule.passage_seed + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+    text = np.searchsorted(ends, at, "right")
+    inside = np.flatnonzero(text[: len(least)] == text[rule.passage_words - 1 :])
+    origin = np.searchsorted(text, np.arange(len(texts)))[text[inside]]
+    anchor = least[inside]
+    return text[inside], inside - origin, anchor - origin, h[anchor].view(np.int64), whole[inside].view(np.int64)
+
+
+def _word_pieces(texts: list[bytes], rule: Repeat) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, words before, bytes) of bounded size; pieces of a text overlap by a window less a word."""
+    part, size, step = [], 0, max(1, rule.piece // 8)
+    for i, t in enumerate(texts):
+        if len(t) <= rule.piece:
+            own = [(0, t)]
+        else:
+            words = t.split()
+            own = [(k, b" ".join(words[k : k + step + rule.passage_words - 1])) for k in range(0, len(words), step)]
+        for offset, piece in own:
+            part.append((i, offset, piece))
+            size += len(piece)
+            if size >= rule.piece:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
 def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut small, so that few rows at a time become Python objects."""
     for batch in batches:
@@ -335,7 +409,8 @@ def _cut(text: str, spans: list, rule: Repeat) -> tuple[int, int, bytes]:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Repeat = Repeat()) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay)."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay), n_passages (maximal runs
+    of words covered by windows of rule.passage_words that other documents hold as well)."""
     return _removed(docs, doc_id, text, rule, "kept")
 
 
@@ -349,9 +424,13 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     d = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("t1"), F.xxhash64(body, F.lit(7)).alias("t2"), F.octet_length(body).cast("long").alias("n_bytes"))
     rows = d.select("doc_id", "t1", "t2", "n_bytes", *([F.sha2("text", 256).alias(want)] if want == "kept_sha256" else []))
     rows = tools.stage(rows)
-    counts = rows.where(F.col("n_bytes") >= rule.length).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    least = min(rule.length, 2 * rule.passage_words - 1)  # bytes of a text that may lose or share something
+    counts = rows.where(F.col("n_bytes") >= least).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(i: np.ndarray, place: np.ndarray, h: np.ndarray, worded: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(t1[i]), pa.array(t2[i]), pa.array(place), pa.array(h), pa.array(np.full(len(i), worded))], ["t1", "t2", "place", "h", "worded"])
+
         for batch in _few_rows(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -359,21 +438,30 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
                 owner, offset = np.array([p[0] for p in part]), np.array([p[1] for p in part])
                 k, at, h = anchors([p[2] for p in part], rule)
                 if len(k):
-                    i = owner[k]
-                    yield pa.RecordBatch.from_arrays([pa.array(t1[i]), pa.array(t2[i]), pa.array(at + offset[k]), pa.array(h)], ["t1", "t2", "place", "h"])
+                    yield rows(owner[k], at + offset[k], h, False)
+            for part in _word_pieces(texts, rule):
+                owner, offset = np.array([p[0] for p in part]), np.array([p[1] for p in part])
+                k, _, at, h, _ = passages([p[2] for p in part], rule)
+                if len(k):
+                    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (at[1:] != at[:-1])])
+                    yield rows(owner[k[new]], at[new] + offset[k[new]], h[new], True)
 
-    long_ones = d.where(F.col("n_bytes") >= rule.length)
-    places = long_ones.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, place long, h long")
+    long_ones = d.where(F.col("n_bytes") >= least)
+    places = long_ones.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, place long, h long, worded boolean")
     places = tools.stage(places.distinct())
     again = tools.stage(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     # a seed that holds over 1 / hot_seeds of all places is one of at most hot_seeds, which are
     # broadcast, so its places are found where they lie; the others meet in a shuffle
     hot = F.broadcast(again.where(F.col("n") * rule.hot_seeds > places.count()).select("h"))
     rest = places.join(hot, "h", "left_anti").join(again.select("h"), "h", "left_semi")
-    wanted = places.join(hot, "h", "left_semi").unionByName(rest).groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
-    wanted = wanted.join(counts, ["t1", "t2"]).select("t1", "t2", "first", "places")
+    wanted = places.join(hot, "h", "left_semi").unionByName(rest).groupBy("t1", "t2")
+    wanted = wanted.agg(*(F.collect_set(F.when(F.col("worded") == w, F.col("place"))).alias(c) for c, w in (("places", False), ("spots", True))))
+    wanted = wanted.join(counts, ["t1", "t2"]).select("t1", "t2", "first", "places", "spots")
     texts = d.join(wanted.withColumnRenamed("t1", "u1").withColumnRenamed("t2", "u2"), (d.t1 == F.col("u1")) & (d.t2 == F.col("u2")) & d.doc_id.eqNullSafe(F.col("first")))
-    texts = tools.stage(texts.select("t1", "t2", "text", "places"))
+    texts = tools.stage(texts.select("t1", "t2", "text", "places", "spots"))
+    shared = _shared_passages(texts.where("size(spots) > 0").select("t1", "t2", "text", "spots"), rule)
+    worded = places.where("worded").select("t1", "t2", F.lit(True).alias("worded")).distinct()
+    texts = texts.where("size(places) > 0").select("t1", "t2", "text", "places")
     n_anchors = texts.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, -(-n_anchors // rule.part_rows))
 
@@ -428,10 +516,11 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
 
     joined = texts.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans")
     result = tools.stage(joined.mapInArrow(cut, f"t1 long, t2 long, n_removed long, n_spans long, cut {'string' if want == 'kept_sha256' else 'binary'}"))
-    told = counts.drop("first").join(result, ["t1", "t2"], "left")
+    told = counts.drop("first").join(result, ["t1", "t2"], "left").join(worded, ["t1", "t2"], "left").join(shared, ["t1", "t2"], "left")
     if want == "kept":
         rows = d.select("doc_id", "t1", "t2", "n_bytes", F.col("text").cast("binary").alias("kept"))
-    all_gone = F.coalesce(F.col("copies") > 1, F.lit(False))
+    copied = F.coalesce(F.col("copies") > 1, F.lit(False))
+    all_gone = copied & (F.col("n_bytes") >= rule.length)
     empty = F.lit(hashlib.sha256(b"").hexdigest()) if want == "kept_sha256" else F.lit(b"")
     return rows.join(told, ["t1", "t2"], "left").select(
         "doc_id",
@@ -439,4 +528,30 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, empty).otherwise(F.coalesce("cut", want)).alias(want),
+        F.when(copied & F.coalesce("worded", F.lit(False)), F.lit(1)).otherwise(F.coalesce("n_passages", F.lit(0))).cast("long").alias("n_passages"),
     )
+
+
+def _shared_passages(texts: DataFrame, rule: Repeat) -> DataFrame:
+    """(t1, t2, n_passages) of the texts with a window of words that another text has, from (t1, t2, text, spots)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few_rows(batches):
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            spots = [np.sort(np.array(s, np.int64)) for s in batch.column(3).to_pylist()]
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part in _word_pieces(texts, rule):
+                owner, offset = np.array([p[0] for p in part]), np.array([p[1] for p in part])
+                k, first, at, _, whole = passages([p[2] for p in part], rule)
+                if not len(k):
+                    continue
+                ends = np.searchsorted(k, np.arange(len(part)), "right")
+                mine = np.concatenate([np.isin(at[a:b] + offset[i], spots[owner[i]]) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends))])
+                i = owner[k[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(t1[i]), pa.array(t2[i]), pa.array(first[mine] + offset[k[mine]]), pa.array(whole[mine])], ["t1", "t2", "first", "h"])
+
+    found = tools.stage(texts.mapInArrow(windows, "t1 long, t2 long, first long, h long"))
+    common = found.groupBy("h").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select("h")
+    firsts = found.join(common, "h", "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_set("first")).alias("f"))
+    runs = F.size(F.filter("f", lambda x, i: (i == 0) | (x > F.get("f", i - 1) + rule.passage_words)))
+    return firsts.select("t1", "t2", runs.cast("long").alias("n_passages"))

@@ -64,6 +64,40 @@ def test_repeated_rows_and_production_length(spark):
         assert (r.n_removed, r.n_spans) == want[r.doc_id][1:3]
 
 
+def brute_passages(texts, k):
+    """Maximal runs of words covered by windows of k words that another row has too."""
+    words = [(t or "").split() for t in texts]
+    rows = {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - k + 1):
+            rows.setdefault(tuple(w[j : j + k]), set()).add(i)
+    out = []
+    for w in words:
+        gone = bytearray(len(w))
+        for j in range(len(w) - k + 1):
+            if len(rows[tuple(w[j : j + k])]) > 1:
+                gone[j : j + k] = b"\1" * k
+        out.append(sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1])))
+    return out
+
+
+@pytest.mark.parametrize("rule", [sd.Repeat(length=20, seed=6, piece=100, passage_words=7, passage_seed=3), sd.Repeat()])
+def test_passages_equal_brute_force(spark, rule):
+    rng = random.Random(4)
+    word = lambda: rng.choice("ab" if rng.random() < 0.2 else "cdefghijkl") * rng.randrange(1, 4)
+    k = rule.passage_words
+    pool = [" ".join(word() for _ in range(n)) for n in (k - 1, k, k + 1, 3 * k)]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.3 else " ".join(word() for _ in range(rng.randrange(3 * k))) for _ in range(rng.randrange(5))]
+        texts.append(rng.choice([" ", "\n\t", "  "]).join(parts))
+    texts += [None, "", " ", texts[0], texts[0], "a " * 4 * k, pool[1], pool[0], pool[0]]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spots string").repartition(4)
+    got = {r.doc_id: r.n_passages for r in sd.digests(docs, rule=rule).collect()}
+    want = brute_passages(texts, k)
+    assert sum(want) > 20 and [got[i] for i in range(len(texts))] == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=12), max_size=6))
 def test_merge_of_front_coded_runs(lists):
