@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from foliant.llm import oracles
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op5_suffix_dedup, op6_reply_trees, op7_language_id, op8_mixing, op9_quality_rules, op10_line_templates, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,0 +1,25 @@
+"""The registered queries of the corpus operators against their SQL twins, on the smallest tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from foliant.llm import oracles, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
+def test_query_equals_its_twin(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    twin = con.execute(oracles.ORACLE_SQL[name])
+    names = [c[0] for c in twin.description]
+    assert sorted(names) == columns
+    want = sorted((tuple(dict(zip(names, r))[c] for c in columns) for r in twin.fetchall()), key=repr)
+    assert want and sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == want
