@@ -47,11 +47,11 @@ _HEAD = struct.Struct("<HHHqq")  # shared prefix, bytes that follow, suffix byte
 class Repeat:
     length: int = 400
     seed: int = 64
-    piece: int = 1_000_000  # bytes hashed together; any size finds the same
+    piece: int = 300_000  # bytes hashed together; any size finds the same
     part_rows: int = 20_000  # anchors to a part of the exchange
     hot_seeds: int = 256  # most seeds to broadcast
     passage_words: int = 51
-    passage_seed: int = 16  # words
+    passage_seed: int = 10  # words
 
 
 _powers: list[np.ndarray] = []
@@ -172,7 +172,7 @@ def _word_pieces(texts: list[bytes], rule: Repeat) -> Iterator[list[tuple[int, i
         yield part
 
 
-def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches cut small, so that few rows at a time become Python objects."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -344,7 +344,7 @@ def reaches(runs: list[bytes], rule: Repeat) -> Iterator[tuple[int, int, int, in
     yield from solved()
 
 
-def _neighbourhoods(batches: Iterator[pa.RecordBatch], rule: Repeat, parts: int, flush: int = 24_000_000) -> Iterator[pa.RecordBatch]:
+def _neighbourhoods(batches: Iterator[pa.RecordBatch], rule: Repeat, parts: int, flush: int = 12_000_000) -> Iterator[pa.RecordBatch]:
     """From (t1, t2, text, places): member rows (t1, t2, place, c1, c2) and run rows (part, run)."""
     names = ["t1", "t2", "place", "c1", "c2", "part", "run"]
     seen: set[tuple[int, int]] = set()
@@ -428,31 +428,37 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     counts = rows.where(F.col("n_bytes") >= least).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(i: np.ndarray, place: np.ndarray, h: np.ndarray, worded: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(t1[i]), pa.array(t2[i]), pa.array(place), pa.array(h), pa.array(np.full(len(i), worded))], ["t1", "t2", "place", "h", "worded"])
-
         for batch in _few_rows(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            made = [(np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)]  # text, place, h, worded
             for part in _pieces(texts, rule):
                 owner, offset = np.array([p[0] for p in part]), np.array([p[1] for p in part])
                 k, at, h = anchors([p[2] for p in part], rule)
                 if len(k):
-                    yield rows(owner[k], at + offset[k], h, False)
+                    made.append((owner[k], at + offset[k], h, np.zeros(len(k), bool)))
             for part in _word_pieces(texts, rule):
                 owner, offset = np.array([p[0] for p in part]), np.array([p[1] for p in part])
                 k, _, at, h, _ = passages([p[2] for p in part], rule)
                 if len(k):
                     new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (at[1:] != at[:-1])])
-                    yield rows(owner[k[new]], at[new] + offset[k[new]], h[new], True)
-
+                    made.append((owner[k[new]], at[new] + offset[k[new]], h[new], np.ones(len(new), bool)))
+            text, place, h, worded = map(np.concatenate, zip(*made))
+            order = np.argsort(text, kind="stable")
+            ends = np.searchsorted(text[order], np.arange(len(texts) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order])) for x in (place, h, worded)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["t1", "t2", "place", "h", "worded"])
+            yield out.filter(pa.array(ends[1:] > ends[:-1]))
+
+    # a row for each text, so that its many places share one key
     long_ones = d.where(F.col("n_bytes") >= least)
-    places = long_ones.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, place long, h long, worded boolean")
-    places = tools.stage(places.distinct())
+    by_text = long_ones.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, place array<long>, h array<long>, worded array<boolean>")
+    by_text = tools.stage(by_text.dropDuplicates(["t1", "t2"]))
+    places = by_text.select("t1", "t2", F.explode(F.arrays_zip("place", "h", "worded")).alias("x")).select("t1", "t2", "x.*")
     again = tools.stage(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    n_places = by_text.agg(F.sum(F.size("h"))).first()[0] or 0
     # a seed that holds over 1 / hot_seeds of all places is one of at most hot_seeds, which are
     # broadcast, so its places are found where they lie; the others meet in a shuffle
-    hot = F.broadcast(again.where(F.col("n") * rule.hot_seeds > places.count()).select("h"))
+    hot = F.broadcast(again.where(F.col("n") * rule.hot_seeds > n_places).select("h"))
     rest = places.join(hot, "h", "left_anti").join(again.select("h"), "h", "left_semi")
     wanted = places.join(hot, "h", "left_semi").unionByName(rest).groupBy("t1", "t2")
     wanted = wanted.agg(*(F.collect_set(F.when(F.col("worded") == w, F.col("place"))).alias(c) for c, w in (("places", False), ("spots", True))))
@@ -460,7 +466,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     texts = d.join(wanted.withColumnRenamed("t1", "u1").withColumnRenamed("t2", "u2"), (d.t1 == F.col("u1")) & (d.t2 == F.col("u2")) & d.doc_id.eqNullSafe(F.col("first")))
     texts = tools.stage(texts.select("t1", "t2", "text", "places", "spots"))
     shared = _shared_passages(texts.where("size(spots) > 0").select("t1", "t2", "text", "spots"), rule)
-    worded = places.where("worded").select("t1", "t2", F.lit(True).alias("worded")).distinct()
+    worded = by_text.where(F.array_contains("worded", True)).select("t1", "t2", F.lit(True).alias("worded"))
     texts = texts.where("size(places) > 0").select("t1", "t2", "text", "places")
     n_anchors = texts.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, -(-n_anchors // rule.part_rows))
@@ -551,7 +557,7 @@ def _shared_passages(texts: DataFrame, rule: Repeat) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(t1[i]), pa.array(t2[i]), pa.array(first[mine] + offset[k[mine]]), pa.array(whole[mine])], ["t1", "t2", "first", "h"])
 
     found = tools.stage(texts.mapInArrow(windows, "t1 long, t2 long, first long, h long"))
-    common = found.groupBy("h").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select("h")
-    firsts = found.join(common, "h", "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_set("first")).alias("f"))
+    common = tools.stage(found.groupBy("h").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select("h"))
+    firsts = found.join(tools.broadcast_if_small(common), "h", "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_set("first")).alias("f"))
     runs = F.size(F.filter("f", lambda x, i: (i == 0) | (x > F.get("f", i - 1) + rule.passage_words)))
     return firsts.select("t1", "t2", runs.cast("long").alias("n_passages"))
