@@ -78,6 +78,10 @@ DAY_CAP_CENTS, MONTH_CAP_CENTS, JOB_CAP_CENTS = 2000, 10000, 500
 RATE_KEEP_DAYS, EVENT_KEEP_DAYS = 8, 30
 MAX_CLOCK_SKEW_SECONDS = 300
 
+# Display: seconds, minutes, hours beside minutes, hours alone; chunks a minute.
+ETA_UNITS = ("mp", "perc", "ó", "óra")
+SPEED_UNIT = "szakasz/perc"
+
 # Archives.
 MAX_ARCHIVE_BYTES, MAX_ENTRIES, MAX_UNCOMPRESSED = 32 * 1024 * 1024, 2000, 128 * 1024 * 1024
 XHTML_TYPES = ["application/xhtml+xml", "text/html"]

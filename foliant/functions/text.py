@@ -52,8 +52,26 @@ def visible_chars(c: Column) -> Column:
     return F.length(collapse(nfc(c))).cast("long")
 
 
+#: An inline tag, opening or closing.
+INLINE_TAG = rf"(?i)</?(?:{'|'.join(fixed.INLINE_TAGS)})(?![A-Za-z0-9_])[^>]*>"
+
+
+def protect(html: Column) -> Column:
+    """Struct of the text, its inline tags as ⟦i⟧, and of the tags."""
+    tags = F.regexp_extract_all(html, F.lit(f"({INLINE_TAG})"), 1)
+    rest = F.split(html, INLINE_TAG, -1)
+    marked = F.transform(F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))), lambda x, i: F.concat(F.lit(fixed.TOKEN_OPEN), i.cast("string"), F.lit(fixed.TOKEN_CLOSE), x))
+    return F.struct(F.concat(F.get(rest, F.lit(0)), F.array_join(marked, "")).alias("text"), tags.alias("tags"))
+
+
+def restore(text: Column, tags: Column) -> Column:
+    """Marks as their tags again; a mark without a tag vanishes."""
+    head, hits = _split(text, f"{fixed.TOKEN_OPEN}\\s*(\\d+)\\s*{fixed.TOKEN_CLOSE}")
+    return F.concat(head, F.array_join(F.transform(hits, lambda x: F.concat(F.coalesce(F.get(tags, x["index"]), F.lit("")), x["body"])), ""))
+
+
 def strip_inline(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?i)</?(?:{'|'.join(fixed.INLINE_TAGS)})(?![A-Za-z0-9])[^>]*>", "")
+    return F.regexp_replace(c, INLINE_TAG, "")
 
 
 def strip_tags(c: Column) -> Column:
@@ -126,7 +144,7 @@ def block_payload(parts: Column) -> Column:
 def _split(payload: Column, pattern: str) -> tuple[Column, Column]:
     """The text before the first mark; an array of (index, body) in order."""
     parts = F.split(F.regexp_replace(payload, pattern, "\u0001$1\u0002"), "\u0001")
-    hits = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.struct(F.substring_index(x, "\u0002", 1).cast("int").alias("index"), F.substring_index(x, "\u0002", -1).alias("body")))
+    hits = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.struct(F.substring_index(x, "\u0002", 1).try_cast("int").alias("index"), F.substring_index(x, "\u0002", -1).alias("body")))
     return parts[0], F.transform(hits, lambda x: F.struct(x["index"].alias("index"), x["body"].alias("body")))
 
 

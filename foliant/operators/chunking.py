@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from foliant.functions import fixed
 from foliant.functions import text as T
@@ -67,10 +66,15 @@ def tail(text: Column, n: int = fixed.CONTEXT_TAIL) -> Column:
 def previous_context(chunked: DataFrame, book: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """book, doc_id, ordinal, context: the end of the chunk before, across documents of a book.
 
-    Only the ends of texts are ordered.
+    Inside a document the chunk before is the one with the ordinal less by one. Only first chunks look into another
+    document, and of those only keys and ends are ordered: one row a document.
     """
     ends = chunked.select(book, doc_id, "ordinal", tail(T.collapse(F.col("chunk_text"))).alias("end"))
-    return ends.select(book, doc_id, "ordinal", F.lag("end").over(in_book_order(book, doc_id)).alias("context"))
+    inside = F.lag("end").over(Window.partitionBy(book, doc_id).orderBy("ordinal"))
+    own = ends.withColumn("context", inside)
+    last = ends.groupBy(book, doc_id).agg(F.max_by("end", "ordinal").alias("end"))
+    before = last.select(book, doc_id, F.lag("end").over(Window.partitionBy(book).orderBy(doc_id)).alias("before"))
+    return own.join(before, [book, doc_id]).select(book, doc_id, "ordinal", F.when(F.col("ordinal") == 0, F.col("before")).otherwise(F.col("context")).alias("context"))
 
 
 def first_chunks(chunked: DataFrame, book: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -101,11 +105,17 @@ def linked_words(html: Column) -> Column:
 def spread(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """`size` rows evenly spread over the order (all, if there are no more).
 
-    Positions come from a range-partitioned sort, not from a single task.
+    A range-partitioned sort deals the rows; a part's first place is the count of the parts before
+    it, so only the parts' counts are summed in one place.
     """
     n = df.count()
     if n <= size:
         return df
     wanted = df.sparkSession.range(size).select(F.floor(F.col("id").cast("double") * n / size).alias("__at"))
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(StructType([*df.schema, StructField("__at", LongType())]))
-    return numbered.join(F.broadcast(wanted), "__at", "left_semi").drop("__at")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col("__part").alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = dealt.withColumn("__nth", nth).join(F.broadcast(starts), F.col("__part") == F.col("part")).withColumn("__at", F.col("__start") + F.col("__nth") - 1)
+    return numbered.join(F.broadcast(wanted), "__at", "left_semi").select(*df.columns)

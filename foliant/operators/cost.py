@@ -46,16 +46,22 @@ def cents(usd_: Column) -> Column:
 
 
 def ceiling_cut(chunks: DataFrame, book: str, order: list[str], tokens: str, model: str, ceiling: float) -> DataFrame:
-    """book, n_chunks, n_done, ceiling_hit: work in order until the next chunk would pass the ceiling."""
-    w = Window.partitionBy(book).orderBy(*order)
-    upto = F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    run = chunks.select(book, F.row_number().over(w).alias("seq"), upto.alias("upto"))
-    over = usd(model, F.col("upto"), F.lit(0), F.col("upto")) > F.lit(ceiling)
-    return run.groupBy(book).agg(
-        F.count("*").alias("n_chunks"),
-        (F.coalesce(F.min(F.when(over, F.col("seq"))), F.count("*") + 1) - 1).cast("long").alias("n_done"),
-        F.coalesce(F.bool_or(over), F.lit(False)).alias("ceiling_hit"),
-    )
+    """book, n_chunks, n_done, ceiling_hit: work in order until the next chunk would pass the ceiling.
+
+    order names a document and a place in it. Documents are summed first, so a book's order is over one row
+    a document; only the document in which the ceiling is passed is looked into.
+    """
+    doc, *place = order
+    price = lambda upto: usd(model, upto, F.lit(0), upto)
+    sums = chunks.groupBy(book, doc).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n"))
+    upto = Window.partitionBy(book).orderBy(doc)
+    sums = sums.select(book, doc, "tokens", "n", F.sum("tokens").over(upto).alias("upto"), F.sum("n").over(upto).alias("done"))
+    over = F.when(price(F.col("upto")) > F.lit(ceiling), F.struct(F.col(doc), (F.col("upto") - F.col("tokens")).alias("before"), (F.col("done") - F.col("n")).alias("done")))
+    books = sums.groupBy(book).agg(F.sum("n").alias("n_chunks"), F.min(over).alias("at"))
+    crossing = books.where("at is not null").select(book, F.col(f"at.{doc}").alias(doc), "at.before", "at.done")
+    inside = chunks.join(crossing, [book, doc]).withColumn("upto", F.col("before") + F.sum(tokens).over(Window.partitionBy(book, doc).orderBy(*place)))
+    fitting = inside.groupBy(book).agg((F.max("done") + F.count(F.when(~(price(F.col("upto")) > F.lit(ceiling)), 1))).alias("n_fit"))
+    return books.join(fitting, book, "left").select(book, "n_chunks", F.coalesce("n_fit", "n_chunks").cast("long").alias("n_done"), F.col("at").isNotNull().alias("ceiling_hit"))
 
 
 def eta(done: Column, total: Column, mean_ms: Column, concurrency: Column) -> dict[str, Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foliant.functions import fixed
 from foliant.functions import text as T
 
+#: Characters of a term by which it meets texts.
+_HEAD = 4
 _TERM = r"(?<![A-Za-z0-9_])" + fixed.PROPER_NOUN + r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -62,11 +64,15 @@ def merge(base: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def missing_terms(pairs: DataFrame, glossary: DataFrame, key: str, source: str, target: str) -> DataFrame:
-    """(key, term) where the source has the term and the target lacks its rendering.
+    """(key, term) where the source has the term anywhere and the target lacks its rendering.
 
-    Terms are looked up by their first word, so rows meet only terms that may occur.
+    A term meets only texts that hold its first characters: each text is cut into its distinct pieces of
+    `_HEAD` characters, from every start, and these meet the heads of the terms. Shorter terms meet the pieces' own heads.
     """
-    first = F.explode(F.array_distinct(F.regexp_extract_all(F.col(source), F.lit("[A-Za-z]+"), 0))).alias("w")
-    terms = glossary.where("rendering <> ''").select("term", "rendering", F.regexp_extract("term", "[A-Za-z]+", 0).alias("w"))
-    met = pairs.select(key, source, target, first).join(terms, "w")
-    return met.where(F.col(source).contains(F.col("term")) & ~T.mentions(F.col(target), F.col("rendering"))).select(key, "term").distinct()
+    terms = glossary.where("rendering <> '' AND term <> ''").select("term", "rendering", F.substring("term", 1, _HEAD).alias("head")).distinct()
+    sizes = [r[0] for r in terms.select(F.length("head").alias("n")).distinct().collect()]  # at most _HEAD rows
+    s = F.col(source)
+    pieces = [F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i, n=n: F.substr(s, i, F.lit(n))) for n in sizes]
+    heads = F.array_distinct(F.flatten(F.array(*(F.when(F.length(s) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(sizes, pieces))))) if sizes else F.array().cast("array<string>")
+    met = pairs.select(key, source, target, F.explode(heads).alias("head")).join(terms, "head")
+    return met.where(s.contains(F.col("term")) & ~T.mentions(F.col(target), F.col("rendering"))).select(key, "term").distinct()

@@ -66,6 +66,64 @@ def reserve_credits(moves: DataFrame, user: str, order: list[str], grant: str, w
     return in_order(moves, user, order, lambda: {"left": 0}, step, "reserved", "boolean")
 
 
+def grant_purchases(purchases: DataFrame, transaction: str, user: str, product: str, credits: dict[str, int], at: str) -> DataFrame:
+    """`decision` on each purchase: applied (the first of its transaction), repeated, rebound (the transaction
+    belongs to another user or product), unknown (no such product); `credits` that it adds."""
+    worth = F.lit(None).cast("long")
+    for name, n in credits.items():
+        worth = F.when(F.col(product) == name, F.lit(n).cast("long")).otherwise(worth)
+    d = purchases.withColumn("__worth", worth)
+    first = d.where("__worth is not null").groupBy(transaction).agg(F.min_by(F.struct(F.col(user).alias("u"), F.col(product).alias("p"), F.col(at).alias("t")), at).alias("__first"))
+    j = d.join(first, transaction, "left")
+    same = (F.col(user) == F.col("__first.u")) & (F.col(product) == F.col("__first.p"))
+    decision = F.when(F.col("__worth").isNull(), "unknown").when(F.col(at) == F.col("__first.t"), "applied").when(same, "repeated").otherwise("rebound")
+    return j.withColumn("decision", decision).withColumn("credits", F.when(F.col("decision") == "applied", F.col("__worth")).otherwise(0)).drop("__worth", "__first")
+
+
+def credit_moves(moves: DataFrame, user: str, order: list[str]) -> DataFrame:
+    """`decision` on each move of a user: columns kind (grant, reserve, finalize, refund), job, quote, credits.
+
+    A reservation is reserved, repeated (it holds already), mismatched (its quote or credits differ from the
+    first), or short (the balance does not cover it); a refunded one may be reserved again. Settling acts on
+    reserved ones only. The state of a user is one entry a job.
+    """
+
+    def step(state: dict, row: dict) -> str:
+        kind, job = row["kind"], state["jobs"].get(row["job"])
+        if kind == "grant":
+            state["left"] += row["credits"]
+            return "granted"
+        if kind == "reserve":
+            if job and job["quote"] != (row["quote"], row["credits"]):
+                return "mismatched"
+            if job and job["status"] != "refund":
+                return "repeated"
+            if row["credits"] > state["left"]:
+                return "short"
+            state["left"] -= row["credits"]
+            state["jobs"][row["job"]] = {"quote": (row["quote"], row["credits"]), "status": "reserve"}
+            return "reserved"
+        if not job or job["status"] != "reserve":
+            return "ignored"
+        job["status"] = kind
+        if kind == "refund":
+            state["left"] += job["quote"][1]
+        return "refunded" if kind == "refund" else "finalized"
+
+    return in_order(moves, user, order, lambda: {"left": 0, "jobs": {}}, step, "decision", "string")
+
+
+def owned(jobs: DataFrame, user: str, who: str) -> DataFrame:
+    """Jobs of the user; what has no owner is nobody's."""
+    return jobs.where(F.col(user).isNotNull() & (F.col(user) != "") & (F.col(user) == who))
+
+
+def completed_translations(jobs: DataFrame) -> DataFrame:
+    """The latest finished full translation of each user, source and target that still has its result."""
+    done = jobs.where("sample = 0 AND status = 'done' AND result_key IS NOT NULL")
+    return done.groupBy("user", "source_hash", "target").agg(F.max_by("job", F.struct("finished_at", "job")).alias("job"))
+
+
 def claim_previews(requests: DataFrame, user: str, book: str, job: str, order: list[str], seconds: str, gone: str, limit: int = fixed.RECLAIMS, window: int = fixed.RECLAIM_SECONDS) -> DataFrame:
     """`decision` on a free sample of (user, book): claimed, same (the job that holds it), held
     (its result is there), moved (it is gone), or limited (too many moves in the window).

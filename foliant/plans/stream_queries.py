@@ -3,8 +3,6 @@ under the session's shared folder and returns that table; each equals a batch tw
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.plans.text_queries import query
+from foliant.sources import store
 
 LIMIT, WINDOW = 2, 3600
 
@@ -29,8 +28,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return store.folder(spark, "stream")
 
 
 def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -8,6 +8,7 @@ failed job; its size is tested before a byte of it is read.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -90,52 +91,56 @@ def package_path(members: dict[str, bytes]) -> str:
     return next(x.get("full-path") for x in container.iter() if x.tag.endswith("rootfile"))
 
 
-def unpack(archive: bytes | None, limits: Limits = Limits()) -> tuple[str, str | None, str | None, str | None, list[dict]]:
-    """status, package path, package document, title, entries (path, text) of one archive."""
+def package_parts(package: str) -> tuple[str | None, list[dict], list[str | None]]:
+    """Title, manifest items (id, href, media_type; the last of an id counts) and the spine's references."""
+    tree = ElementTree.fromstring(package)
+    local = lambda x: x.tag.rpartition("}")[2] if isinstance(x.tag, str) else ""
+    title = next((" ".join("".join(x.itertext()).split()) for x in tree.iter() if isinstance(x.tag, str) and x.tag.endswith("}title")), None)
+    items = {x.get("id"): {"id": x.get("id"), "href": x.get("href"), "media_type": x.get("media-type")} for x in tree.iter() if local(x) == "item"}
+    return title, list(items.values()), [x.get("idref") for x in tree.iter() if local(x) == "itemref"]
+
+
+def unpack(archive: bytes | None, limits: Limits = Limits()) -> tuple[str, str | None, str | None, str | None, list[dict], list[dict], list[str | None]]:
+    """status, package path, package document, title, entries (path, text), manifest, references of one archive."""
     status = admission(archive, limits)
     if status != "ok":
-        return status, None, None, None, []
+        return status, None, None, None, [], [], []
     try:
         members = _members(archive, limits)
         at = package_path(members)
         package = members[at].decode("utf-8")
-        title = next((" ".join("".join(x.itertext()).split()) for x in ElementTree.fromstring(package).iter() if x.tag.endswith("}title")), None)
+        title, items, refs = package_parts(package)
     except (KeyError, StopIteration, ElementTree.ParseError, UnicodeDecodeError, zipfile.BadZipFile, ValueError) as e:
-        return f"unreadable: {type(e).__name__}", None, None, None, []
+        return f"unreadable: {type(e).__name__}", None, None, None, [], [], []
     texts = [{"path": p, "content": b.decode("utf-8", "replace")} for p, b in members.items() if re.search(r"\.(x?html?|xml)$", p, re.I)]
-    return "ok", at, package, title, texts
+    return "ok", at, package, title, texts, items, refs
 
 
 def books(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per file: path, status, package_path, package, title, entries."""
+    """One row per file: path, status, package_path, package, title, entries, items, refs."""
+    columns = {"status": "string", "package_path": "string", "package": "string", "title": "string", "entries": "array<struct<path: string, content: string>>", "items": "array<struct<id: string, href: string, media_type: string>>", "refs": "array<string>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one archive in memory at a time
-                status, at, package, title, entries = unpack(batch.column(1)[i].as_py(), limits)
-                kinds = [pa.string()] * 4 + [pa.list_(pa.struct([("path", pa.string()), ("content", pa.string())]))]
-                values = [pa.array([v], k) for v, k in zip((status, at, package, title, entries), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *values], ["path", "status", "package_path", "package", "title", "entries"])
-
-    return files.select("path", "archive").mapInArrow(run, "path string, status string, package_path string, package string, title string, entries array<struct<path: string, content: string>>")
-
+                rows = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+                kinds = [pa.string()] * 4 + [rows("path", "content"), rows("id", "href", "media_type"), pa.list_(pa.string())]
+                values = [pa.array([v], k) for v, k in zip(unpack(batch.column(1)[i].as_py(), limits), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *values], ["path", *columns])
 
-def _attribute(tag: Column, name: str) -> Column:
-    found = F.regexp_extract(tag, f"(?s)\\s{name}\\s*=\\s*(\"([^\"]*)\"|'([^']*)')", 1)
-    return F.nullif(F.regexp_replace(found, "^.|.$", ""), F.lit(""))
+    return files.select("path", "archive").mapInArrow(run, "path string, " + ", ".join(f"{c} {k}" for c, k in columns.items()))
 
 
 def spine(opened: DataFrame) -> DataFrame:
     """path, spine_pos, item_id, href, media_type, content: the readable items in reading order.
 
-    References meet the manifest in a join inside the row's own arrays, then the entries.
+    References meet the manifest, then the entries.
     """
     ok = opened.where("status = 'ok'")
-    tags = lambda name: F.regexp_extract_all("package", F.lit(f"(?s)(<(?:[A-Za-z]+:)?{name}(?=[\\s/>])[^>]*>)"), 1)
     folder = F.when(F.col("package_path").contains("/"), F.regexp_replace("package_path", "/[^/]*$", "")).otherwise("")
-    refs = ok.select("path", F.posexplode(F.transform(tags("itemref"), lambda t: _attribute(t, "idref"))).alias("pos", "item_id"))
-    items = ok.select("path", folder.alias("folder"), F.explode(tags("item")).alias("tag"))
-    items = items.select("path", _attribute(F.col("tag"), "id").alias("item_id"), T.resolve_href(F.col("folder"), T.decode_entities(_attribute(F.col("tag"), "href"))).alias("href"), _attribute(F.col("tag"), "media-type").alias("media_type"))
+    refs = ok.select("path", F.posexplode("refs").alias("pos", "item_id"))
+    items = ok.select("path", folder.alias("folder"), F.explode("items").alias("i"))
+    items = items.select("path", F.col("i.id").alias("item_id"), T.resolve_href(F.col("folder"), F.col("i.href")).alias("href"), "i.media_type")
     entries = ok.select("path", F.explode("entries").alias("e")).select("path", F.col("e.path").alias("href"), "e.content")
     readable = items.where(F.col("media_type").isin(fixed.XHTML_TYPES))
     met = refs.join(readable, ["path", "item_id"]).join(entries, ["path", "href"])
@@ -154,6 +159,38 @@ def empty_books(opened: DataFrame) -> DataFrame:
     return opened.where("status = 'ok'").select("path").join(spine(opened).select("path"), "path", "left_anti").withColumn("status", F.lit(_EMPTY_SPINE))
 
 
+def written(chapters: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """path and archive of new books from (path, title, pos, href, content): a book's chapters in one row."""
+    books_ = chapters.groupBy("path").agg(F.min("title").alias("title"), F.sort_array(F.collect_list(F.struct("pos", "href", "content"))).alias("chapters"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = _archive(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([made], pa.binary())], ["path", "archive"])
+
+    return books_.mapInArrow(run, "path string, archive binary")
+
+
+def _archive(title: str | None, chapters: list[dict]) -> bytes:
+    package = ElementTree.Element("package", {"xmlns": "http://www.idpf.org/2007/opf", "version": "3.0"})
+    metadata = ElementTree.SubElement(package, "metadata", {"xmlns:dc": "http://purl.org/dc/elements/1.1/"})
+    ElementTree.SubElement(metadata, "dc:title").text = title or ""
+    manifest, order = ElementTree.SubElement(package, "manifest"), ElementTree.SubElement(package, "spine")
+    for k, c in enumerate(chapters):
+        ElementTree.SubElement(manifest, "item", {"id": f"c{k}", "href": c["href"], "media-type": fixed.XHTML_TYPES[0]})
+        ElementTree.SubElement(order, "itemref", {"idref": f"c{k}"})
+    container = '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>'
+    files = {_CONTAINER: container, "OEBPS/content.opf": ElementTree.tostring(package, "unicode"), **{posixpath.normpath(f"OEBPS/{c['href']}"): c["content"] for c in chapters}}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        still = lambda name: zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+        z.writestr(still("mimetype"), _MIMETYPE, zipfile.ZIP_STORED)
+        for name, text in files.items():
+            z.writestr(still(name), text.encode("utf-8", "surrogatepass"), zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 def rebuild(archive: bytes, replaced: dict[str, bytes], limits: Limits = Limits()) -> bytes:
     """The archive with entries replaced (or added); the type entry first and not compressed."""
     out = io.BytesIO()

@@ -6,7 +6,8 @@ own kind closes it; tags left open close with their parent; a leaf is a block wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.root = ["", [], False]
-        self.open, self.skipping = [self.root], 0
+        self.open, self.skipping, self.count = [self.root], 0, Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
@@ -34,16 +35,19 @@ class _Tree(HTMLParser):
         if self.skipping:
             return
         if tag in fixed.BLOCK_TAGS and tag == self.open[-1][0]:
-            self.open.pop()
+            self.close_last()
         if tag in _VOID:
             self.open[-1][1].append(self.get_starttag_text())
             return
         node = [tag, [self.get_starttag_text()], False]
         if tag in fixed.BLOCK_TAGS:
-            for parent in self.open:
+            for parent in reversed(self.open):
+                if parent[2]:  # and so have all above
+                    break
                 parent[2] = True
         self.open[-1][1].append(node)
         self.open.append(node)
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if not self.skipping:
@@ -53,14 +57,19 @@ class _Tree(HTMLParser):
         if tag in _SKIP:
             self.skipping = max(0, self.skipping - 1)
             return
-        if self.skipping or tag not in (n[0] for n in self.open[1:]):
+        if self.skipping or not self.count[tag]:
             return
         while True:
-            node = self.open.pop()
+            node = self.close_last()
             node[1].append(f"</{node[0]}>")
             if node[0] == tag:
                 return
 
+    def close_last(self) -> list:
+        node = self.open.pop()
+        self.count[node[0]] -= 1
+        return node
+
     def handle_data(self, data):
         if not self.skipping:
             self.open[-1][1].append(data)
@@ -72,13 +81,31 @@ class _Tree(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
-def _written(parts: list) -> str:
-    return "".join(part if isinstance(part, str) else _written(part[1]) for part in parts)
+def _written(node: list) -> str:
+    """The parts of an element and of all below it, in order."""
+    out, todo = [], [node]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            out.append(part)
+        else:
+            todo.extend(reversed(part[1]))
+    return "".join(out)
 
 
 def _inner(node: list) -> str:
     """What lies between an element's tags."""
-    return _written(node[1][1:]).removesuffix(f"</{node[0]}>")
+    return _written([node[0], node[1][1:]]).removesuffix(f"</{node[0]}>")
+
+
+def _elements(node: list, stop: Callable[[list], bool] = lambda n: False) -> Iterator[list]:
+    """Elements below the node in document order; nothing below those where stop holds."""
+    todo = [x for x in reversed(node[1]) if isinstance(x, list)]
+    while todo:
+        now = todo.pop()
+        yield now
+        if not stop(now):
+            todo.extend(x for x in reversed(now[1]) if isinstance(x, list))
 
 
 def blocks_of(html: str) -> list[str]:
@@ -86,26 +113,9 @@ def blocks_of(html: str) -> list[str]:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    out: list[str] = []
-
-    def walk(node: list) -> None:
-        for part in node[1]:
-            if isinstance(part, list):
-                if part[0] in fixed.BLOCK_TAGS and not part[2]:
-                    out.append(_inner(part))
-                else:
-                    walk(part)
-
     body = next((n for n in _elements(tree.root) if n[0] == "body"), tree.root)
-    walk(body)
-    return out
-
-
-def _elements(node: list) -> Iterator[list]:
-    for part in node[1]:
-        if isinstance(part, list):
-            yield part
-            yield from _elements(part)
+    leaf = lambda n: n[0] in fixed.BLOCK_TAGS and not n[2]
+    return [_inner(n) for n in _elements(body, leaf) if leaf(n)]
 
 
 def leaf_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
