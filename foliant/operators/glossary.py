@@ -71,8 +71,11 @@ def missing_terms(pairs: DataFrame, glossary: DataFrame, key: str, source: str,
     """
     terms = glossary.where("rendering <> '' AND term <> ''").select("term", "rendering", F.substring("term", 1, _HEAD).alias("head")).distinct()
     sizes = [r[0] for r in terms.select(F.length("head").alias("n")).distinct().collect()]  # at most _HEAD rows
-    s = F.col(source)
-    pieces = [F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i, n=n: F.substr(s, i, F.lit(n))) for n in sizes]
-    heads = F.array_distinct(F.flatten(F.array(*(F.when(F.length(s) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(sizes, pieces))))) if sizes else F.array().cast("array<string>")
+    s, none = F.col(source), F.array().cast("array<string>")
+
+    def pieces(n: int) -> Column:
+        return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n)))).otherwise(none)
+
+    heads = F.array_distinct(F.flatten(F.array(none, *map(pieces, sizes))))
     met = pairs.select(key, source, target, F.explode(heads).alias("head")).join(terms, "head")
     return met.where(s.contains(F.col("term")) & ~T.mentions(F.col(target), F.col("rendering"))).select(key, "term").distinct()

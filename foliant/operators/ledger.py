@@ -66,6 +66,41 @@ def reserve_credits(moves: DataFrame, user: str, order: list[str], grant: str, w
     return in_order(moves, user, order, lambda: {"left": 0}, step, "reserved", "boolean")
 
 
+def budget_moves(moves: DataFrame, month: str, order: list[str], day_cap: int = fixed.DAY_CAP_CENTS, month_cap: int = fixed.MONTH_CAP_CENTS) -> DataFrame:
+    """`decision` on each move of a month's budget: columns day, kind (ask, finalize, refund), job, cents.
+
+    An ask is acquired (it fits the day's and the month's cap), held (the job has it already, for the same
+    cents), or refused; after a refund a job may ask again. A finalized job uses its actual cents. What is kept of a
+    month is one entry a job that was acquired.
+    """
+
+    def used(state: dict, day: object, cents: int) -> None:
+        state["days"][day] = state["days"].get(day, 0) + cents
+        state["used"] += cents
+
+    def step(state: dict, row: dict) -> str:
+        job = state["jobs"].get(row["job"])
+        if row["kind"] == "ask":
+            if job:
+                return "held" if job["asked"] == row["cents"] else "refused"
+            if state["days"].get(row["day"], 0) + row["cents"] > day_cap or state["used"] + row["cents"] > month_cap:
+                return "refused"
+            used(state, row["day"], row["cents"])
+            state["jobs"][row["job"]] = {"day": row["day"], "asked": row["cents"], "open": True}
+            return "acquired"
+        if not job or not job["open"]:
+            return "ignored"
+        if row["kind"] == "refund":
+            used(state, job["day"], -job["asked"])
+            del state["jobs"][row["job"]]
+            return "refunded"
+        used(state, job["day"], row["cents"] - job["asked"])
+        job["open"] = False
+        return "finalized"
+
+    return in_order(moves, month, order, lambda: {"used": 0, "days": {}, "jobs": {}}, step, "decision", "string")
+
+
 def grant_purchases(purchases: DataFrame, transaction: str, user: str, product: str, credits: dict[str, int], at: str) -> DataFrame:
     """`decision` on each purchase: applied (the first of its transaction), repeated, rebound (the transaction
     belongs to another user or product), unknown (no such product); `credits` that it adds."""
@@ -244,3 +279,11 @@ def age(seconds: Column) -> Column:
     """Age as a label: now, seconds, minutes, hours, days."""
     n = lambda by, unit: F.concat(F.floor(seconds / by).cast("string"), F.lit(unit))
     return F.when(seconds < 10, "now").when(seconds < 60, n(1, "s")).when(seconds < 3600, n(60, "m")).when(seconds < 86400, n(3600, "h")).otherwise(n(86400, "d"))
+
+
+def valid_acceptance(now: Column, honoured: list[str]) -> Column:
+    """Whether an acceptance (id, locale, method, statement, t) of a release in force since `since` counts."""
+    latest = now + F.make_dt_interval(secs=F.lit(fixed.MAX_CLOCK_SKEW_SECONDS))
+    known = F.col("id").rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & F.col("locale").rlike("^[a-z]{2}(-[A-Z]{2})?$")
+    named = (F.col("method") == "ios-clickwrap") & F.col("statement").isin(honoured)
+    return F.coalesce(known & named & (F.col("t") >= F.col("since")) & (F.col("t") <= latest), F.lit(False))

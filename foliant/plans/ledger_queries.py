@@ -280,19 +280,24 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.pseudonym(F.col("user_id")).alias("usr"), T.uuid_of(F.sha2(F.col("event_id").cast("string"), 256)).alias("token"))
 
 
-_RELEASES = [("v1", "2023-12-01 00:00:00"), ("v2", "2024-01-10 00:00:00"), ("v3", "2024-01-20 00:00:00")]
+_RELEASES = [("v1", "2023-12-01 00:00:00"), ("v2", "2024-01-10 00:00:00"), ("v3", "2024-01-20 00:00:00"), ("v4", "soon")]
+HONOURED = ["rights-2", "rights-1"]  # statements: the current one and the superseded ones that still count
 
 
-@query(f"""WITH rel(version, since) AS (VALUES {", ".join(f"('{v}', TIMESTAMP '{t}')" for v, t in _RELEASES)}), a AS (SELECT event_id, 'v' || (event_id % 4 + 1) AS version, ts, CASE WHEN event_id % 6 = 0 THEN 'web' ELSE 'ios-clickwrap' END AS method, CASE WHEN event_id % 9 = 0 THEN 'x' ELSE 'hu-HU' END AS locale FROM events)
-SELECT event_id, a.version, coalesce(method = 'ios-clickwrap' AND regexp_matches(locale, '^[a-z]{{2}}(-[A-Z]{{2}})?$') AND ts >= since AND ts <= TIMESTAMP '2024-01-25 00:00:00' + INTERVAL {fixed.MAX_CLOCK_SKEW_SECONDS} SECOND, false) AS valid FROM a LEFT JOIN rel ON rel.version = a.version""")
+@query(f"""WITH rel(version, since) AS (VALUES {", ".join(f"('{v}', '{t}')" for v, t in _RELEASES)}), a AS (SELECT event_id, 'v' || (event_id % 5 + 1) AS version, CASE WHEN event_id % 10 = 3 THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS said,
+ CASE WHEN event_id % 6 = 0 THEN 'web' ELSE 'ios-clickwrap' END AS method, CASE WHEN event_id % 9 = 0 THEN 'x' ELSE 'hu-HU' END AS locale, 'rights-' || event_id % 4 AS statement, CASE WHEN event_id % 8 = 0 THEN 'nope' ELSE regexp_replace(md5(event_id::VARCHAR), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-') END AS id FROM events)
+SELECT event_id, a.version, coalesce(regexp_full_match(id, '(?i)[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') AND method = 'ios-clickwrap' AND regexp_matches(locale, '^[a-z]{{2}}(-[A-Z]{{2}})?$') AND statement IN ('rights-2', 'rights-1') AND TRY_CAST(said AS TIMESTAMP) IS NOT NULL AND TRY_CAST(since AS TIMESTAMP) IS NOT NULL
+ AND TRY_CAST(said AS TIMESTAMP) >= TRY_CAST(since AS TIMESTAMP) AND TRY_CAST(said AS TIMESTAMP) <= TIMESTAMP '2024-01-25 00:00:00' + INTERVAL {fixed.MAX_CLOCK_SKEW_SECONDS} SECOND, false) AS valid FROM a LEFT JOIN rel ON rel.version = a.version""")
 def terms_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acceptances against the release they name, which must be in force and not in the future."""
-    releases = spark.createDataFrame(_RELEASES, "version string, since string").select("version", F.col("since").cast("timestamp").alias("since"))
+    """Acceptances against the release they name: id, locale, method, statement and dates must be in order,
+    the release in force and the acceptance not in the future."""
+    releases = spark.createDataFrame(_RELEASES, "version string, since string").select("version", F.col("since").try_cast("timestamp").alias("since"))
     i = F.col("event_id")
-    a = timed(spark, sf_dir).select(i, F.concat(F.lit("v"), (i % 4 + 1).cast("string")).alias("version"), F.col("ts").cast("timestamp").alias("t"), F.when(i % 6 == 0, "web").otherwise("ios-clickwrap").alias("method"), F.when(i % 9 == 0, "x").otherwise("hu-HU").alias("locale"))
-    latest = F.lit("2024-01-25 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(fixed.MAX_CLOCK_SKEW_SECONDS))
-    valid = (F.col("method") == "ios-clickwrap") & F.col("locale").rlike("^[a-z]{2}(-[A-Z]{2})?$") & (F.col("t") >= F.col("since")) & (F.col("t") <= latest)
-    return a.join(F.broadcast(releases), "version", "left").select("event_id", "version", F.coalesce(valid, F.lit(False)).alias("valid"))
+    uuid = F.when(i % 8 == 0, "nope").otherwise(T.uuid_of(F.md5(i.cast("string").cast("binary"))))
+    at = F.when(i % 10 == 3, "yesterday").otherwise(F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).try_cast("timestamp")
+    a = timed(spark, sf_dir).select(i, F.concat(F.lit("v"), (i % 5 + 1).cast("string")).alias("version"), at.alias("t"), F.when(i % 6 == 0, "web").otherwise("ios-clickwrap").alias("method"), F.when(i % 9 == 0, "x").otherwise("hu-HU").alias("locale"), F.concat(F.lit("rights-"), (i % 4).cast("string")).alias("statement"), uuid.alias("id"))
+    joined = a.join(F.broadcast(releases), "version", "left")
+    return joined.select("event_id", "version", ledger.valid_acceptance(F.lit("2024-01-25 00:00:00").cast("timestamp"), HONOURED).alias("valid"))
 
 
 _PAIR_SQL = ", ".join(f"('{s}', '{t}', {str(v).upper()}, {a}::DOUBLE, {b}::DOUBLE)" for s, t, v, a, b, _, _ in fixed.PAIRS)

@@ -202,12 +202,41 @@ MOVES = [
 @query(f"WITH {values('m', 'step, kind, job, quote, credits, decision', [(i, *m) for i, m in enumerate(MOVES)])} SELECT c_custkey AS usr, step::BIGINT AS step, decision FROM customer, m")
 def credit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservations must keep their quote, may come again after a refund, and settle once."""
-    m = spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(MOVES)], "step long, kind string, job string, quote string, credits long")
-    every = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip((i, *x[:4]), m.dtypes))) for i, x in enumerate(MOVES)))
+    kinds = {"step": "long", "kind": "string", "job": "string", "quote": "string", "credits": "long"}
+    every = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip((i, *x[:4]), kinds.items()))) for i, x in enumerate(MOVES)))
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("usr"), F.explode(every).alias("x")).select("usr", "x.*")
     return ledger.credit_moves(rows, "usr", ["step"]).select("usr", "step", "decision")
 
 
+#: day, kind, job, cents, decision under caps of 100 a day and 180 a month; each nation makes these moves
+BUDGET = [
+    (1, "ask", "a", 60, "acquired"),
+    (1, "ask", "a", 60, "held"),
+    (1, "ask", "a", 50, "refused"),
+    (1, "ask", "b", 50, "refused"),
+    (2, "ask", "b", 90, "acquired"),
+    (2, "ask", "c", 31, "refused"),
+    (2, "refund", "b", 0, "refunded"),
+    (2, "refund", "b", 0, "ignored"),
+    (2, "ask", "c", 31, "acquired"),
+    (2, "ask", "b", 70, "refused"),
+    (2, "finalize", "c", 10, "finalized"),
+    (2, "finalize", "c", 5, "ignored"),
+    (2, "ask", "b", 70, "acquired"),
+    (3, "ask", "d", 41, "refused"),
+    (3, "ask", "d", 40, "acquired"),
+]
+
+
+@query(f"WITH {values('m', 'step, day, kind, job, cents, decision', [(i, *m) for i, m in enumerate(BUDGET)])} SELECT n_name AS budget, step::BIGINT AS step, decision FROM nation, m")
+def budget_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asking again changes nothing, refunds free the budget, and final costs replace estimates."""
+    kinds = {"step": "long", "day": "long", "kind": "string", "job": "string", "cents": "long"}
+    every = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip((i, *x[:4]), kinds.items()))) for i, x in enumerate(BUDGET)))
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("budget"), F.explode(every).alias("x")).select("budget", "x.*")
+    return ledger.budget_moves(rows, "budget", ["step"], 100, 180).select("budget", "step", "decision")
+
+
 _JOBS_SQL = """j AS (SELECT o_orderkey AS job, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN '' ELSE 'u' || o_custkey % 40 END AS usr, 'h' || o_orderkey % 9 AS source_hash, CASE WHEN o_orderkey % 2 = 0 THEN 'hu' ELSE 'de' END AS target,
  CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS sample, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'running' END AS status, CASE WHEN o_orderkey % 10 < 8 THEN 'r' || o_orderkey END AS result_key, o_orderdate AS finished_at FROM orders)"""
 

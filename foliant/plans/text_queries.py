@@ -188,16 +188,18 @@ def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.merge(base, bench.withColumn("rendering", F.when(F.length("term") > 4, F.upper("term")).otherwise("")))
 
 
-@query("""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM benchmark), terms AS (SELECT term, term AS rendering FROM words WHERE length(term) > 5),
+@query("""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM conversations), terms AS (SELECT DISTINCT left(word, length(word) - 1) AS term, left(word, length(word) - 1) AS rendering FROM words WHERE length(word) > 3),
 pairs AS (SELECT u.conv_id, u.turn, u.text AS s, a.text AS t FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
-SELECT conv_id, turn, count(*)::BIGINT AS missing FROM pairs, terms WHERE contains(s, term) AND NOT (contains(lower(t), lower(rendering)) OR (regexp_replace(regexp_replace(lower(rendering), 'a$', 'á'), 'e$', 'é') <> lower(rendering) AND contains(lower(t), regexp_replace(regexp_replace(lower(rendering), 'a$', 'á'), 'e$', 'é')))) GROUP BY conv_id, turn""")
+SELECT conv_id, turn, count(*)::BIGINT AS missing, string_agg(term, ',' ORDER BY term) AS terms FROM pairs, terms WHERE contains(s, term) AND NOT (contains(lower(t), lower(rendering)) OR (regexp_replace(regexp_replace(lower(rendering), 'a$', 'á'), 'e$', 'é') <> lower(rendering) AND contains(lower(t), regexp_replace(regexp_replace(lower(rendering), 'a$', 'á'), 'e$', 'é')))) GROUP BY conv_id, turn""")
 def term_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that a user's turn holds, whole or inside a longer word, and the answer lacks."""
     from foliant.plans.quality_queries import turn_pairs
 
-    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)).alias("term")).distinct()
-    terms = words.where(F.length("term") > 5).withColumn("rendering", F.col("term"))
+    words = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)).alias("word")).where(F.length("word") > 3)
+    terms = words.select(F.left("word", F.length("word") - 1).alias("term")).distinct().withColumn("rendering", F.col("term"))
     pairs = turn_pairs(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
-    return glossary.missing_terms(pairs, terms, "key", "s", "t").groupBy("key.conv_id", "key.turn").agg(F.count("*").alias("missing"))
+    missing = glossary.missing_terms(pairs, terms, "key", "s", "t")
+    return missing.groupBy("key.conv_id", "key.turn").agg(F.count("*").alias("missing"), F.array_join(F.sort_array(F.collect_list("term")), ",").alias("terms"))
 
 
 _EDGE = r"\b"
