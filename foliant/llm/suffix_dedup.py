@@ -558,6 +558,7 @@ def _shared_passages(texts: DataFrame, rule: Repeat) -> DataFrame:
 
     found = tools.stage(texts.mapInArrow(windows, "t1 long, t2 long, first long, h long"))
     common = tools.stage(found.groupBy("h").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select("h"))
-    firsts = found.join(common, "h", "left_semi")  # two stored tables, so that Spark may split a hot window.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("first")).alias("f"))
+    # two stored tables, so that Spark may split a hot window
+    firsts = found.join(common, "h", "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_set("first")).alias("f"))
     runs = F.size(F.filter("f", lambda x, i: (i == 0) | (x > F.get("f", i - 1) + rule.passage_words)))
     return firsts.select("t1", "t2", runs.cast("long").alias("n_passages"))
