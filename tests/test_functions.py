@@ -96,3 +96,11 @@ def test_segments(spark):
     assert one(spark, back, h="<p> a <b>b</b></p>", t="⟦0⟧x<y⟦1⟧z") == [" x&lt;y ", "z"]
     assert one(spark, back, h="<p> a <b>b</b></p>", t="⟦0⟧x") is None
     assert one(spark, html.reserialise(F.col("o"), F.col("b")), o="<?xml version='1'?>\n<!DOCTYPE html>\n<html/>", b="<html>x</html>").startswith("<?xml")
+
+
+def test_deep_and_odd_pages():
+    from foliant.sources import html
+
+    assert html.blocks_of("<div>" * 10_000 + "<p>x<b>y</p>" + "</div>" * 10_000) == ["x<b>y</b>"]
+    assert html.blocks_of("<body><ul><li>a<li>b</ul><td><p>q</p>z</td><p>un<p>closed") == ["a", "b", "q", "un", "closed"]
+    assert html.blocks_of("") == []
