@@ -5,11 +5,16 @@ Krichevsky-Trofimov estimate from its counts, and a node's weighted probability
 estimate plus one half the product of its children's. Weighing all depths so gives the code length
 of a byte. Texts start after `depth` zero bytes and end with one, which is scored too.
 
-Counts are taken over all training documents: each task counts its byte strings of depth + 1 and
-its words with sorted arrays, and Spark sums them. The commonest max_contexts contexts stay nodes,
-which bounds the tree at any size of corpus; the rarer contexts of a node share one leaf, so the
-children of a node partition its counts and the mixture stays a probability. The bounded tree becomes two tables
-(next node, log-probability of a byte), which are broadcast.
+The tree holds every context of the training documents, and grows with them; no task or driver holds it:
+
+1. `survey` deals the documents into units of bounded bytes and counts the distinct strings of depth + 1
+   bytes of each, dealt into parts by the two bytes before the last. Strings of held-out documents count zero, so all have a place.
+2. `totals` merges the counts of a part as its rows stream by, sorted.
+3. Below the contexts of two bytes a tree lies in one part: `Subtree` weighs it there. What the
+   contexts of two bytes weigh (at most 65,536 contexts of 255 decisions, in fact those that occur) goes to the driver,
+   which weighs the root's levels and broadcasts the mixture that reaches each of them.
+4. Each part then knows the log-probability of its strings; units meet the values they asked for, and their
+   documents add them up. Rows stream sorted: a unit's values, then its documents.
 
 The word baseline is exact: words that make up at least 1 / max_words of the training tokens are
 broadcast (so at most max_words), and all others meet their counts in a join.
@@ -31,14 +36,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliant.llm import _tools as tools
 
 
 @dataclass(frozen=True)
 class Tree:
-    depth: int = 5
-    max_contexts: int = 32768
+    depth: int = 5  # at most 6: a string is a signed number of 64 bits
+    unit_bytes: int = 8_000_000
     max_words: int = 1 << 18
 
 
@@ -87,37 +93,74 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], depth: int, pending: int = 250_000, grams_held: int = 1_500_000, words_held: int = 600_000) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, word, n) of a task; memory is bounded by merging and flushing early."""
+def _packed(numbers: np.ndarray, steps: bool = False) -> bytes:
+    """Numbers as bytes, all first bytes first, which compresses well; sorted ones by their steps."""
+    numbers = np.diff(numbers, prepend=numbers.dtype.type(0)) if steps else np.ascontiguousarray(numbers)
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _unpacked(packed: bytes, kind: type, steps: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    numbers = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, len(packed) // size).T).view(kind).ravel()
+    return np.cumsum(numbers) if steps else numbers
+
+
+def _part(keys: np.ndarray) -> np.ndarray:
+    """The part of each string: one of 1,024, by the two bytes before its last."""
+    return ((keys >> 8 & 0xFFFF) * 40503 & 0xFFFF) >> 6
+
 
-    def gram_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 200_000):
-            k = pa.array(keys[i : i + 200_000])
-            yield pa.RecordBatch.from_arrays([k, pa.nulls(len(k), pa.binary()), pa.array(n[i : i + 200_000])], ["gram", "word", "n"])
+#: What `survey` tells: documents (kind 0), strings of a unit in a part (1), words (2).
+_SURVEY = ("kind", "unit", "doc_id", "held_out", "text", "part", "grams", "word", "n", "counts")
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch], tree: Tree, schema: pa.Schema, pending: int = 250_000, words_held: int = 600_000) -> Iterator[pa.RecordBatch]:
+    """Rows of a task; memory is bounded by merging and by the bytes of a unit (one text at least)."""
+
+    def rows(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def unit_rows(unit: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        part = _part(keys)
+        order = np.argsort(part, kind="stable")
+        keys, n, part = keys[order], n[order], part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        k = len(spans)
+        return rows(k, kind=pa.array([1] * k), unit=pa.array([unit] * k), part=pa.array(part[cuts[:-1]]), grams=pa.array([_packed(keys[i:j], True) for i, j in spans], pa.binary()), counts=pa.array([_packed(n[i:j]) for i, j in spans], pa.binary()))
 
     def word_rows(words: Counter) -> Iterator[pa.RecordBatch]:
         found = iter(words.items())
         while some := list(islice(found, 200_000)):
             w, n = zip(*some)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["gram", "word", "n"])
+            yield rows(len(w), kind=pa.array([2] * len(w)), word=pa.array(w, pa.binary()), n=pa.array(n))
 
-    parts, new, words = [], 0, Counter()
+    unit, filled, parts, new, words = TaskContext.get().partitionId() << 32, 0, [], 0, Counter()
     for batch in batches:
-        for texts in slices(batch.column(0)):
-            parts.append(grams(texts, depth))
-            new += len(parts[-1][0])
-            for t in texts:
+        done = 0
+        for texts in slices(batch.column(2)):
+            if filled and filled + sum(map(len, texts)) > tree.unit_bytes:
+                yield unit_rows(unit, *_summed(parts))
+                unit, filled, parts, new = unit + 1, 0, [], 0
+            mine = batch.slice(done, len(texts))
+            yield rows(len(texts), kind=pa.array([0] * len(texts)), unit=pa.array([unit] * len(texts)), doc_id=mine.column(0), held_out=mine.column(1), text=mine.column(2))
+            held = mine.column(1).to_pylist()
+            learnt = [t for t, h in zip(texts, held) if not h]
+            for some, weight in ((learnt, 1), ([t for t, h in zip(texts, held) if h], 0)):
+                if some:
+                    keys, n = grams(some, tree.depth)
+                    parts.append((keys, n * weight))
+                    new += len(keys)
+            if new > pending:
+                parts, new = [_summed(parts)], 0
+            for t in learnt:
                 words.update(t.split())
             if len(words) > words_held:
                 yield from word_rows(words)
                 words = Counter()
-            if new > pending:
-                parts, new = [_summed(parts)], 0
-                if len(parts[0][0]) > grams_held:
-                    yield from gram_rows(*parts[0])
-                    parts = []
+            filled, done = filled + sum(len(t) + 1 for t in texts), done + len(texts)
     if parts:
-        yield from gram_rows(*_summed(parts))
+        yield unit_rows(unit, *_summed(parts))
     yield from word_rows(words)
 
 
@@ -130,144 +173,193 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _kt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of next-byte counts (rows x 256): log KT probability and next-one estimate of each of the
-    255 decisions, at 1..255 in heap order."""
-    rows = len(counts)
-    heap = np.zeros((rows, 512))
-    heap[:, 256:] = counts
-    for level in range(7, -1, -1):
-        a, b = 1 << level, 2 << level
-        heap[:, a:b] = heap[:, b : 2 * b : 2] + heap[:, b + 1 : 2 * b : 2]
-    zeros, ones = heap[:, 0::2], heap[:, 1::2]  # children of node i at 2i and 2i + 1
-    log = _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
-    log[:, 0] = 0
-    return log, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
+_SMALL = 1 << 14
+_LG_HALF = np.log(np.pi) / 2 + np.r_[0, np.cumsum(np.log(np.arange(_SMALL - 1) + 0.5))]
+_LG_ONE = np.r_[0, np.cumsum(np.log(np.arange(1, _SMALL)))]
+
+
+def _log_gamma(n: np.ndarray, add: float, table: np.ndarray) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1)]
+    large = n >= _SMALL
+    if large.any():
+        out[large] = _lgamma(n[large] + add)
+    return out
+
+
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts of decisions: log KT probability, and the estimate of a next one."""
+    log = _log_gamma(zeros, 0.5, _LG_HALF) + _log_gamma(ones, 0.5, _LG_HALF) - _log_gamma(zeros + ones, 1.0, _LG_ONE) - np.log(np.pi)
+    return log, (ones + 0.5) / (zeros + ones + 1)
 
 
 @dataclass
-class Model:
-    depth: int
-    child: np.ndarray  # rows x 256: the row after one more context byte; rows at the end stay
-    log10: np.ndarray  # rows x 256: log10 probability of the next byte
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        if not texts:
-            return np.empty(0)
-        flat, at = laid_out(texts, self.depth)
-        row = np.zeros(len(at), np.int32)
-        child, table = self.child.ravel(), self.log10.ravel()
-        for back in range(1, self.depth + 1):
-            row = child[(row << 8) | flat[at - back]].astype(np.int32)
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        return np.add.reduceat(table[(row << 8) | flat[at]].astype(np.float64), np.cumsum(sizes) - sizes)
-
-
-def build(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> Model:
-    """The model of kept contexts: per depth 0.. the (context, byte, count) of its next bytes.
-
-    A context is a number whose lowest byte is the most recent. Whenever a context is kept, so is
-    the one without its oldest byte.
-    """
-    ids, counts = [], []  # per depth: sorted contexts, their count rows
-    for ctx, byte, n in contexts:
-        keys, where = np.unique(ctx, return_inverse=True)
-        c = np.zeros((len(keys), 256), np.float32 if len(keys) > 1 else np.float64)
-        c[where, byte] = n
-        ids.append(keys)
-        counts.append(c)
-    if not len(ids[0]):
-        ids[0], counts[0] = np.zeros(1, np.int64), np.zeros((1, 256))
-    parents = [None]
-    for d in range(1, len(ids)):
-        parents.append(np.searchsorted(ids[d - 1], ids[d] & ((1 << 8 * (d - 1)) - 1)))
-    first = np.cumsum([0, *map(len, ids)])
-    n_nodes = int(first[-1])
-    # the leaf of a node's rare contexts comes after all nodes, for nodes with kept children
-    inner = [np.zeros(len(k), bool) for k in ids]
-    for d in range(1, len(ids)):
-        inner[d - 1][parents[d]] = True
-    rest_of = np.concatenate([np.flatnonzero(x) + first[d] for d, x in enumerate(inner)])
-    rows = n_nodes + len(rest_of)
-    rest_row = np.full(n_nodes, -1)
-    rest_row[rest_of] = np.arange(n_nodes, rows)
-    child = np.repeat(np.arange(rows, dtype=np.int32)[:, None], 256, axis=1).astype(np.uint16 if rows < 65536 else np.int32)
-    child[rest_of] = rest_row[rest_of][:, None]
-    predict = np.empty((rows, 256), np.float32)  # of ones, by heap position
-    stop = np.ones((n_nodes, 256), np.float32)  # weight of a node's own estimate
-    below = None  # per node of this depth: sum of children's log weighted probability
-    for d in range(len(ids) - 1, -1, -1):
-        own = np.arange(first[d], first[d + 1])
-        weighted = np.empty((len(own), 256))
-        rest = counts[d].astype(np.float64)
-        if d + 1 < len(ids):
-            np.subtract.at(rest, parents[d + 1], counts[d + 1])
-            rest = np.maximum(rest, 0)
-            oldest = (ids[d + 1] >> (8 * d)).astype(np.int64)
-            child[first[d] + parents[d + 1], oldest] = np.arange(first[d + 1], first[d + 2])
-        for i in range(0, len(own), 1024):
-            j = slice(i, i + 1024)
-            log, one = _kt(counts[d][j].astype(np.float64))
-            predict[own[j]] = one
-            if d + 1 < len(ids):
-                has = inner[d][j]
-                rest_log, rest_one = _kt(rest[j][has])
-                predict[rest_row[own[j][has]]] = rest_one
-                split = below[j][has] + rest_log
-                both = np.logaddexp(log[has], split) - np.log(2)
-                stop[own[j][has]] = np.exp(log[has] - np.log(2) - both)
-                log[has] = both
-            weighted[j] = log
-        if d:
-            below = np.zeros((len(ids[d - 1]), 256))
-            np.add.at(below, parents[d], weighted)
-    up = np.concatenate([np.zeros(1, np.int64), *(p + first[d - 1] for d, p in enumerate(parents) if d), rest_of])
-    log10 = np.empty((rows, 256), np.float32)
-    for i in range(0, rows, 1024):
-        at = np.arange(i, min(rows, i + 1024))
-        ones, node = predict[at].astype(np.float64), at.copy()
-        for _ in range(len(ids)):  # mix towards the root
-            moving = node > 0
-            node[moving] = up[node[moving]]
-            s = stop[node[moving]]
-            ones[moving] = s * predict[node[moving]] + (1 - s) * ones[moving]
-        out = np.zeros((len(at), 512))
-        for level in range(8):
-            a, b = 1 << level, 2 << level
-            out[:, b : 2 * b : 2] = out[:, a:b] + np.log10(1 - ones[:, a:b])
-            out[:, b + 1 : 2 * b : 2] = out[:, a:b] + np.log10(ones[:, a:b])
-        log10[at] = out[:, 256:]
-    return Model(depth, child, log10)
-
-
-def count(training: DataFrame, text: str, tree: Tree) -> DataFrame:
-    """Staged (gram, word, n) of all training texts; one of gram and word is null."""
-    depth = tree.depth
+class Level:
+    """Decisions (context, place in the byte) of one depth; `up` is the row of the shorter context above."""
+
+    keys: np.ndarray  # context << 8 | place, sorted; places are in heap order, 1..255
+    zeros: np.ndarray
+    ones: np.ndarray
+    up: np.ndarray | None = None
+    one: np.ndarray | None = None  # own estimate
+    weighted: np.ndarray | None = None  # log weighted probability
+    stop: np.ndarray | None = None  # weight of the own estimate
+
+    def weigh(self, below: np.ndarray | None) -> None:
+        log, self.one = _kt(self.zeros, self.ones)
+        self.weighted = log if below is None else np.logaddexp(log, below) - np.log(2)
+        self.stop = np.ones(len(log)) if below is None else np.exp(log - np.log(2) - self.weighted)
+
+    def shorter(self, depth: int) -> Level:
+        """The level above this one, which has contexts of `depth` bytes; sets `up`."""
+        keys, self.up = np.unique(self.keys & ((1 << 8 * depth) - 1), return_inverse=True)
+        return Level(keys, *(np.bincount(self.up, c, len(keys)).astype(np.int64) for c in (self.zeros, self.ones)))
+
+
+class Subtree:
+    """The levels of some strings from contexts of `top` bytes (first) down to whole ones, weighed."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, top: int):
+        byte, context = keys & 255, keys >> 8 << 8
+        decisions = np.concatenate([context | 1 << i | byte >> (8 - i) for i in range(8)])
+        self.bits = np.concatenate([byte >> (7 - i) & 1 for i in range(8)])
+        places, self.at = np.unique(decisions, return_inverse=True)
+        ones = np.bincount(self.at, np.tile(n, 8) * self.bits, len(places)).astype(np.int64)
+        both = np.bincount(self.at, np.tile(n, 8), len(places)).astype(np.int64)
+        self.levels = [Level(places, both - ones, ones)]
+        self.levels[0].weigh(None)
+        for d in range(depth, top, -1):
+            low = self.levels[0]
+            high = low.shorter(d)
+            high.weigh(np.bincount(low.up, low.weighted, len(high.keys)))
+            self.levels.insert(0, high)
+
+    def log10(self, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Of each string: log10 probability of its last byte after the others. For the decisions of
+        the first level, `mixed` is what shorter contexts contribute and `left` the weight they leave."""
+        for level in self.levels:
+            if level is not self.levels[0]:
+                mixed, left = mixed[level.up], left[level.up]
+            mixed, left = mixed + left * level.stop * level.one, left * (1 - level.stop)
+        p = mixed[self.at]
+        return np.log10(np.where(self.bits == 1, p, 1 - p)).reshape(8, -1).sum(0)
+
+
+def reached(first: Level, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts shorter than `top` contribute to the decisions of the level of `top`, and leave."""
+    levels = [first]
+    for d in range(top, 0, -1):
+        low = levels[0]
+        high = low.shorter(d)
+        high.weigh(np.bincount(low.up, low.weighted, len(high.keys)))
+        levels.insert(0, high)
+    mixed, left = np.zeros(len(levels[0].keys)), np.ones(len(levels[0].keys))
+    for high, low in zip(levels, levels[1:]):
+        mixed, left = (mixed + left * high.stop * high.one)[low.up], (left * (1 - high.stop))[low.up]
+    return mixed, left
+
+
+def _top(depth: int) -> int:
+    return min(2, depth)
+
+
+def survey(docs: DataFrame, tree: Tree) -> DataFrame:
+    """Staged rows of `_SURVEY` of (doc_id, held_out, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    types = ("byte", "long", kind, "boolean", "string", "int", "binary", "binary", "long", "binary")
+    empty = docs.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in zip(_SURVEY, types)))
+    schema = to_arrow_schema(empty.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(batches, depth)
-
-    part = training.select(F.col(text)).mapInArrow(run, "gram long, word binary, n long")
-    return tools.stage(part.groupBy("gram", "word").agg(F.sum("n").alias("n")))
-
-
-def train(counts: DataFrame, tree: Tree) -> Model:
-    """The bounded tree of the counted byte strings."""
-    strings = counts.where("gram is not null").select("gram", "n")
-    depths = F.explode(F.sequence(F.lit(0), F.lit(tree.depth)))
-    masks = F.element_at(F.array(*(F.lit((1 << 8 * (d + 1)) - 1) for d in range(tree.depth + 1))), F.col("d") + 1)
-    levels = strings.select("gram", "n", depths.alias("d")).groupBy("d", F.col("gram").bitwiseAND(masks).alias("gram")).agg(F.sum("n").alias("n"))
-    levels = tools.stage(levels.select("d", F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n"))
-    totals = tools.stage(levels.groupBy("d", "ctx").agg(F.sum("n").alias("all")))
-    # the commonest contexts: whole steps of a fine scale of counts, as many as fit
-    steps = totals.groupBy(F.floor(F.log2("all") * 16).alias("step")).count().orderBy(F.desc("step")).collect()
-    fit = np.cumsum([r["count"] for r in steps]) <= tree.max_contexts
-    lowest = min([r["step"] for r, f in zip(steps, fit) if f], default=0)
-    kept = totals.where(F.floor(F.log2("all") * 16) >= lowest).select("d", "ctx")
-    table = levels.join(F.broadcast(kept), ["d", "ctx"]).select("d", "ctx", "byte", "n").toArrow()
-    d, ctx, byte, n = (table.column(c).to_numpy() for c in ("d", "ctx", "byte", "n"))
-    return build([(ctx[d == i], byte[d == i].astype(np.int64), n[d == i]) for i in range(tree.depth + 1)], tree.depth)
+        yield from _surveyed(batches, tree, schema)
+
+    return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, empty.schema))
+
+
+def totals(told: DataFrame) -> DataFrame:
+    """Staged (part, grams, counts) of all units: a part's rows stream by and are merged as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, new = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, n = _summed(held)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(keys, True)], pa.binary()), pa.array([_packed(n)], pa.binary())], ["part", "grams", "counts"])
+
+        for batch in batches:
+            for p, g, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part and held:
+                    yield out()
+                    held, new = [], 0
+                part = p
+                held.append((_unpacked(g, np.int64, True), _unpacked(n, np.int64)))
+                new += len(held[-1][0])
+                if new > 1_000_000 and new > 2 * len(held[0][0]):
+                    held = [_summed(held)]
+                    new = 0
+        if held:
+            yield out()
+
+    rows = told.where("kind = 1").select("part", "grams", "counts").repartition("part").sortWithinPartitions("part")
+    return tools.stage(rows.mapInArrow(run, "part int, grams binary, counts binary"))
+
+
+def values(strings: DataFrame, tree: Tree) -> DataFrame:
+    """Staged (part, grams, log10): log10 probabilities of the counted strings, packed."""
+    depth, top = tree.depth, _top(tree.depth)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, n in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist()):
+                first = Subtree(_unpacked(g, np.int64, True), _unpacked(n, np.int64), depth, top).levels[0]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (first.keys, first.zeros, first.ones, first.weighted)], ["keys", "zeros", "ones", "weighted"])
+
+    told = strings.mapInArrow(weights, "keys binary, zeros binary, ones binary, weighted binary").toArrow()
+    columns = [np.frombuffer(b"".join(told.column(c).to_pylist()), np.float64 if c == "weighted" else np.int64) for c in ("keys", "zeros", "ones", "weighted")]
+    order = np.argsort(columns[0])
+    first = Level(*(c[order] for c in columns[:3]), weighted=columns[3][order])
+    shared = strings.sparkSession.sparkContext.broadcast((first.keys, *reached(first, top)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, mixed, left = shared.value
+        for batch in batches:
+            for p, g, n in zip(*(c.to_pylist() for c in batch.columns)):
+                tree_of = Subtree(_unpacked(g, np.int64, True), _unpacked(n, np.int64), depth, top)
+                at = np.searchsorted(keys, tree_of.levels[0].keys)
+                log10 = tree_of.log10(mixed[at], left[at]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([g], pa.binary()), pa.array([_packed(log10)], pa.binary())], ["part", "grams", "log10"])
+
+    return tools.stage(strings.mapInArrow(run, "part int, grams binary, log10 binary"))
+
+
+def asked(told: DataFrame, known: DataFrame) -> DataFrame:
+    """(unit, grams, log10) of the strings of each unit: a part's values stream by before what units ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = log10 = None
+        for batch in batches:
+            units, found, grams_of = [], [], []
+            for g, unit, v in zip(*(batch.column(c).to_pylist() for c in ("grams", "unit", "log10"))):
+                if unit < 0:
+                    keys, log10 = _unpacked(g, np.int64, True), _unpacked(v, np.float32)
+                else:
+                    units.append(unit)
+                    grams_of.append(g)
+                    found.append(_packed(log10[np.searchsorted(keys, _unpacked(g, np.int64, True))]))
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(grams_of, pa.binary()), pa.array(found, pa.binary())], ["unit", "grams", "log10"])
+
+    asks = told.where("kind = 1").select("part", F.col("unit"), "grams", F.lit(None).cast("binary").alias("log10"))
+    both = known.select("part", F.lit(-1).cast("long").alias("unit"), "grams", "log10").union(asks)
+    return both.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, "unit long, grams binary, log10 binary")
+
+
+def text_scores(texts: list[bytes], depth: int, keys: np.ndarray, log10: np.ndarray) -> np.ndarray:
+    """log10 probability of each text and its end, by the values of their strings."""
+    flat, at = laid_out(texts, depth)
+    key = np.zeros(len(flat), np.int64)
+    for back in range(depth, -1, -1):
+        key[depth:] = key[depth:] << 8 | flat[depth - back : len(flat) - back]
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    return np.add.reduceat(log10[np.searchsorted(keys, key[at])].astype(np.float64), np.cumsum(sizes) - sizes)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=None, tree: Tree = Tree()) -> DataFrame:
@@ -276,43 +368,61 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
     held_out is a boolean column (from F) of the rows not to learn from; none by default.
     """
     hold = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    d = docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text"))
-    counts = count(d.where("not held_out"), "text", tree)
-    words = counts.where("word is not null").select("word", "n")
-    n_docs = d.where("not held_out").count()
+    told = survey(docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text")), tree)
+    words = tools.stage(told.where("kind = 2").groupBy("word").agg(F.sum("n").alias("n")))
+    n_docs = told.where("kind = 0 and not held_out").count()
     n, distinct = words.agg(F.sum("n"), F.count("*")).first()
     n_train, n_distinct = (n or 0) + n_docs, distinct + (n_docs > 0)
     over = float(n_train + n_distinct + 1)
     common = words.where(F.col("n") * tree.max_words >= n_train).collect()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((train(counts, tree), {bytes(r.word): r.n for r in common}))
+    shared = docs.sparkSession.sparkContext.broadcast({bytes(r.word): r.n for r in common})
+    depth = tree.depth
+    found = asked(told, values(totals(told), tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
         at = TaskContext.get().partitionId() << 40
         end = np.log10((n_docs + 1) / over)
-        worth = {w: float(np.log10((c + 1) / over)) for w, c in known.items()}
+        worth = {w: float(np.log10((c + 1) / over)) for w, c in shared.value.items()}
+        unit, held, keys, log10 = None, [], None, None
         for batch in batches:
-            done = 0
-            for texts in slices(batch.column(2)):
-                rare, sums, n_tokens, n_known = [], [], [], []
-                for t in texts:
-                    own = t.split()
-                    values = list(map(worth.get, own))
-                    missing = [w for w, v in zip(own, values) if v is None]
-                    rare.append(missing)
-                    sums.append(sum(v for v in values if v is not None) + end)
-                    n_tokens.append(len(own) + 1)
-                    n_known.append(len(own) - len(missing) + (n_docs > 0))
-                part = batch.slice(done, len(texts))
-                scores = model.score(texts)
-                size = np.array([len(t) + 1 for t in texts])
-                arrays = [pa.array(np.arange(at, at + len(texts))), part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / size), pa.array(rare, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare"])
-                done, at = done + len(texts), at + len(texts)
-
-    kind = d.schema["doc_id"].dataType.simpleString()
-    scored = tools.stage(d.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>"))
+            is_doc = np.asarray(batch.column("doc").to_numpy(zero_copy_only=False), bool)
+            units = batch.column("unit").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (units[1:] != units[:-1]) | (is_doc[1:] != is_doc[:-1]), True])
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(i, j - i)
+                if not is_doc[i]:
+                    if units[i] != unit:
+                        unit, held = units[i], []
+                    held += [(_unpacked(g, np.int64, True), _unpacked(v, np.float32)) for g, v in zip(part.column("grams").to_pylist(), part.column("log10").to_pylist())]
+                    continue
+                if held:
+                    keys, log10 = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(keys)
+                    keys, log10, held = keys[order], log10[order], []
+                done = 0
+                for texts in slices(part.column("text")):
+                    rare, sums, n_tokens, n_known = [], [], [], []
+                    for t in texts:
+                        own = t.split()
+                        each = list(map(worth.get, own))
+                        missing = [w for w, v in zip(own, each) if v is None]
+                        rare.append(missing)
+                        sums.append(sum(v for v in each if v is not None) + end)
+                        n_tokens.append(len(own) + 1)
+                        n_known.append(len(own) - len(missing) + (n_docs > 0))
+                    rows = part.slice(done, len(texts))
+                    scores = text_scores(texts, depth, keys, log10)
+                    size = np.array([len(t) + 1 for t in texts])
+                    arrays = [pa.array(np.arange(at, at + len(texts))), rows.column("doc_id"), rows.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / size), pa.array(rare, pa.list_(pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare"])
+                    done, at = done + len(texts), at + len(texts)
+
+    kind = told.schema["doc_id"].dataType.simpleString()
+    nothing = lambda t: F.lit(None).cast(t)
+    docs_of = told.where("kind = 0").select("unit", F.lit(True).alias("doc"), "doc_id", "held_out", "text", nothing("binary").alias("grams"), nothing("binary").alias("log10"))
+    known = found.select("unit", F.lit(False).alias("doc"), nothing(kind).alias("doc_id"), nothing("boolean").alias("held_out"), nothing("string").alias("text"), "grams", "log10")
+    rows = known.union(docs_of).repartition("unit").sortWithinPartitions("unit", "doc")
+    scored = tools.stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>"))
     met = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k")).join(words, "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(over))
     rest = met.groupBy("row").agg(F.sum(F.col("k") * each).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("found"))

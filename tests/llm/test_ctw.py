@@ -44,39 +44,56 @@ def brute_next(texts, depth, context):
     return out
 
 
-def levels(texts, depth):
-    keys, n = ctw.grams(texts, depth)
-    out = []
-    for d in range(depth + 1):
-        k, m = ctw._summed([(keys & ((1 << 8 * (d + 1)) - 1), n)])
-        out.append((k >> 8, k & 255, m))
-    return out
-
-
-def test_model_equals_the_recursive_definition():
-    texts = [b"abab", b"abc", b"", b"bca"]
-    model = ctw.build(levels(texts, 2), 2)
-    for context in (b"\0\0", b"ab", b"\0a", b"bc"):
-        row = 0
-        for back in (1, 2):
-            row = int(model.child[row, context[-back]])
-        assert 10.0 ** model.log10[row].astype(float) == pytest.approx(brute_next(texts, 2, context), rel=1e-4)
-
-
-def test_pruned_models_are_probabilities_and_learn():
+def tree_values(texts, unseen, depth):
+    """Strings and their log10 values, learnt from texts, with places for those of unseen."""
+    counted = [ctw.grams(texts, depth)] if texts else []
+    keys, n = ctw._summed([*counted, *((k, m * 0) for k, m in [ctw.grams(unseen, depth)])])
+    top = ctw._top(depth)
+    parts = [ctw._part(keys) == p for p in set(ctw._part(keys).tolist())]
+    trees = [ctw.Subtree(keys[i], n[i], depth, top) for i in parts]
+    joined = [np.concatenate([getattr(t.levels[0], c) for t in trees]) for c in ("keys", "zeros", "ones", "weighted")]
+    order = np.argsort(joined[0])
+    first = ctw.Level(*(c[order] for c in joined[:3]), weighted=joined[3][order])
+    mixed, left = ctw.reached(first, top)
+    out = np.empty(len(keys))
+    for i, t in zip(parts, trees):
+        at = np.searchsorted(first.keys, t.levels[0].keys)
+        out[i] = t.log10(mixed[at], left[at])
+    return keys, out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_values_equal_the_recursive_definition(depth):
+    texts = [b"abab", b"abc", b"", b"bcacab"]
+    asked = [c + bytes([b]) for c in (b"\0\0\0", b"bab", b"\0\0a", b"abc", b"zzz") for b in range(256)]
+    unseen = [a[-depth - 1 :] for a in asked]
+    keys, log10 = tree_values(texts, unseen, depth)
+    for context in {a[-depth - 1 : -1] for a in asked}:
+        key = [int.from_bytes(context + bytes([b]), "big") for b in range(256)]
+        p = 10.0 ** log10[np.searchsorted(keys, key)]
+        assert p == pytest.approx(brute_next(texts, depth, context), rel=1e-9)
+        assert p.sum() == pytest.approx(1)
+
+
+def test_packed_numbers_come_back():
+    for x in (np.array([], np.int64), np.array([5]), np.array([3, 9, 1 << 47])):
+        assert ctw._unpacked(ctw._packed(x, True), np.int64, True).tolist() == x.tolist()
+        assert ctw._unpacked(ctw._packed(x.astype(np.float32)), np.float32).tolist() == x.astype(np.float32).tolist()
+
+
+def test_units_and_parts_do_not_change_scores(spark):
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["the", "there", "other", "then"]) for _ in range(50)).encode() for _ in range(40)]
-    full = levels(texts, 3)
-    for least in (1, 20, 10**9):
-        kept = []
-        for ctx, byte, n in full:
-            u, inv = np.unique(ctx, return_inverse=True)
-            keep = np.bincount(inv, n)[inv] >= least
-            kept.append((ctx[keep], byte[keep], n[keep]))
-        model = ctw.build(kept, 3)
-        assert (10.0 ** model.log10.astype(float)).sum(1) == pytest.approx(np.ones(len(model.log10)), rel=1e-5)
-        bits = -model.score(texts).sum() / np.log10(2) / sum(len(t) + 1 for t in texts)
-        assert bits < {1: 1.0, 20: 1.2}.get(least, 8.1)
+    rows = [(i, " ".join(rng.choice(["the", "there", "other", "then", "x" * 40]) for _ in range(rng.randrange(90)))) for i in range(120)] + [(5, "z" * 30_000), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    held = F.col("doc_id") % 3 == 1
+    texts = [ctw.tools.lower_bytes(t) for _, t in rows]
+    learnt = [t for (i, _), t in zip(rows, texts) if i % 3 != 1]
+    keys, log10 = tree_values(learnt, texts, 5)
+    want = sorted(zip([i for i, _ in rows], ctw.text_scores(texts, 5, keys, log10).tolist()))
+    for unit_bytes in (300, 8_000_000):
+        got = sorted((r.doc_id, r.score) for r in ctw.score(docs, held_out=held, tree=ctw.Tree(unit_bytes=unit_bytes)).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-5)
 
 
 def test_scores_and_baseline(spark):
