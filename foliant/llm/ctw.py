@@ -7,14 +7,14 @@ of a byte. Texts start after `depth` zero bytes and end with one, which is score
 
 The tree holds every context of the training documents, and grows with them; no task or driver holds it:
 
-1. `survey` deals the documents into units of bounded bytes and counts the distinct strings of depth + 1
+1. `survey` deals the documents into units of bounded bytes, which it keeps compressed, and counts the distinct strings of depth + 1
    bytes of each, dealt into parts by the two bytes before the last. Strings of held-out documents count zero, so all have a place.
 2. `totals` merges the counts of a part as its rows stream by, sorted.
 3. Below the contexts of two bytes a tree lies in one part: `Subtree` weighs it there. What the
    contexts of two bytes weigh (at most 65,536 contexts of 255 decisions, in fact those that occur) goes to the driver,
    which weighs the root's levels and broadcasts the mixture that reaches each of them.
 4. Each part then knows the log-probability of its strings; units meet the values they asked for, and their
-   documents add them up. Rows stream sorted: a unit's values, then its documents.
+   documents add them up.
 
 The word baseline is exact: words that make up at least 1 / max_words of the training tokens are
 broadcast (so at most max_words), and all others meet their counts in a join.
@@ -26,6 +26,7 @@ empty and a bit costs one bit; other columns are not read.
 
 from __future__ import annotations
 
+import io
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliant.llm import _tools as tools
 
@@ -45,7 +45,7 @@ from foliant.llm import _tools as tools
 class Tree:
     depth: int = 5  # at most 6: a string is a signed number of 64 bits
     unit_bytes: int = 8_000_000
-    max_words: int = 1 << 18
+    max_words: int = 1 << 20
 
 
 def slices(texts: pa.Array | list[str | None], at_most: int = 500_000, rows: int = 128) -> Iterator[list[bytes]]:
@@ -110,32 +110,50 @@ def _part(keys: np.ndarray) -> np.ndarray:
     return ((keys >> 8 & 0xFFFF) * 40503 & 0xFFFF) >> 6
 
 
-#: What `survey` tells: documents (kind 0), strings of a unit in a part (1), words (2).
-_SURVEY = ("kind", "unit", "doc_id", "held_out", "text", "part", "grams", "word", "n", "counts")
+def _sealed(rows: pa.RecordBatch) -> bytes:
+    """A few documents, compressed."""
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(rows)
+    return out.getvalue()
 
 
-def _surveyed(batches: Iterator[pa.RecordBatch], tree: Tree, schema: pa.Schema, pending: int = 250_000, words_held: int = 600_000) -> Iterator[pa.RecordBatch]:
+def _dealt(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted strings by part, and their parts in it."""
+    part = _part(keys)
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+#: What `survey` tells: documents (part -1; n learnt from) and strings of a unit in a part.
+_SURVEY = pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("docs", pa.binary()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def _strings(texts: list[bytes], held: list[bool], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counted strings of texts; those of held-out ones count zero."""
+    found = []
+    for hold in (False, True):
+        if some := [t for t, h in zip(texts, held) if h == hold]:
+            keys, n = grams(some, depth)
+            found.append((keys, n * (not hold)))
+    return found
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch], tree: Tree, pending: int = 250_000) -> Iterator[pa.RecordBatch]:
     """Rows of a task; memory is bounded by merging and by the bytes of a unit (one text at least)."""
 
     def rows(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in _SURVEY], schema=_SURVEY)
 
     def unit_rows(unit: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        part = _part(keys)
-        order = np.argsort(part, kind="stable")
-        keys, n, part = keys[order], n[order], part[order]
+        order, part = _dealt(keys)
+        keys, n = keys[order], n[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         spans = list(zip(cuts[:-1], cuts[1:]))
         k = len(spans)
-        return rows(k, kind=pa.array([1] * k), unit=pa.array([unit] * k), part=pa.array(part[cuts[:-1]]), grams=pa.array([_packed(keys[i:j], True) for i, j in spans], pa.binary()), counts=pa.array([_packed(n[i:j]) for i, j in spans], pa.binary()))
+        return rows(k, unit=pa.array([unit] * k), part=pa.array(part[cuts[:-1]]), grams=pa.array([_packed(keys[i:j], True) for i, j in spans], pa.binary()), counts=pa.array([_packed(n[i:j]) for i, j in spans], pa.binary()))
 
-    def word_rows(words: Counter) -> Iterator[pa.RecordBatch]:
-        found = iter(words.items())
-        while some := list(islice(found, 200_000)):
-            w, n = zip(*some)
-            yield rows(len(w), kind=pa.array([2] * len(w)), word=pa.array(w, pa.binary()), n=pa.array(n))
-
-    unit, filled, parts, new, words = TaskContext.get().partitionId() << 32, 0, [], 0, Counter()
+    unit, filled, parts, new = TaskContext.get().partitionId() << 32, 0, [], 0
     for batch in batches:
         done = 0
         for texts in slices(batch.column(2)):
@@ -143,25 +161,37 @@ def _surveyed(batches: Iterator[pa.RecordBatch], tree: Tree, schema: pa.Schema,
                 yield unit_rows(unit, *_summed(parts))
                 unit, filled, parts, new = unit + 1, 0, [], 0
             mine = batch.slice(done, len(texts))
-            yield rows(len(texts), kind=pa.array([0] * len(texts)), unit=pa.array([unit] * len(texts)), doc_id=mine.column(0), held_out=mine.column(1), text=mine.column(2))
             held = mine.column(1).to_pylist()
-            learnt = [t for t, h in zip(texts, held) if not h]
-            for some, weight in ((learnt, 1), ([t for t, h in zip(texts, held) if h], 0)):
-                if some:
-                    keys, n = grams(some, tree.depth)
-                    parts.append((keys, n * weight))
-                    new += len(keys)
+            told = pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(texts, pa.binary())], ["doc_id", "held_out", "text"])
+            yield rows(1, unit=pa.array([unit]), part=pa.array([-1]), docs=pa.array([_sealed(told)], pa.binary()), n=pa.array([held.count(False)]))
+            found = _strings(texts, held, tree.depth)
+            parts += found
+            new += sum(len(k) for k, _ in found)
             if new > pending:
                 parts, new = [_summed(parts)], 0
-            for t in learnt:
-                words.update(t.split())
-            if len(words) > words_held:
-                yield from word_rows(words)
-                words = Counter()
             filled, done = filled + sum(len(t) + 1 for t in texts), done + len(texts)
     if parts:
         yield unit_rows(unit, *_summed(parts))
-    yield from word_rows(words)
+
+
+def _worded(batches: Iterator[pa.RecordBatch], held: int = 600_000) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n) of a task, which flushes early."""
+
+    def rows(words: Counter) -> Iterator[pa.RecordBatch]:
+        found = iter(words.items())
+        while some := list(islice(found, 200_000)):
+            w, n = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+
+    words = Counter()
+    for batch in batches:
+        for texts in slices(batch.column(0)):
+            for t in texts:
+                words.update(t.split())
+            if len(words) > held:
+                yield from rows(words)
+                words = Counter()
+    yield from rows(words)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -264,15 +294,11 @@ def _top(depth: int) -> int:
 
 def survey(docs: DataFrame, tree: Tree) -> DataFrame:
     """Staged rows of `_SURVEY` of (doc_id, held_out, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    types = ("byte", "long", kind, "boolean", "string", "int", "binary", "binary", "long", "binary")
-    empty = docs.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in zip(_SURVEY, types)))
-    schema = to_arrow_schema(empty.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _surveyed(batches, tree, schema)
+        yield from _surveyed(batches, tree)
 
-    return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, empty.schema))
+    return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "unit long, part int, docs binary, n long, grams binary, counts binary"))
 
 
 def totals(told: DataFrame) -> DataFrame:
@@ -299,7 +325,7 @@ def totals(told: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    rows = told.where("kind = 1").select("part", "grams", "counts").repartition("part").sortWithinPartitions("part")
+    rows = told.where("part >= 0").select("part", "grams", "counts").repartition("part").sortWithinPartitions("part")
     return tools.stage(rows.mapInArrow(run, "part int, grams binary, counts binary"))
 
 
@@ -332,24 +358,42 @@ def values(strings: DataFrame, tree: Tree) -> DataFrame:
 
 
 def asked(told: DataFrame, known: DataFrame) -> DataFrame:
-    """(unit, grams, log10) of the strings of each unit: a part's values stream by before what units ask."""
+    """(unit, part, log10) of the strings of each unit, in their order: a part's values stream by before what units ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = log10 = None
         for batch in batches:
-            units, found, grams_of = [], [], []
-            for g, unit, v in zip(*(batch.column(c).to_pylist() for c in ("grams", "unit", "log10"))):
+            units, parts, found = [], [], []
+            for p, unit, g, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if unit < 0:
                     keys, log10 = _unpacked(g, np.int64, True), _unpacked(v, np.float32)
                 else:
                     units.append(unit)
-                    grams_of.append(g)
+                    parts.append(p)
                     found.append(_packed(log10[np.searchsorted(keys, _unpacked(g, np.int64, True))]))
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(grams_of, pa.binary()), pa.array(found, pa.binary())], ["unit", "grams", "log10"])
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(parts, pa.int32()), pa.array(found, pa.binary())], ["unit", "part", "log10"])
 
-    asks = told.where("kind = 1").select("part", F.col("unit"), "grams", F.lit(None).cast("binary").alias("log10"))
+    asks = told.where("part >= 0").select("part", F.col("unit"), "grams", F.lit(None).cast("binary").alias("log10"))
     both = known.select("part", F.lit(-1).cast("long").alias("unit"), "grams", "log10").union(asks)
-    return both.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, "unit long, grams binary, log10 binary")
+    return both.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, "unit long, part int, log10 binary")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes], list[bytes]]]:
+    """Of each unit: parts and their packed values, and its documents."""
+    unit, parts, packed, sealed = None, [], [], []
+    for batch in batches:
+        for u, p, v, x in zip(*(c.to_pylist() for c in batch.columns)):
+            if u != unit:
+                if sealed:
+                    yield unit, parts, packed, sealed
+                unit, parts, packed, sealed = u, [], [], []
+            if p < 0:
+                sealed.append(x)
+            else:
+                parts.append(p)
+                packed.append(v)
+    if sealed:
+        yield unit, parts, packed, sealed
 
 
 def text_scores(texts: list[bytes], depth: int, keys: np.ndarray, log10: np.ndarray) -> np.ndarray:
@@ -368,9 +412,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
     held_out is a boolean column (from F) of the rows not to learn from; none by default.
     """
     hold = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    told = survey(docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text")), tree)
-    words = tools.stage(told.where("kind = 2").groupBy("word").agg(F.sum("n").alias("n")))
-    n_docs = told.where("kind = 0 and not held_out").count()
+    d = docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text"))
+    told = survey(d, tree)
+    words = tools.stage(d.where("not held_out").select("text").mapInArrow(_worded, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    n_docs = told.where("part < 0").agg(F.sum("n")).first()[0] or 0
     n, distinct = words.agg(F.sum("n"), F.count("*")).first()
     n_train, n_distinct = (n or 0) + n_docs, distinct + (n_docs > 0)
     over = float(n_train + n_distinct + 1)
@@ -383,45 +428,30 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
         at = TaskContext.get().partitionId() << 40
         end = np.log10((n_docs + 1) / over)
         worth = {w: float(np.log10((c + 1) / over)) for w, c in shared.value.items()}
-        unit, held, keys, log10 = None, [], None, None
-        for batch in batches:
-            is_doc = np.asarray(batch.column("doc").to_numpy(zero_copy_only=False), bool)
-            units = batch.column("unit").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (units[1:] != units[:-1]) | (is_doc[1:] != is_doc[:-1]), True])
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                part = batch.slice(i, j - i)
-                if not is_doc[i]:
-                    if units[i] != unit:
-                        unit, held = units[i], []
-                    held += [(_unpacked(g, np.int64, True), _unpacked(v, np.float32)) for g, v in zip(part.column("grams").to_pylist(), part.column("log10").to_pylist())]
-                    continue
-                if held:
-                    keys, log10 = (np.concatenate(x) for x in zip(*held))
-                    order = np.argsort(keys)
-                    keys, log10, held = keys[order], log10[order], []
-                done = 0
-                for texts in slices(part.column("text")):
-                    rare, sums, n_tokens, n_known = [], [], [], []
-                    for t in texts:
-                        own = t.split()
-                        each = list(map(worth.get, own))
-                        missing = [w for w, v in zip(own, each) if v is None]
-                        rare.append(missing)
-                        sums.append(sum(v for v in each if v is not None) + end)
-                        n_tokens.append(len(own) + 1)
-                        n_known.append(len(own) - len(missing) + (n_docs > 0))
-                    rows = part.slice(done, len(texts))
-                    scores = text_scores(texts, depth, keys, log10)
-                    size = np.array([len(t) + 1 for t in texts])
-                    arrays = [pa.array(np.arange(at, at + len(texts))), rows.column("doc_id"), rows.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / size), pa.array(rare, pa.list_(pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare"])
-                    done, at = done + len(texts), at + len(texts)
-
-    kind = told.schema["doc_id"].dataType.simpleString()
-    nothing = lambda t: F.lit(None).cast(t)
-    docs_of = told.where("kind = 0").select("unit", F.lit(True).alias("doc"), "doc_id", "held_out", "text", nothing("binary").alias("grams"), nothing("binary").alias("log10"))
-    known = found.select("unit", F.lit(False).alias("doc"), nothing(kind).alias("doc_id"), nothing("boolean").alias("held_out"), nothing("string").alias("text"), "grams", "log10")
-    rows = known.union(docs_of).repartition("unit").sortWithinPartitions("unit", "doc")
+        for _, parts, packed, sealed in _units(batches):
+            some = [pa.ipc.open_stream(x).read_next_batch() for x in sealed]
+            keys = _summed([x for r in some for x in _strings(r.column(2).to_pylist(), r.column(1).to_pylist(), depth)])[0]
+            log10 = np.empty(len(keys), np.float32)
+            log10[_dealt(keys)[0]] = np.concatenate([_unpacked(packed[i], np.float32) for i in np.argsort(parts)])
+            for docs_of in some:
+                texts = docs_of.column(2).to_pylist()
+                rare, sums, n_tokens, n_known = [], [], [], []
+                for t in texts:
+                    own = t.split()
+                    each = list(map(worth.get, own))
+                    missing = [w for w, v in zip(own, each) if v is None]
+                    rare.append(missing)
+                    sums.append(sum(v for v in each if v is not None) + end)
+                    n_tokens.append(len(own) + 1)
+                    n_known.append(len(own) - len(missing) + (n_docs > 0))
+                scores = text_scores(texts, depth, keys, log10)
+                size = np.array([len(t) + 1 for t in texts])
+                arrays = [pa.array(np.arange(at, at + len(texts))), docs_of.column(0), docs_of.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / size), pa.array(rare, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare"])
+                at += len(texts)
+
+    kind = d.schema["doc_id"].dataType.simpleString()
+    rows = found.withColumn("docs", F.lit(None).cast("binary")).union(told.where("part < 0").select("unit", "part", F.lit(None).cast("binary"), "docs")).repartition("unit").sortWithinPartitions("unit")
     scored = tools.stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>"))
     met = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k")).join(words, "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(over))
