@@ -43,14 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write once, read many times: cuts lineage in a way that survives lost executors.
 
     The table lies in the shared folder and goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

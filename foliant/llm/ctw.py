@@ -27,6 +27,7 @@ empty and a bit costs one bit; other columns are not read.
 from __future__ import annotations
 
 import io
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ from foliant.llm import _tools as tools
 @dataclass(frozen=True)
 class Tree:
     depth: int = 5  # at most 6: a string is a signed number of 64 bits
-    unit_bytes: int = 8_000_000
+    unit_bytes: int = 16_500_000
     max_words: int = 1 << 20
 
 
@@ -298,7 +299,7 @@ def survey(docs: DataFrame, tree: Tree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _surveyed(batches, tree)
 
-    return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "unit long, part int, docs binary, n long, grams binary, counts binary"))
+    return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "unit long, part int, docs binary, n long, grams binary, counts binary"), "zstd")
 
 
 def totals(told: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def totals(told: DataFrame) -> DataFrame:
             yield out()
 
     rows = told.where("part >= 0").select("part", "grams", "counts").repartition("part").sortWithinPartitions("part")
-    return tools.stage(rows.mapInArrow(run, "part int, grams binary, counts binary"))
+    return tools.stage(rows.mapInArrow(run, "part int, grams binary, counts binary"), "zstd")
 
 
 def values(strings: DataFrame, tree: Tree) -> DataFrame:
@@ -354,7 +355,7 @@ def values(strings: DataFrame, tree: Tree) -> DataFrame:
                 log10 = tree_of.log10(mixed[at], left[at]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([g], pa.binary()), pa.array([_packed(log10)], pa.binary())], ["part", "grams", "log10"])
 
-    return tools.stage(strings.mapInArrow(run, "part int, grams binary, log10 binary"))
+    return tools.stage(strings.mapInArrow(run, "part int, grams binary, log10 binary"), "zstd")
 
 
 def asked(told: DataFrame, known: DataFrame) -> DataFrame:
@@ -414,20 +415,20 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
     hold = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     d = docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text"))
     told = survey(d, tree)
-    words = tools.stage(d.where("not held_out").select("text").mapInArrow(_worded, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = tools.stage(d.where("not held_out").select("text").mapInArrow(_worded, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "zstd")
     n_docs = told.where("part < 0").agg(F.sum("n")).first()[0] or 0
     n, distinct = words.agg(F.sum("n"), F.count("*")).first()
     n_train, n_distinct = (n or 0) + n_docs, distinct + (n_docs > 0)
     over = float(n_train + n_distinct + 1)
     common = words.where(F.col("n") * tree.max_words >= n_train).collect()
-    shared = docs.sparkSession.sparkContext.broadcast({bytes(r.word): r.n for r in common})
+    shared = docs.sparkSession.sparkContext.broadcast({bytes(r.word): math.log10((r.n + 1) / over) for r in common})
     depth = tree.depth
     found = asked(told, values(totals(told), tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         end = np.log10((n_docs + 1) / over)
-        worth = {w: float(np.log10((c + 1) / over)) for w, c in shared.value.items()}
+        worth = shared.value
         for _, parts, packed, sealed in _units(batches):
             some = [pa.ipc.open_stream(x).read_next_batch() for x in sealed]
             keys = _summed([x for r in some for x in _strings(r.column(2).to_pylist(), r.column(1).to_pylist(), depth)])[0]
@@ -435,26 +436,28 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
             log10[_dealt(keys)[0]] = np.concatenate([_unpacked(packed[i], np.float32) for i in np.argsort(parts)])
             for docs_of in some:
                 texts = docs_of.column(2).to_pylist()
-                rare, sums, n_tokens, n_known = [], [], [], []
+                rare, times, sums, n_tokens, n_known = [], [], [], [], []
                 for t in texts:
                     own = t.split()
                     each = list(map(worth.get, own))
                     missing = [w for w, v in zip(own, each) if v is None]
-                    rare.append(missing)
+                    distinct = Counter(missing)
+                    rare.append(list(distinct))
+                    times.append(list(distinct.values()))
                     sums.append(sum(v for v in each if v is not None) + end)
                     n_tokens.append(len(own) + 1)
                     n_known.append(len(own) - len(missing) + (n_docs > 0))
                 scores = text_scores(texts, depth, keys, log10)
                 size = np.array([len(t) + 1 for t in texts])
-                arrays = [pa.array(np.arange(at, at + len(texts))), docs_of.column(0), docs_of.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / size), pa.array(rare, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare"])
+                arrays = [pa.array(np.arange(at, at + len(texts))), docs_of.column(0), docs_of.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / size), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "rare", "times"])
                 at += len(texts)
 
     kind = d.schema["doc_id"].dataType.simpleString()
     rows = found.withColumn("docs", F.lit(None).cast("binary")).union(told.where("part < 0").select("unit", "part", F.lit(None).cast("binary"), "docs")).repartition("unit").sortWithinPartitions("unit")
-    scored = tools.stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>"))
-    met = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k")).join(words, "word", "left")
+    scored = tools.stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>, times array<long>"), "zstd")
+    met = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k")).join(words, "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(over))
     rest = met.groupBy("row").agg(F.sum(F.col("k") * each).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("found"))
-    joined = scored.drop("rare").join(rest, "row", "left")
+    joined = scored.drop("rare", "times").join(rest, "row", "left")
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte")
