@@ -9,12 +9,12 @@ The tree holds every context of the training documents, and grows with them; no
 
 1. `survey` deals the documents into units of bounded bytes, which it keeps compressed, and counts the distinct strings of depth + 1
    bytes of each, dealt into parts by the two bytes before the last. Strings of held-out documents count zero, so all have a place.
-2. `totals` merges the counts of a part as its rows stream by, sorted.
+2. `totals` merges the counts of a part as its rows stream by, sorted; first those of each group of units, then the groups.
 3. Below the contexts of two bytes a tree lies in one part: `Subtree` weighs it there. What the
    contexts of two bytes weigh (at most 65,536 contexts of 255 decisions, in fact those that occur) goes to the driver,
    which weighs the root's levels and broadcasts the mixture that reaches each of them.
-4. Each part then knows the log-probability of its strings; units meet the values they asked for, and their
-   documents add them up.
+4. Each part then knows the log-probability of its strings; units ask for theirs, one task a part and group of units, and their
+   documents add them up. So no task sees more than one part's values and what `group_units` units ask of it.
 
 The word baseline is exact: words that make up at least 1 / max_words of the training tokens are
 broadcast (so at most max_words), and all others meet their counts in a join.
@@ -36,7 +36,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import _tools as tools
@@ -46,6 +46,7 @@ from foliant.llm import _tools as tools
 class Tree:
     depth: int = 5  # at most 6: a string is a signed number of 64 bits
     unit_bytes: int = 16_500_000
+    group_units: int = 128  # units, about, whose strings of a part meet in one task
     max_words: int = 1 << 20
 
 
@@ -302,32 +303,40 @@ def survey(docs: DataFrame, tree: Tree) -> DataFrame:
     return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "unit long, part int, docs binary, n long, grams binary, counts binary"), "zstd")
 
 
-def totals(told: DataFrame) -> DataFrame:
-    """Staged (part, grams, counts) of all units: a part's rows stream by and are merged as they come."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, group, grams, counts), those of a part and group side by side, as one row each."""
+    mine, held, new = None, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, new = None, [], 0
+    def out() -> pa.RecordBatch:
+        keys, n = _summed(held)
+        return pa.RecordBatch.from_arrays([pa.array([mine[0]], pa.int32()), pa.array([_packed(keys, True)], pa.binary()), pa.array([_packed(n)], pa.binary())], ["part", "grams", "counts"])
 
-        def out() -> pa.RecordBatch:
-            keys, n = _summed(held)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(keys, True)], pa.binary()), pa.array([_packed(n)], pa.binary())], ["part", "grams", "counts"])
+    for batch in batches:
+        for p, group, g, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if (p, group) != mine and held:
+                yield out()
+                held, new = [], 0
+            mine = p, group
+            held.append((_unpacked(g, np.int64, True), _unpacked(n, np.int64)))
+            new += len(held[-1][0])
+            if new > 1_000_000 and new > 2 * len(held[0][0]):
+                held = [_summed(held)]
+                new = 0
+    if held:
+        yield out()
 
-        for batch in batches:
-            for p, g, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part and held:
-                    yield out()
-                    held, new = [], 0
-                part = p
-                held.append((_unpacked(g, np.int64, True), _unpacked(n, np.int64)))
-                new += len(held[-1][0])
-                if new > 1_000_000 and new > 2 * len(held[0][0]):
-                    held = [_summed(held)]
-                    new = 0
-        if held:
-            yield out()
 
-    rows = told.where("part >= 0").select("part", "grams", "counts").repartition("part").sortWithinPartitions("part")
-    return tools.stage(rows.mapInArrow(run, "part int, grams binary, counts binary"), "zstd")
+def _group(groups: int) -> Column:
+    return F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int").alias("group")
+
+
+def totals(told: DataFrame, groups: int = 1) -> DataFrame:
+    """Staged (part, grams, counts) of all units, merged by groups of units first."""
+    kind = "part int, grams binary, counts binary"
+    rows = told.where("part >= 0").select("part", _group(groups), "grams", "counts")
+    rows = rows.repartition("part", "group").sortWithinPartitions("part", "group").mapInArrow(_merged, kind)
+    rows = rows.select("part", F.lit(0).alias("group"), "grams", "counts")
+    return tools.stage(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_merged, kind), "zstd")
 
 
 def values(strings: DataFrame, tree: Tree) -> DataFrame:
@@ -358,43 +367,51 @@ def values(strings: DataFrame, tree: Tree) -> DataFrame:
     return tools.stage(strings.mapInArrow(run, "part int, grams binary, log10 binary"), "zstd")
 
 
-def asked(told: DataFrame, known: DataFrame) -> DataFrame:
-    """(unit, part, log10) of the strings of each unit, in their order: a part's values stream by before what units ask."""
+def asked(told: DataFrame, known: DataFrame, groups: int = 1) -> DataFrame:
+    """(unit, part, grams, log10) of the strings of each unit: a part's values stream by before what the units of a group ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = log10 = None
         for batch in batches:
-            units, parts, found = [], [], []
-            for p, unit, g, v in zip(*(c.to_pylist() for c in batch.columns)):
+            units, parts, strings, found = [], [], [], []
+            for p, _, unit, g, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if unit < 0:
                     keys, log10 = _unpacked(g, np.int64, True), _unpacked(v, np.float32)
                 else:
                     units.append(unit)
                     parts.append(p)
+                    strings.append(g)
                     found.append(_packed(log10[np.searchsorted(keys, _unpacked(g, np.int64, True))]))
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(parts, pa.int32()), pa.array(found, pa.binary())], ["unit", "part", "log10"])
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(parts, pa.int32()), pa.array(strings, pa.binary()), pa.array(found, pa.binary())], ["unit", "part", "grams", "log10"])
+
+    asks = told.where("part >= 0").select("part", _group(groups), "unit", "grams", F.lit(None).cast("binary").alias("log10"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    both = known.select("part", every, F.lit(-1).cast("long").alias("unit"), "grams", "log10").union(asks)
+    return both.repartition("part", "group").sortWithinPartitions("part", "group", "unit").mapInArrow(run, "unit long, part int, grams binary, log10 binary")
 
-    asks = told.where("part >= 0").select("part", F.col("unit"), "grams", F.lit(None).cast("binary").alias("log10"))
-    both = known.select("part", F.lit(-1).cast("long").alias("unit"), "grams", "log10").union(asks)
-    return both.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, "unit long, part int, log10 binary")
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Of each unit: its strings, sorted, and their values; its documents."""
+    unit, strings, found, sealed = None, [], [], []
+
+    def out() -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        keys = np.concatenate([_unpacked(g, np.int64, True) for g in strings])
+        order = np.argsort(keys)
+        return keys[order], np.concatenate([_unpacked(v, np.float32) for v in found])[order], sealed
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes], list[bytes]]]:
-    """Of each unit: parts and their packed values, and its documents."""
-    unit, parts, packed, sealed = None, [], [], []
     for batch in batches:
-        for u, p, v, x in zip(*(c.to_pylist() for c in batch.columns)):
+        for u, p, g, v, x in zip(*(c.to_pylist() for c in batch.columns)):
             if u != unit:
                 if sealed:
-                    yield unit, parts, packed, sealed
-                unit, parts, packed, sealed = u, [], [], []
+                    yield out()
+                unit, strings, found, sealed = u, [], [], []
             if p < 0:
                 sealed.append(x)
             else:
-                parts.append(p)
-                packed.append(v)
+                strings.append(g)
+                found.append(v)
     if sealed:
-        yield unit, parts, packed, sealed
+        yield out()
 
 
 def text_scores(texts: list[bytes], depth: int, keys: np.ndarray, log10: np.ndarray) -> np.ndarray:
@@ -416,25 +433,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
     d = docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text"))
     told = survey(d, tree)
     words = tools.stage(d.where("not held_out").select("text").mapInArrow(_worded, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "zstd")
-    n_docs = told.where("part < 0").agg(F.sum("n")).first()[0] or 0
+    n_docs, n_units = told.where("part < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("unit")).first()
+    groups = max(1, -(-n_units // tree.group_units))
     n, distinct = words.agg(F.sum("n"), F.count("*")).first()
     n_train, n_distinct = (n or 0) + n_docs, distinct + (n_docs > 0)
     over = float(n_train + n_distinct + 1)
     common = words.where(F.col("n") * tree.max_words >= n_train).collect()
     shared = docs.sparkSession.sparkContext.broadcast({bytes(r.word): math.log10((r.n + 1) / over) for r in common})
     depth = tree.depth
-    found = asked(told, values(totals(told), tree))
+    found = asked(told, values(totals(told, groups), tree), groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         end = np.log10((n_docs + 1) / over)
         worth = shared.value
-        for _, parts, packed, sealed in _units(batches):
-            some = [pa.ipc.open_stream(x).read_next_batch() for x in sealed]
-            keys = _summed([x for r in some for x in _strings(r.column(2).to_pylist(), r.column(1).to_pylist(), depth)])[0]
-            log10 = np.empty(len(keys), np.float32)
-            log10[_dealt(keys)[0]] = np.concatenate([_unpacked(packed[i], np.float32) for i in np.argsort(parts)])
-            for docs_of in some:
+        for keys, log10, sealed in _units(batches):
+            for few in sealed:
+                docs_of = pa.ipc.open_stream(few).read_next_batch()
                 texts = docs_of.column(2).to_pylist()
                 rare, times, sums, n_tokens, n_known = [], [], [], [], []
                 for t in texts:
@@ -454,7 +469,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
                 at += len(texts)
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    rows = found.withColumn("docs", F.lit(None).cast("binary")).union(told.where("part < 0").select("unit", "part", F.lit(None).cast("binary"), "docs")).repartition("unit").sortWithinPartitions("unit")
+    rows = found.withColumn("docs", F.lit(None).cast("binary")).union(told.where("part < 0").select("unit", "part", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "docs")).repartition("unit").sortWithinPartitions("unit")
     scored = tools.stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>, times array<long>"), "zstd")
     met = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k")).join(words, "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(over))

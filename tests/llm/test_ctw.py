@@ -81,7 +81,7 @@ def test_packed_numbers_come_back():
         assert ctw._unpacked(ctw._packed(x.astype(np.float32)), np.float32).tolist() == x.astype(np.float32).tolist()
 
 
-def test_units_and_parts_do_not_change_scores(spark):
+def test_units_groups_and_parts_do_not_change_scores(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["the", "there", "other", "then", "x" * 40]) for _ in range(rng.randrange(90)))) for i in range(120)] + [(5, "z" * 30_000), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -90,8 +90,8 @@ def test_units_and_parts_do_not_change_scores(spark):
     learnt = [t for (i, _), t in zip(rows, texts) if i % 3 != 1]
     keys, log10 = tree_values(learnt, texts, 5)
     want = sorted(zip([i for i, _ in rows], ctw.text_scores(texts, 5, keys, log10).tolist()))
-    for unit_bytes in (300, 8_000_000):
-        got = sorted((r.doc_id, r.score) for r in ctw.score(docs, held_out=held, tree=ctw.Tree(unit_bytes=unit_bytes)).collect())
+    for tree in (ctw.Tree(unit_bytes=300), ctw.Tree(unit_bytes=300, group_units=3), ctw.Tree(unit_bytes=8_000_000)):
+        got = sorted((r.doc_id, r.score) for r in ctw.score(docs, held_out=held, tree=tree).collect())
         assert [i for i, _ in got] == [i for i, _ in want]
         assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-5)
 
