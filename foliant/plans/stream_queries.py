@@ -43,22 +43,28 @@ def limited(stream: DataFrame, limit: int = LIMIT) -> DataFrame:
     """event_id, user_id, bucket, allowed with the counters of each user's open windows as state.
 
     Counters go when their window has passed by event time. Within a micro-batch requests are taken
-    in order of time, between batches in order of arrival.
+    in order of time, between batches in order of arrival. A user's rows stream by: only requests
+    that may still be allowed are held, `limit` a window at most.
     """
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        told = ["event_id", "user_id", "bucket", "allowed"]
         used = dict(zip(*state.get)) if state.exists else {}
-        before = rows["bucket"].map(used).fillna(0) + rows.groupby("bucket").cumcount()
-        for bucket, n in rows["bucket"].value_counts().items():
-            used[int(bucket)] = min(limit, used.get(int(bucket), 0) + int(n))
+        first = None  # the earliest requests so far, as many as each window has room for
+        for part in parts:
+            rows = (part if first is None else pd.concat([first, part])).sort_values(["ts", "event_id"])
+            fits = rows["bucket"].map(used).fillna(0) + rows.groupby("bucket").cumcount() < limit
+            first = rows[fits]
+            yield rows[~fits].assign(allowed=False)[told]  # enough earlier ones are known
+        for bucket, n in first["bucket"].value_counts().items():
+            used[int(bucket)] = used.get(int(bucket), 0) + int(n)
         used = {b: n for b, n in used.items() if (b + WINDOW) * 1000 > state.getCurrentWatermarkMs()}
         state.update((list(used), list(used.values())))
         state.setTimeoutTimestamp(max((max(used, default=0) + WINDOW) * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows.assign(allowed=before < limit)[["event_id", "user_id", "bucket", "allowed"]]
+        yield first.assign(allowed=True)[told]
 
     d = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
     seconds = F.unix_seconds("ts")
