@@ -125,8 +125,8 @@ def format_paths(paths: DataFrame, messages: DataFrame, trained: str = "assistan
 def threads(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Messages of linear conversations: every row replies to the row before it.
 
-    Equal turns follow each other by role and text. A conversation's rows are ordered without
-    their texts: (turn, role, hash of the text, and a count of equal rows).
+    A conversation's rows are ordered by turn (null first), role and text, so equal turns follow each
+    other by role and text. The rows of one conversation are sorted in one task, which spills.
     """
     rows = turns.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")

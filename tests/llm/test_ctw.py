@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 from functools import cache
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import ctw
+from foliant.llm import ctw, queries
 
 
 def brute_next(texts, depth, context):
@@ -127,3 +128,23 @@ def test_empty_and_nothing_to_learn(spark):
     assert ctw.score(none).count() == 0
     r = ctw.score(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), held_out=F.lit(True)).first()
     assert r.bits_per_byte == pytest.approx(8) and r.n_known == 0 and r.train_tokens == 0
+
+
+def test_registered_query_against_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    split = {i: ctw.tools.lower_bytes(t).split() for i, t in rows}
+    n_docs = sum(not h for h in held.values())
+    c = Counter(w for i, words in split.items() if not held[i] for w in words)
+    n, over = sum(c.values()) + n_docs, sum(c.values()) + n_docs + len(c) + 2
+    learnt = [ctw.tools.lower_bytes(t) for i, t in rows if not held[i]]
+    texts = [ctw.tools.lower_bytes(t) for _, t in rows]
+    scores = dict(zip(split, ctw.text_scores(texts, 5, *tree_values(learnt, texts, 5))))
+    got = queries.op3_context_tree(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(split)
+    for r in got:
+        words = split[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(words) + 1, sum(c[w] > 0 for w in words) + 1, n)
+        assert r.base_score == pytest.approx(math.log10((n_docs + 1) / over) + sum(math.log10((c[w] + 1) / over) for w in words))
+        assert r.score == pytest.approx(scores[r.doc_id], rel=1e-5)
