@@ -2,7 +2,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
-from foliant.plans import stream_queries as sq
+from foliant.streaming import stream_queries as sq
 
 
 def test_limiter_streams_a_hot_user_in_small_batches(spark, tmp_path):
