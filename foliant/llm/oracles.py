@@ -63,4 +63,39 @@ WITH {_ROWS}, w AS (SELECT *, list_filter(string_split_regex(text, '{_SPACES}'),
  judged AS (SELECT host FROM hosts, q WHERE (bad + mean * strength) / (k + strength) > 0.8)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host IS NULL AS kept FROM f LEFT JOIN judged ON source = host"""
 
-ORACLE_SQL = {"op4_decontamination": OVERLAPS, "op5_suffix_dedup": REPEATS, "op6_reply_trees": CHATS, "op9_quality_rules": QUALITY}
+#: Equal texts, the row with the largest doc_id stays; of repeated rows one.
+EXACT = f"""
+WITH {_ROWS}, k AS (SELECT r, doc_id, sha256(text) AS text_sha256, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST, r) AS nth, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, nth = 1 AS kept, text_sha256 FROM k"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = rf"""
+WITH {_ROWS}, t AS (SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ts FROM d),
+ c AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM t WHERE len(ts) > 0),
+ p AS (SELECT r, doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, ts, unnest(ts) AS term FROM t) GROUP BY ALL),
+ q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+ w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+ s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY ALL HAVING score > 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+def _centroids(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of assignment and means, one after another."""
+    far = """d{i} AS MATERIALIZED (SELECT r, j, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS far FROM v JOIN c{i} c USING (dim) GROUP BY r, j),
+ a{i} AS MATERIALIZED (SELECT r, arg_min(j, (far, j)) AS j, min(far) AS far FROM d{i} GROUP BY r),"""
+    mean = """m{i} AS (SELECT j, dim, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{before} USING (r) GROUP BY j, dim),
+ c{i} AS MATERIALIZED (SELECT j, dim, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{before} c LEFT JOIN m{i} USING (j, dim)),"""
+    steps = " ".join(mean.format(i=i, before=i - 1) + "\n " + far.format(i=i) for i in range(1, rounds + 1))
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ v AS MATERIALIZED (SELECT r, vec_id, unnest(range(1, 65)) AS dim, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e),
+ first AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS j FROM e QUALIFY j < {k}),
+ c0 AS MATERIALIZED (SELECT j, dim, x FROM v JOIN first USING (r)), {far.format(i=0)} {steps}
+ sums AS (SELECT j, sum(far)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY j),
+ named AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT vec_id, j::INTEGER AS cluster, far AS distance, cluster_inertia, (SELECT sum(far)::BIGINT FROM a{rounds}) AS inertia, centroid_sha256 FROM e JOIN a{rounds} USING (r) JOIN sums USING (j) JOIN named USING (j)"""
+
+
+ORACLE_SQL = {"op4_decontamination": OVERLAPS, "op5_suffix_dedup": REPEATS, "op6_reply_trees": CHATS, "op9_quality_rules": QUALITY, "op11_centroids": _centroids(), "op12_exact_dedup": EXACT, "op13_ranked_search": RANKED}

@@ -109,11 +109,29 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import elkan
+
+    return elkan.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed="3").drop("computed")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import digest_runs
+
+    return digest_runs.exact_dedup(_docs(spark, sf_dir), keep="largest")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import ranked_search
+
+    return ranked_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("shards")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op5_suffix_dedup, op6_reply_trees, op7_language_id, op8_mixing, op9_quality_rules, op10_line_templates, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_context_tree, op4_decontamination, op5_suffix_dedup, op6_reply_trees, op7_language_id, op8_mixing, op9_quality_rules, op10_line_templates, op11_centroids, op12_exact_dedup, op13_ranked_search, pipeline)}
 
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL:
