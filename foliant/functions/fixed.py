@@ -76,6 +76,7 @@ RATE_BUCKETS = [("auth-hour", 20, 3600), ("upload-hour", 12, 3600), ("purchase-h
 RECLAIMS, RECLAIM_SECONDS = 3, 604800
 DAY_CAP_CENTS, MONTH_CAP_CENTS, JOB_CAP_CENTS = 2000, 10000, 500
 RATE_KEEP_DAYS, EVENT_KEEP_DAYS = 8, 30
+MAX_ACTIVE_JOBS, RETRY_SECONDS, MAX_RETRIES = 4, 60, 10
 MAX_CLOCK_SKEW_SECONDS = 300
 
 # Display: seconds, minutes, hours beside minutes, hours alone; chunks a minute.

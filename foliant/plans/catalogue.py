@@ -2,6 +2,6 @@
 
 from foliant.plans import ledger_queries, quality_queries, record_queries, text_queries  # noqa: F401  (they register)
 from foliant.plans.text_queries import ORACLE_SQL, QUERIES
-from foliant.streaming import stream_queries  # noqa: F401
+from foliant.streaming import service_queries, stream_queries  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -31,9 +31,9 @@ def _folder(spark: SparkSession) -> str:
     return store.folder(spark, "stream")
 
 
-def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is into Parquet (exactly once) and reads it back."""
-    at = _folder(stream.sparkSession)
+def to_table(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over all there is into Parquet (exactly once) and reads it back; a folder of an earlier run goes on from there."""
+    at = at or _folder(stream.sparkSession)
     writer = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state")
     writer.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
