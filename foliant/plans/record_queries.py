@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from foliant.functions import display, fixed
 from foliant.functions import text as T
 from foliant.operators import ledger, replies
 from foliant.plans.text_queries import query
-from foliant.sources import epub, store
+from foliant.sources import epub, epub_source, store
 
 
 def _sql(v: object) -> str:
@@ -54,52 +56,68 @@ _CHAPTERS_SQL = f"""chapters AS (SELECT doc_id, idx // {CHAPTER} AS pos, string_
  sha256('<html><body>' || body || '</body></html>') AS content_hash FROM chapters""")
 def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written as archives and read back: title, references, manifest, links, contents."""
-    opened = epub.books(_books(spark, sf_dir))
-    spine = epub.spine(opened).join(opened.select("path", "title"), "path")
+    spine = epub.spine(epub.books(_books(spark, sf_dir)))
     return spine.select("path", "title", "spine_pos", "item_id", "href", "media_type", F.sha2("content", 256).alias("content_hash"))
 
 
+@query(f"""WITH {_CHAPTERS_SQL}, b AS (SELECT 'book-' || doc_id || '.epub' AS path, 'Title ' || doc_id AS title, 'ok' AS status, pos::BIGINT AS spine_pos, 'c' || pos AS item_id, 'OEBPS/text/c' || pos || '.xhtml' AS href, sha256('<html><body>' || body || '</body></html>') AS content_hash FROM chapters)
+SELECT * FROM b UNION ALL SELECT 'bad-' || doc_id || '.epub', NULL, 'not an archive', NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 100 = 0""")
+def epub_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of books, some of them none, written and read as a data source."""
+    epub_source.register(spark)
+    path = store.folder(spark, "books")
+    _books(spark, sf_dir).write.format("epub").mode("overwrite").save(path)
+    i = F.col("doc_id").cast("string")
+    bad = _read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.concat(F.lit("bad-"), i, F.lit(".epub")).alias("path"), F.encode(F.lit("no archive, but long enough to be one"), "utf-8").alias("archive"))
+    bad.write.format("epub").mode("append").save(path)
+    found = spark.read.format("epub").option("partitionBytes", 1 << 20).load(path)
+    return found.select("path", "title", "status", "spine_pos", "item_id", "href", F.sha2("content", 256).alias("content_hash"))
+
+
 NOTE = "machine translation & more"
 
 
 @query(f"""WITH {_CHAPTERS_SQL}, n AS (SELECT doc_id, count(*)::BIGINT AS n_chapters FROM chapters GROUP BY 1)
 SELECT 'book-' || doc_id || '.epub' AS path, 'ok' AS status, n_chapters + 1 AS n_items, n_chapters + 1 AS n_spine, '<p>changed</p>' AS first_content, 1::BIGINT AS marks, true AS same_again FROM n""")
 def epub_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives with the first chapter replaced, the mark set and a colophon added, read back."""
+    """Archives with the first chapter replaced, the mark set and a colophon added, read back; and marked a second time."""
     files = _books(spark, sf_dir)
-    opened = epub.books(files)
-    marked = epub.marked_package(F.col("package"), F.lit(NOTE))
-    changes = opened.select("path", F.col("package_path").alias("href"), marked.alias("content"))
-    changes = changes.union(opened.select("path", F.lit("OEBPS/text/c0.xhtml"), F.lit("<p>changed</p>"))).union(opened.select("path", F.lit("OEBPS/translation-colophon.xhtml"), epub.colophon(F.lit(NOTE))))
-    again = epub.books(epub.rebuilt(files, changes))
-    first = F.filter("entries", lambda e: e["path"] == "OEBPS/text/c0.xhtml")[0]["content"]
+    path = store.folder(spark, "delivered")
+    epub.rebuilt(files, files.select("path", F.lit("OEBPS/text/c0.xhtml").alias("href"), F.lit("<p>changed</p>").alias("content")), NOTE).write.parquet(path)
+    made = spark.read.schema("path string, archive binary").parquet(path)
+    again = epub.rebuilt(made, spark.createDataFrame([], "path string, href string, content string"), NOTE)
+    both = epub.books(made).join(again.select("path", F.sha2("archive", 256).alias("twice")), "path").join(made.select("path", F.sha2("archive", 256).alias("once")), "path")
+    first = F.filter("chapters", lambda c: c["href"] == "OEBPS/text/c0.xhtml")[0]["content"]
     marks = F.regexp_count("package", F.lit("trainedAlgorithmicMedia")).cast("long")
-    same = epub.marked_package(F.col("package"), F.lit(NOTE)) == F.col("package")
-    return again.select("path", "status", F.size("items").cast("long").alias("n_items"), F.size("refs").cast("long").alias("n_spine"), first.alias("first_content"), marks.alias("marks"), same.alias("same_again"))
+    return both.select("path", "status", F.size("items").cast("long").alias("n_items"), F.size("refs").cast("long").alias("n_spine"), first.alias("first_content"), marks.alias("marks"), (F.col("once") == F.col("twice")).alias("same_again"))
 
 
-def _zipped(*entries: tuple[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in entries:
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
+_LIMITS = epub.Limits(entries=12, uncompressed=4000)
+_CONTAINER = '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>'
+_PACKAGE = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="c" href="c.xhtml" media-type="text/html"/></manifest><spine><itemref idref="c"/></spine></package>'
 
 
-#: name, what an archive is told, under limits of 2000 bytes, 3 entries and 5000 bytes unpacked
-ADMISSIONS = [("good", "ok"), ("slip", "unsafe path"), ("root", "unsafe path"), ("drive", "unsafe path"), ("many", "too many entries"), ("bomb", "expands too far"), ("large", "too large"), ("text", "not an archive"), ("none", "too large")]
+def _hostile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive a document; by its id some reach out of their folder, hold too many entries, lack a chapter, or are none."""
+    for batch in batches:
+        made = []
+        for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            kind, out = doc % 8, io.BytesIO()
+            more = {2: [("a/../../x", "1")], 3: [("/etc/x", "1")], 4: [("C:\\x", "1")], 5: [(f"f{i}", "") for i in range(12)]}.get(kind, [])
+            package = _PACKAGE.replace("text/html", "text/css") if kind == 6 else _PACKAGE
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, content in [("META-INF/container.xml", _CONTAINER), ("p.opf", package), ("c.xhtml", text or ""), *more]:
+                    z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content.encode("utf-8", "surrogatepass"), zipfile.ZIP_DEFLATED)
+            made.append(b"no archive, but long enough to be one" if kind == 7 else None if doc % 97 == 1 else out.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([f"{d}.epub" for d in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "archive"])
 
 
-@query(f"WITH {values('a', 'path, status', ADMISSIONS)} SELECT path, status FROM a")
+@query(f"""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {len(_CONTAINER) + len(_PACKAGE)} - CASE WHEN doc_id % 8 = 6 THEN 1 ELSE 0 END AS size, doc_id % 8 AS kind FROM documents)
+SELECT doc_id || '.epub' AS path, CASE WHEN kind = 7 THEN 'not an archive' WHEN doc_id % 97 = 1 THEN 'too large' WHEN kind = 5 THEN 'too many entries' WHEN kind IN (2, 3, 4) THEN 'unsafe path' WHEN size > {_LIMITS.uncompressed} THEN 'expands too far' WHEN kind = 6 THEN 'empty' ELSE 'ok' END AS status FROM d""")
 def epub_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hostile archives and why they are refused; sizes are summed from the directory alone."""
-    made = {
-        "good": _zipped(("mimetype", "application/epub+zip"), ("META-INF/container.xml", '<c><rootfile full-path="p.opf"/></c>'), ("p.opf", "<package/>")),
-        "slip": _zipped(("a/../../x", "1")), "root": _zipped(("/etc/x", "1")), "drive": _zipped(("C:\\x", "1")), "many": _zipped(*((f"f{i}", "") for i in range(4))),
-        "bomb": _zipped(("x", "0" * 3000), ("y", "0" * 3000)), "large": b"PK" * 1500, "text": b"no archive at all, but long enough", "none": None,
-    }
-    files = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in made.items()], "path string, archive binary")
-    return epub.books(files, epub.Limits(archive_bytes=2000, entries=3, uncompressed=5000)).select("path", "status")
+    """Archives of documents, hostile ones among them, and why they are refused; sizes are summed from the directory alone."""
+    files = _read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_hostile, "path string, archive binary")
+    return epub.books(files, _LIMITS).select("path", "status")
 
 
 # ---- inline tags and display ---------------------------------------------------------------

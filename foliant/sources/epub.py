@@ -16,11 +16,10 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed
-from foliant.functions import text as T
 
 _CONTAINER, _MIMETYPE = "META-INF/container.xml", "application/epub+zip"
 _EMPTY_SPINE = "empty"
@@ -100,63 +99,67 @@ def package_parts(package: str) -> tuple[str | None, list[dict], list[str | None
     return title, list(items.values()), [x.get("idref") for x in tree.iter() if local(x) == "itemref"]
 
 
-def unpack(archive: bytes | None, limits: Limits = Limits()) -> tuple[str, str | None, str | None, str | None, list[dict], list[dict], list[str | None]]:
-    """status, package path, package document, title, entries (path, text), manifest, references of one archive."""
-    status = admission(archive, limits)
-    if status != "ok":
-        return status, None, None, None, [], [], []
+_CHAPTER = {"spine_pos": pa.int64(), "item_id": pa.string(), "href": pa.string(), "media_type": pa.string(), "content": pa.string()}
+_ITEM = {"id": pa.string(), "href": pa.string(), "media_type": pa.string()}
+#: What is known of a file besides its path.
+_BOOK = {
+    "status": pa.string(), "package_path": pa.string(), "package": pa.string(), "title": pa.string(),
+    "items": pa.list_(pa.struct(list(_ITEM.items()))), "refs": pa.list_(pa.string()), "chapters": pa.list_(pa.struct(list(_CHAPTER.items()))),
+}
+_BOOK_DDL = "status string, package_path string, package string, title string, items array<struct<id: string, href: string, media_type: string>>, refs array<string>, chapters array<struct<spine_pos: bigint, item_id: string, href: string, media_type: string, content: string>>"
+
+
+def resolved(folder: str, href: str) -> str:
+    """Path in the archive of a link relative to a folder; `..` above the root stays there."""
+    out: list[str] = []
+    for part in f"{folder}/{href}".split("/"):
+        if part == "..":
+            out = out[:-1]
+        elif part not in ("", "."):
+            out.append(part)
+    return "/".join(out)
+
+
+def unpack(archive: bytes | None, limits: Limits = Limits()) -> dict:
+    """One archive, opened once: status, package document, title, manifest, references, and the readable chapters in order.
+
+    References meet the manifest and then the entries; what misses either, or is no readable type, is left out. An
+    archive without a chapter is `empty`.
+    """
+    out = dict.fromkeys(_BOOK) | {"status": admission(archive, limits), "items": [], "refs": [], "chapters": []}
+    if out["status"] != "ok":
+        return out
     try:
         members = _members(archive, limits)
         at = package_path(members)
         package = members[at].decode("utf-8")
         title, items, refs = package_parts(package)
     except (KeyError, StopIteration, ElementTree.ParseError, UnicodeDecodeError, zipfile.BadZipFile, ValueError) as e:
-        return f"unreadable: {type(e).__name__}", None, None, None, [], [], []
-    texts = [{"path": p, "content": b.decode("utf-8", "replace")} for p, b in members.items() if re.search(r"\.(x?html?|xml)$", p, re.I)]
-    return "ok", at, package, title, texts, items, refs
+        return out | {"status": f"unreadable: {type(e).__name__}"}
+    known, chapters = {x["id"]: x for x in items}, []
+    for ref in refs:
+        item = known.get(ref)
+        href = resolved(posixpath.dirname(at), item["href"]) if item and item["href"] else None
+        if href in members and item["media_type"] in fixed.XHTML_TYPES:
+            chapters.append({"spine_pos": len(chapters), "item_id": ref, "href": href, "media_type": item["media_type"], "content": members[href].decode("utf-8", "replace")})
+    return {"status": "ok" if chapters else _EMPTY_SPINE, "package_path": at, "package": package, "title": title, "items": items, "refs": refs, "chapters": chapters}
 
 
 def books(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per file: path, status, package_path, package, title, entries, items, refs."""
-    columns = {"status": "string", "package_path": "string", "package": "string", "title": "string", "entries": "array<struct<path: string, content: string>>", "items": "array<struct<id: string, href: string, media_type: string>>", "refs": "array<string>"}
+    """One row per file: path, status, package_path, package, title, items, refs, chapters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one archive in memory at a time
-                rows = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
-                kinds = [pa.string()] * 4 + [rows("path", "content"), rows("id", "href", "media_type"), pa.list_(pa.string())]
-                values = [pa.array([v], k) for v, k in zip(unpack(batch.column(1)[i].as_py(), limits), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *values], ["path", *columns])
+                book = unpack(batch.column(1)[i].as_py(), limits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([book[c]], k) for c, k in _BOOK.items())], ["path", *_BOOK])
 
-    return files.select("path", "archive").mapInArrow(run, "path string, " + ", ".join(f"{c} {k}" for c, k in columns.items()))
+    return files.select("path", "archive").mapInArrow(run, f"path string, {_BOOK_DDL}")
 
 
 def spine(opened: DataFrame) -> DataFrame:
-    """path, spine_pos, item_id, href, media_type, content: the readable items in reading order.
-
-    References meet the manifest, then the entries.
-    """
-    ok = opened.where("status = 'ok'")
-    folder = F.when(F.col("package_path").contains("/"), F.regexp_replace("package_path", "/[^/]*$", "")).otherwise("")
-    refs = ok.select("path", F.posexplode("refs").alias("pos", "item_id"))
-    items = ok.select("path", folder.alias("folder"), F.explode("items").alias("i"))
-    items = items.select("path", F.col("i.id").alias("item_id"), T.resolve_href(F.col("folder"), F.col("i.href")).alias("href"), "i.media_type")
-    entries = ok.select("path", F.explode("entries").alias("e")).select("path", F.col("e.path").alias("href"), "e.content")
-    readable = items.where(F.col("media_type").isin(fixed.XHTML_TYPES))
-    met = refs.join(readable, ["path", "item_id"]).join(entries, ["path", "href"])
-    place = F.dense_rank().over(_by_path())
-    return met.select("path", (place - 1).cast("long").alias("spine_pos"), "item_id", "href", "media_type", "content")
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path").orderBy("pos")
-
-
-def empty_books(opened: DataFrame) -> DataFrame:
-    """Admitted archives without a readable item: their status becomes `empty`."""
-    return opened.where("status = 'ok'").select("path").join(spine(opened).select("path"), "path", "left_anti").withColumn("status", F.lit(_EMPTY_SPINE))
+    """path, title, spine_pos, item_id, href, media_type, content: the readable items in reading order."""
+    return opened.select("path", "title", F.explode("chapters").alias("c")).select("path", "title", "c.*")
 
 
 def written(chapters: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -191,21 +194,30 @@ def _archive(title: str | None, chapters: list[dict]) -> bytes:
     return out.getvalue()
 
 
-def rebuild(archive: bytes, replaced: dict[str, bytes], limits: Limits = Limits()) -> bytes:
-    """The archive with entries replaced (or added); the type entry first and not compressed."""
+def rebuild(archive: bytes, replaced: dict[str, bytes], limits: Limits = Limits(), note: str | None = None, name: str = "translation") -> bytes:
+    """The archive with entries replaced (or added) and marked with the note, if any; the type entry first and not compressed."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         still = lambda name: zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))  # noqa: E731  (equal inputs, equal bytes)
         z.writestr(still("mimetype"), _MIMETYPE, zipfile.ZIP_STORED)
         members = _members(archive, limits) | replaced
-        for name, content in members.items():
-            if name != "mimetype":
-                z.writestr(still(name), content, zipfile.ZIP_DEFLATED)
+        if note is not None:
+            at = package_path(members)
+            page = resolved(posixpath.dirname(at), f"{name}-colophon.xhtml")
+            members[at] = marked_package(members[at].decode("utf-8"), note, name).encode()
+            members.setdefault(page, colophon(note).encode())
+        for path, content in members.items():
+            if path != "mimetype":
+                z.writestr(still(path), content, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
-def rebuilt(files: DataFrame, replacements: DataFrame) -> DataFrame:
-    """path and archive of admitted files with replacements (path, href, content) in place."""
+def rebuilt(files: DataFrame, replacements: DataFrame, note: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """path and archive of admitted files with replacements (path, href, content) in place.
+
+    With a note, the mark of machine translation is set too: in the package document, and as a page at the end.
+    A package that can't take it fails the job, since an unmarked delivery must not pass silently.
+    """
     by_file = replacements.groupBy("path").agg(F.collect_list(F.struct("href", "content")).alias("changes"))
     joined = files.join(by_file, "path", "left").select("path", "archive", "changes")
 
@@ -213,9 +225,9 @@ def rebuilt(files: DataFrame, replacements: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 archive = batch.column(1)[i].as_py()
-                if admission(archive) == "ok":
+                if admission(archive, limits) == "ok":
                     changes = {c["href"]: c["content"].encode() for c in batch.column(2)[i].as_py() or []}
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rebuild(archive, changes)], pa.binary())], ["path", "archive"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rebuild(archive, changes, limits, note)], pa.binary())], ["path", "archive"])
 
     return joined.mapInArrow(run, "path string, archive binary")
 
@@ -225,31 +237,39 @@ def rebuilt(files: DataFrame, replacements: DataFrame) -> DataFrame:
 #: Fixed values of the metadata standard.
 IPTC_PREFIX = "iptc: http://iptc.org/std/Iptc4xmpExt/2008-02-29/"
 SOURCE_TYPE = "http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMedia"
+DUBLIN_CORE = "http://purl.org/dc/elements/1.1/"
 
 
-def marked_package(package: Column, note: Column, name: str = "translation") -> Column:
-    """The package document with the mark: prefix, metadata, and a colophon item at the end.
+def marked_package(package: str, note: str, name: str = "translation") -> str:
+    """The package document as a tree, with a declared prefix, two metadata elements and a last page added.
 
-    Marked documents stay as they are; documents without the needed parts raise an error, since an
-    unmarked delivery must not pass silently.
+    A document that has the mark stays as it is, letter by letter; one without metadata, manifest or spine is refused.
     """
+    prefixes = [space for _, space in ElementTree.iterparse(io.StringIO(package), events=["start-ns"])]
+    root = ElementTree.fromstring(package, ElementTree.XMLParser(target=ElementTree.TreeBuilder(insert_comments=True, insert_pis=True)))
     mark, page = f"{name}-ai-marker", f"{name}-colophon"
-    parts = package.rlike("<package\\b[^>]*>") & package.rlike("</metadata\\s*>") & package.rlike("</manifest\\s*>") & package.rlike("</spine\\s*>")
-    tag = F.regexp_extract(package, "(<package\\b[^>]*>)", 1)
-    prefixed = F.when(tag.rlike("\\bprefix\\s*="), F.regexp_replace(tag, "\\bprefix\\s*=\\s*[\"']([^\"']*)[\"']", f'prefix="$1 {IPTC_PREFIX}"')).otherwise(F.regexp_replace(tag, "^<package", f'<package prefix="{IPTC_PREFIX}"'))
-    declared = F.when(package.contains(IPTC_PREFIX), package).otherwise(F.replace(package, tag, prefixed))
-
-    def before(text: Column, end: str, added: Column) -> Column:
-        close = F.regexp_extract(text, f"(</{end}\\s*>)", 1)
-        return F.replace(text, close, F.concat(added, close))
-
-    metadata = F.concat(F.lit(f'<meta property="iptc:DigitalSourceType">{SOURCE_TYPE}</meta>\n<dc:description id="{mark}">'), T.escape_entities(note), F.lit("</dc:description>\n"))
-    out = before(declared, "metadata", metadata)
-    out = before(out, "manifest", F.lit(f'<item id="{page}" href="{page}.xhtml" media-type="application/xhtml+xml"/>\n'))
-    out = before(out, "spine", F.lit(f'<itemref idref="{page}"/>\n'))
-    return F.when(package.contains(f'id="{mark}"'), package).when(parts, out).otherwise(F.raise_error(F.lit("the package document can't be marked")))
-
-
-def colophon(note: Column) -> Column:
-    body = T.escape_entities(note)
-    return F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head><title>Colophon</title></head>\n<body>\n<p>'), body, F.lit("</p>\n</body>\n</html>\n"))
+    if any(x.get("id") == mark for x in root.iter()):
+        return package
+    kind = root.tag[: -len("package")] if root.tag.endswith("package") else None
+    parts = {} if kind is None else {p: root.find(f"{kind}{p}") for p in ("metadata", "manifest", "spine")}
+    if not parts or any(p is None for p in parts.values()):
+        raise ValueError("the package document can't be marked")
+    declared = root.get("prefix", "")
+    if IPTC_PREFIX not in declared:
+        root.set("prefix", f"{declared} {IPTC_PREFIX}".strip())
+    ElementTree.SubElement(parts["metadata"], f"{kind}meta", {"property": "iptc:DigitalSourceType"}).text = SOURCE_TYPE
+    ElementTree.SubElement(parts["metadata"], f"{{{DUBLIN_CORE}}}description", {"id": mark}).text = note
+    ElementTree.SubElement(parts["manifest"], f"{kind}item", {"id": page, "href": f"{page}.xhtml", "media-type": fixed.XHTML_TYPES[0]})
+    ElementTree.SubElement(parts["spine"], f"{kind}itemref", {"idref": page})
+    for prefix, uri in [("dc", DUBLIN_CORE), *prefixes]:
+        if not re.fullmatch(r"ns\d+", prefix):
+            ElementTree.register_namespace(prefix, uri)
+    return '<?xml version="1.0" encoding="utf-8"?>\n' + ElementTree.tostring(root, "unicode")
+
+
+def colophon(note: str) -> str:
+    """The page that says it."""
+    html = ElementTree.Element("html", {"xmlns": "http://www.w3.org/1999/xhtml"})
+    ElementTree.SubElement(ElementTree.SubElement(html, "head"), "title").text = "Colophon"
+    ElementTree.SubElement(ElementTree.SubElement(html, "body"), "p").text = note
+    return '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n' + ElementTree.tostring(html, "unicode")
