@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from foliant.functions import fixed
+from foliant.operators import speculation
 
 _KINDS = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
 
@@ -66,39 +67,41 @@ def reserve_credits(moves: DataFrame, user: str, order: list[str], grant: str, w
     return in_order(moves, user, order, lambda: {"left": 0}, step, "reserved", "boolean")
 
 
-def budget_moves(moves: DataFrame, month: str, order: list[str], day_cap: int = fixed.DAY_CAP_CENTS, month_cap: int = fixed.MONTH_CAP_CENTS) -> DataFrame:
-    """`decision` on each move of a month's budget: columns day, kind (ask, finalize, refund), job, cents.
+def budget_moves(moves: DataFrame, order: list[str], day_cap: int = fixed.DAY_CAP_CENTS, month_cap: int = fixed.MONTH_CAP_CENTS, range_rows: int = speculation.RANGE_ROWS) -> DataFrame:
+    """`decision` on each move of the budget: columns day (yyyy-mm-dd), kind (ask, finalize, refund), job, cents.
 
-    An ask is acquired (it fits the day's and the month's cap), held (the job has it already, for the same
-    cents), or refused; after a refund a job may ask again. A finalized job uses its actual cents. What is kept of a
-    month is one entry a job that was acquired.
+    An ask is acquired (it fits the caps of its day and month), held (the job has it already, for the same
+    cents), or refused; after a refund a job may ask again, for any day. A finalized job uses its actual cents, on the
+    day that it asked for. A job is one job in whatever months its moves come.
     """
 
-    def used(state: dict, day: object, cents: int) -> None:
-        state["days"][day] = state["days"].get(day, 0) + cents
-        state["used"] += cents
+    def used(state: speculation.State, day: str, cents: int) -> None:
+        for key in (f"d:{day}", f"m:{day[:7]}"):
+            state[key] = (state[key] or 0) + cents
 
-    def step(state: dict, row: dict) -> str:
-        job = state["jobs"].get(row["job"])
+    def step(state: speculation.State, row: dict) -> str:
+        key = f"j:{row['job']}"
+        job = state[key]  # day, cents asked, whether it is open
         if row["kind"] == "ask":
+            day, cents = str(row["day"]), row["cents"]
             if job:
-                return "held" if job["asked"] == row["cents"] else "refused"
-            if state["days"].get(row["day"], 0) + row["cents"] > day_cap or state["used"] + row["cents"] > month_cap:
+                return "held" if job[1] == cents else "refused"
+            if (state[f"d:{day}"] or 0) + cents > day_cap or (state[f"m:{day[:7]}"] or 0) + cents > month_cap:
                 return "refused"
-            used(state, row["day"], row["cents"])
-            state["jobs"][row["job"]] = {"day": row["day"], "asked": row["cents"], "open": True}
+            used(state, day, cents)
+            state[key] = [day, cents, True]
             return "acquired"
-        if not job or not job["open"]:
+        if not job or not job[2]:
             return "ignored"
         if row["kind"] == "refund":
-            used(state, job["day"], -job["asked"])
-            del state["jobs"][row["job"]]
+            used(state, job[0], -job[1])
+            state[key] = None
             return "refunded"
-        used(state, job["day"], row["cents"] - job["asked"])
-        job["open"] = False
+        used(state, job[0], row["cents"] - job[1])
+        state[key] = [job[0], job[1], False]
         return "finalized"
 
-    return in_order(moves, month, order, lambda: {"used": 0, "days": {}, "jobs": {}}, step, "decision", "string")
+    return speculation.fold(moves, order, step, range_rows=range_rows)
 
 
 def grant_purchases(purchases: DataFrame, transaction: str, user: str, product: str, credits: dict[str, int], at: str) -> DataFrame:
@@ -115,37 +118,40 @@ def grant_purchases(purchases: DataFrame, transaction: str, user: str, product:
     return j.withColumn("decision", decision).withColumn("credits", F.when(F.col("decision") == "applied", F.col("__worth")).otherwise(0)).drop("__worth", "__first")
 
 
-def credit_moves(moves: DataFrame, user: str, order: list[str]) -> DataFrame:
-    """`decision` on each move of a user: columns kind (grant, reserve, finalize, refund), job, quote, credits.
+def credit_moves(moves: DataFrame, order: list[str], user: str = "user", range_rows: int = speculation.RANGE_ROWS) -> DataFrame:
+    """`decision` on each move: columns user, kind (grant, reserve, finalize, refund), job, quote, credits.
 
-    A reservation is reserved, repeated (it holds already), mismatched (its quote or credits differ from the
-    first), or short (the balance does not cover it); a refunded one may be reserved again. Settling acts on
-    reserved ones only. The state of a user is one entry a job.
+    A reservation is reserved, repeated (it holds already), mismatched (the job was first reserved by another user, or for another
+    quote or other credits), or short (the balance does not cover it, and the job stays nobody's). A refunded one may be reserved again by
+    its user. Settling acts on reserved jobs only, whoever settles, and a refund goes to the user that holds the job.
     """
 
-    def step(state: dict, row: dict) -> str:
-        kind, job = row["kind"], state["jobs"].get(row["job"])
-        if kind == "grant":
-            state["left"] += row["credits"]
+    def step(state: speculation.State, row: dict) -> str:
+        own = f"u:{row[user]}"
+        if row["kind"] == "grant":
+            state[own] = (state[own] or 0) + row["credits"]
             return "granted"
-        if kind == "reserve":
-            if job and job["quote"] != (row["quote"], row["credits"]):
+        key = f"j:{row['job']}"
+        job = state[key]  # user, quote, credits, status
+        if row["kind"] == "reserve":
+            if job and job[:3] != [row[user], row["quote"], row["credits"]]:
                 return "mismatched"
-            if job and job["status"] != "refund":
+            if job and job[3] != "refund":
                 return "repeated"
-            if row["credits"] > state["left"]:
+            if row["credits"] > (state[own] or 0):
                 return "short"
-            state["left"] -= row["credits"]
-            state["jobs"][row["job"]] = {"quote": (row["quote"], row["credits"]), "status": "reserve"}
+            state[own] = (state[own] or 0) - row["credits"]
+            state[key] = [row[user], row["quote"], row["credits"], "reserve"]
             return "reserved"
-        if not job or job["status"] != "reserve":
+        if not job or job[3] != "reserve":
             return "ignored"
-        job["status"] = kind
-        if kind == "refund":
-            state["left"] += job["quote"][1]
-        return "refunded" if kind == "refund" else "finalized"
+        state[key] = [*job[:3], row["kind"]]
+        if row["kind"] == "refund":
+            holder = f"u:{job[0]}"
+            state[holder] = (state[holder] or 0) + job[2]
+        return "refunded" if row["kind"] == "refund" else "finalized"
 
-    return in_order(moves, user, order, lambda: {"left": 0, "jobs": {}}, step, "decision", "string")
+    return speculation.fold(moves, order, step, range_rows=range_rows)
 
 
 def owned(jobs: DataFrame, user: str, who: str) -> DataFrame:

@@ -197,62 +197,49 @@ def purchase_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.grant_purchases(p, "tx", "usr", "product", {"credits.250": 250, "credits.600": 600}, "id").select("id", "decision", "credits")
 
 
-#: kind, job, quote, credits, decision; each customer of the table makes these moves
-MOVES = [
-    ("grant", None, None, 100, "granted"),
-    ("reserve", "a", "q1", 60, "reserved"),
-    ("reserve", "a", "q1", 60, "repeated"),
-    ("reserve", "a", "q2", 60, "mismatched"),
-    ("reserve", "b", "q1", 50, "short"),
-    ("finalize", "b", None, 0, "ignored"),
-    ("refund", "a", None, 0, "refunded"),
-    ("refund", "a", None, 0, "ignored"),
-    ("reserve", "b", "q1", 50, "reserved"),
-    ("reserve", "a", "q1", 60, "short"),
-    ("finalize", "b", None, 0, "finalized"),
-    ("refund", "b", None, 0, "ignored"),
-    ("grant", None, None, 20, "granted"),
-    ("reserve", "a", "q1", 60, "reserved"),
-    ("reserve", "b", "q1", 50, "repeated"),
-]
+_CREDIT_SQL = """m AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, event_id, user_id AS usr, CASE event_type WHEN 'purchase' THEN 'grant' WHEN 'view' THEN 'finalize' WHEN 'error' THEN 'refund' ELSE 'reserve' END AS kind,
+ 'b' || event_id % 97 AS job, CASE WHEN event_id % 13 = 0 THEN 'q2' ELSE 'q1' END AS quote, CASE WHEN event_type = 'purchase' THEN 250 ELSE 60 + 10 * (event_id % 97 % 4) END::BIGINT AS credits FROM events)"""
 
 
-@query(f"WITH {values('m', 'step, kind, job, quote, credits, decision', [(i, *m) for i, m in enumerate(MOVES)])} SELECT c_custkey AS usr, step::BIGINT AS step, decision FROM customer, m")
+@query(f"""WITH RECURSIVE {_CREDIT_SQL}, s AS (SELECT 0::BIGINT AS i, MAP {{}}::MAP(BIGINT, BIGINT) AS bal, MAP {{}}::MAP(VARCHAR, STRUCT(u BIGINT, q VARCHAR, c BIGINT, st VARCHAR)) AS jobs, NULL::BIGINT AS id, NULL::VARCHAR AS decision
+ UNION ALL SELECT i, CASE decision WHEN 'granted' THEN map_concat(bal, MAP {{usr: own + credits}}) WHEN 'reserved' THEN map_concat(bal, MAP {{usr: own - credits}}) WHEN 'refunded' THEN map_concat(bal, MAP {{j.u: coalesce(bal[j.u], 0) + j.c}}) ELSE bal END,
+  CASE WHEN decision = 'reserved' THEN map_concat(jobs, MAP {{job: {{'u': usr, 'q': quote, 'c': credits, 'st': 'reserve'}}}}) WHEN decision IN ('refunded', 'finalized') THEN map_concat(jobs, MAP {{job: {{'u': j.u, 'q': j.q, 'c': j.c, 'st': kind}}}}) ELSE jobs END, event_id, decision
+ FROM (SELECT *, CASE WHEN kind = 'grant' THEN 'granted' WHEN kind = 'reserve' THEN CASE WHEN j IS NOT NULL AND (j.u <> usr OR j.q <> quote OR j.c <> credits) THEN 'mismatched' WHEN j IS NOT NULL AND j.st <> 'refund' THEN 'repeated' WHEN credits > own THEN 'short' ELSE 'reserved' END
+   WHEN j IS NULL OR j.st <> 'reserve' THEN 'ignored' WHEN kind = 'refund' THEN 'refunded' ELSE 'finalized' END AS decision
+  FROM (SELECT m.*, s.bal, s.jobs, s.jobs[m.job] AS j, coalesce(s.bal[m.usr], 0) AS own FROM s JOIN m ON m.i = s.i + 1)))
+SELECT id AS event_id, decision FROM s WHERE i > 0""")
 def credit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations must keep their quote, may come again after a refund, and settle once."""
-    kinds = {"step": "long", "kind": "string", "job": "string", "quote": "string", "credits": "long"}
-    every = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip((i, *x[:4]), kinds.items()))) for i, x in enumerate(MOVES)))
-    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("usr"), F.explode(every).alias("x")).select("usr", "x.*")
-    return ledger.credit_moves(rows, "usr", ["step"]).select("usr", "step", "decision")
-
-
-#: day, kind, job, cents, decision under caps of 100 a day and 180 a month; each nation makes these moves
-BUDGET = [
-    (1, "ask", "a", 60, "acquired"),
-    (1, "ask", "a", 60, "held"),
-    (1, "ask", "a", 50, "refused"),
-    (1, "ask", "b", 50, "refused"),
-    (2, "ask", "b", 90, "acquired"),
-    (2, "ask", "c", 31, "refused"),
-    (2, "refund", "b", 0, "refunded"),
-    (2, "refund", "b", 0, "ignored"),
-    (2, "ask", "c", 31, "acquired"),
-    (2, "ask", "b", 70, "refused"),
-    (2, "finalize", "c", 10, "finalized"),
-    (2, "finalize", "c", 5, "ignored"),
-    (2, "ask", "b", 70, "acquired"),
-    (3, "ask", "d", 41, "refused"),
-    (3, "ask", "d", 40, "acquired"),
-]
-
-
-@query(f"WITH {values('m', 'step, day, kind, job, cents, decision', [(i, *m) for i, m in enumerate(BUDGET)])} SELECT n_name AS budget, step::BIGINT AS step, decision FROM nation, m")
+    """Users grant, reserve and settle jobs that belong to whoever got them first."""
+    i, e = F.col("event_id"), F.col("event_type")
+    kind = F.when(e == "purchase", "grant").when(e == "view", "finalize").when(e == "error", "refund").otherwise("reserve")
+    job = F.concat(F.lit("b"), (i % 97).cast("string"))
+    credits = F.when(e == "purchase", 250).otherwise(60 + 10 * (i % 97 % 4)).cast("long")
+    moves = _read(spark, sf_dir, "events").select("ts", "event_id", F.col("user_id").alias("user"), kind.alias("kind"), job.alias("job"), F.when(i % 13 == 0, "q2").otherwise("q1").alias("quote"), credits.alias("credits"))
+    return ledger.credit_moves(moves, ["ts", "event_id"]).select("event_id", "decision")
+
+
+_DAY_CENTS, _MONTH_CENTS = 60_000, 270_000
+_BUDGET_SQL = """m AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, event_id, CASE event_type WHEN 'view' THEN 'finalize' WHEN 'error' THEN 'refund' ELSE 'ask' END AS kind, user_id * 3 + event_id % 3 AS job,
+ CASE WHEN event_type IN ('view', 'error') THEN floor(value * 8)::BIGINT WHEN event_id % 11 = 0 THEN 700 ELSE 500 * (1 + (user_id * 3 + event_id % 3) % 5) END::BIGINT AS cents, strftime(DATE '2024-01-01' + (5 * (day(ts) - 1))::INTEGER, '%Y-%m-%d') AS day FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_BUDGET_SQL}, s AS (SELECT 0::BIGINT AS i, MAP {{}}::MAP(VARCHAR, BIGINT) AS used, MAP {{}}::MAP(BIGINT, STRUCT(d VARCHAR, c BIGINT, o BOOLEAN)) AS jobs, NULL::BIGINT AS id, NULL::VARCHAR AS decision
+ UNION ALL SELECT i, CASE decision WHEN 'acquired' THEN map_concat(used, MAP {{day: ud + cents, substr(day, 1, 7): um + cents}})
+   WHEN 'refunded' THEN map_concat(used, MAP {{j.d: used[j.d] - j.c, substr(j.d, 1, 7): used[substr(j.d, 1, 7)] - j.c}}) WHEN 'finalized' THEN map_concat(used, MAP {{j.d: used[j.d] + cents - j.c, substr(j.d, 1, 7): used[substr(j.d, 1, 7)] + cents - j.c}}) ELSE used END,
+  CASE decision WHEN 'acquired' THEN map_concat(jobs, MAP {{job: {{'d': day, 'c': cents, 'o': true}}}}) WHEN 'finalized' THEN map_concat(jobs, MAP {{job: {{'d': j.d, 'c': j.c, 'o': false}}}}) WHEN 'refunded' THEN map_concat(jobs, MAP {{job: NULL::STRUCT(d VARCHAR, c BIGINT, o BOOLEAN)}}) ELSE jobs END, event_id, decision
+ FROM (SELECT *, CASE WHEN kind = 'ask' THEN CASE WHEN j IS NOT NULL THEN CASE WHEN j.c = cents THEN 'held' ELSE 'refused' END WHEN ud + cents > {_DAY_CENTS} OR um + cents > {_MONTH_CENTS} THEN 'refused' ELSE 'acquired' END
+   WHEN j IS NULL OR NOT j.o THEN 'ignored' WHEN kind = 'refund' THEN 'refunded' ELSE 'finalized' END AS decision
+  FROM (SELECT m.*, s.used, s.jobs, s.jobs[m.job] AS j, coalesce(s.used[m.day], 0) AS ud, coalesce(s.used[substr(m.day, 1, 7)], 0) AS um FROM s JOIN m ON m.i = s.i + 1)))
+SELECT id AS event_id, decision FROM s WHERE i > 0""")
 def budget_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Asking again changes nothing, refunds free the budget, and final costs replace estimates."""
-    kinds = {"step": "long", "day": "long", "kind": "string", "job": "string", "cents": "long"}
-    every = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip((i, *x[:4]), kinds.items()))) for i, x in enumerate(BUDGET)))
-    rows = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("budget"), F.explode(every).alias("x")).select("budget", "x.*")
-    return ledger.budget_moves(rows, "budget", ["step"], 100, 180).select("budget", "step", "decision")
+    """Asking again changes nothing, refunds free the budget of the day asked for, and final costs replace estimates, across months."""
+    i, e = F.col("event_id"), F.col("event_type")
+    job = F.col("user_id") * 3 + i % 3
+    cents = F.when(e.isin("view", "error"), F.floor(F.col("value") * 8)).when(i % 11 == 0, 700).otherwise(500 * (1 + job % 5)).cast("long")
+    day = F.date_format(F.date_add(F.lit("2024-01-01"), 5 * (F.dayofmonth("ts") - 1)), "yyyy-MM-dd")
+    kind = F.when(e == "view", "finalize").when(e == "error", "refund").otherwise("ask")
+    moves = _read(spark, sf_dir, "events").select("ts", "event_id", kind.alias("kind"), job.alias("job"), cents.alias("cents"), day.alias("day"))
+    return ledger.budget_moves(moves, ["ts", "event_id"], _DAY_CENTS, _MONTH_CENTS).select("event_id", "decision")
 
 
 _JOBS_SQL = """j AS (SELECT o_orderkey AS job, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN '' ELSE 'u' || o_custkey % 40 END AS usr, 'h' || o_orderkey % 9 AS source_hash, CASE WHEN o_orderkey % 2 = 0 THEN 'hu' ELSE 'de' END AS target,
