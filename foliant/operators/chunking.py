@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import fixed
 from foliant.functions import text as T
+from foliant.operators import ordered_scan
+from foliant.sources import store
 
 
 def pack(sizes, budget: int) -> list[int]:
@@ -36,7 +38,8 @@ def packed(sizes: Column, budget: int) -> Column:
 
 def chunks(docs: DataFrame, budget: int = fixed.CHUNK_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per chunk: the document's other columns, ordinal, first_block, n_blocks, n_chars
-    (UTF-16 units of the blocks) and chunk_text (blocks by line)."""
+    (UTF-16 units of the blocks), chunk_text (blocks by line), prior_text (the document's chunk before, null for the first)
+    and last (whether it ends the document)."""
     rest = [c for c in docs.columns if c != text]
     d = docs.select(*rest, F.split(F.col(text), "\n").alias("__blocks"))
     d = d.withColumn("__sizes", F.transform("__blocks", T.utf16_length))
@@ -45,6 +48,7 @@ def chunks(docs: DataFrame, budget: int = fixed.CHUNK_CHARS, doc_id: str = "doc_
     first = F.array_position("__ord", F.col("ordinal"))
     d = d.withColumn("__first", first).withColumn("__n", F.size(F.filter("__ord", lambda x: x == F.col("ordinal"))))
     mine = F.slice("__sizes", F.col("__first").cast("int"), F.col("__n"))
+    before = F.array_position("__ord", F.col("ordinal") - 1).cast("int")
     return d.select(
         *rest,
         F.col("ordinal").cast("long").alias("ordinal"),
@@ -52,13 +56,11 @@ def chunks(docs: DataFrame, budget: int = fixed.CHUNK_CHARS, doc_id: str = "doc_
         F.col("__n").cast("long").alias("n_blocks"),
         F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"),
         F.array_join(F.slice("__blocks", F.col("__first").cast("int"), F.col("__n")), "\n").alias("chunk_text"),
+        F.when(F.col("ordinal") > 0, F.array_join(F.slice("__blocks", before, F.col("__first").cast("int") - before), "\n")).alias("prior_text"),
+        (F.col("ordinal") == F.element_at("__ord", -1)).alias("last"),
     )
 
 
-def in_book_order(book: str = "source", doc_id: str = "doc_id"):
-    return Window.partitionBy(book).orderBy(doc_id, "ordinal")
-
-
 def tail(text: Column, n: int = fixed.CONTEXT_TAIL) -> Column:
     return F.right(text, F.lit(n))
 
@@ -66,15 +68,16 @@ def tail(text: Column, n: int = fixed.CONTEXT_TAIL) -> Column:
 def previous_context(chunked: DataFrame, book: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """book, doc_id, ordinal, context: the end of the chunk before, across documents of a book.
 
-    Inside a document the chunk before is the one with the ordinal less by one. Only first chunks look into another
-    document, and of those only keys and ends are ordered: one row a document.
+    Inside a document the chunk before is at hand where the document is cut, so nothing is shuffled for it. Only first
+    chunks look into another document: one row a document (its id, and the end of its last chunk) is scanned in order.
     """
-    ends = chunked.select(book, doc_id, "ordinal", tail(T.collapse(F.col("chunk_text"))).alias("end"))
-    inside = F.lag("end").over(Window.partitionBy(book, doc_id).orderBy("ordinal"))
-    own = ends.withColumn("context", inside)
-    last = ends.groupBy(book, doc_id).agg(F.max_by("end", "ordinal").alias("end"))
-    before = last.select(book, doc_id, F.lag("end").over(Window.partitionBy(book).orderBy(doc_id)).alias("before"))
-    return own.join(before, [book, doc_id]).select(book, doc_id, "ordinal", F.when(F.col("ordinal") == 0, F.col("before")).otherwise(F.col("context")).alias("context"))
+    ends = chunked.select(book, doc_id, "ordinal", tail(T.collapse(F.col("prior_text"))).alias("context"), F.when(F.col("last"), tail(T.collapse(F.col("chunk_text")))).alias("end"))
+    path = store.folder(chunked.sparkSession, "ends")
+    ends.write.parquet(path)
+    ends = chunked.sparkSession.read.schema(ends.schema).parquet(path)
+    before = ordered_scan.scan(ends.where("end is not null").select(book, doc_id, "end"), book, [doc_id], last=["end"]).select(book, doc_id, "last_end")
+    first = ends.where("ordinal = 0").join(before, [book, doc_id]).select(book, doc_id, "ordinal", F.col("last_end").alias("context"))
+    return ends.where("ordinal > 0").select(book, doc_id, "ordinal", "context").unionByName(first)
 
 
 def first_chunks(chunked: DataFrame, book: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -103,19 +106,11 @@ def linked_words(html: Column) -> Column:
 
 
 def spread(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """`size` rows evenly spread over the order (all, if there are no more).
-
-    A range-partitioned sort deals the rows; a part's first place is the count of the parts before
-    it, so only the parts' counts are summed in one place.
-    """
+    """`size` rows evenly spread over the order (all, if there are no more)."""
     n = df.count()
     if n <= size:
         return df
     wanted = df.sparkSession.range(size).select(F.floor(F.col("id").cast("double") * n / size).alias("__at"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(F.col("__part").alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = dealt.withColumn("__nth", nth).join(F.broadcast(starts), F.col("__part") == F.col("part")).withColumn("__at", F.col("__start") + F.col("__nth") - 1)
+    one = df.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1))
+    numbered = ordered_scan.scan(one, "__all", order, sums=["__one"]).withColumnRenamed("before___one", "__at")
     return numbered.join(F.broadcast(wanted), "__at", "left_semi").select(*df.columns)

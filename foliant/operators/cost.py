@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import fixed
 from foliant.functions import text as T
+from foliant.operators import ordered_scan
+from foliant.sources import store
 
 
 def credits(chars: Column) -> Column:
@@ -48,14 +50,17 @@ def cents(usd_: Column) -> Column:
 def ceiling_cut(chunks: DataFrame, book: str, order: list[str], tokens: str, model: str, ceiling: float) -> DataFrame:
     """book, n_chunks, n_done, ceiling_hit: work in order until the next chunk would pass the ceiling.
 
-    order names a document and a place in it. Documents are summed first, so a book's order is over one row
+    order names a document and a place in it. Documents are summed first, so what is scanned in a book's order is one row
     a document; only the document in which the ceiling is passed is looked into.
     """
     doc, *place = order
+    path = store.folder(chunks.sparkSession, "chunks")
+    chunks.write.parquet(path)  # read twice
+    chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(path)
     price = lambda upto: usd(model, upto, F.lit(0), upto)
     sums = chunks.groupBy(book, doc).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n"))
-    upto = Window.partitionBy(book).orderBy(doc)
-    sums = sums.select(book, doc, "tokens", "n", F.sum("tokens").over(upto).alias("upto"), F.sum("n").over(upto).alias("done"))
+    scanned = ordered_scan.scan(sums, book, [doc], sums=["tokens", "n"])
+    sums = scanned.select(book, doc, "tokens", "n", (F.col("before_tokens") + F.col("tokens")).alias("upto"), (F.col("before_n") + F.col("n")).alias("done"))
     over = F.when(price(F.col("upto")) > F.lit(ceiling), F.struct(F.col(doc), (F.col("upto") - F.col("tokens")).alias("before"), (F.col("done") - F.col("n")).alias("done")))
     books = sums.groupBy(book).agg(F.sum("n").alias("n_chunks"), F.min(over).alias("at"))
     crossing = books.where("at is not null").select(book, F.col(f"at.{doc}").alias(doc), "at.before", "at.done")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed
 from foliant.functions import text as T
 
-#: Characters of a term by which it meets texts.
-_HEAD = 4
 _TERM = r"(?<![A-Za-z0-9_])" + fixed.PROPER_NOUN + r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -41,16 +43,14 @@ def top_terms(counted: DataFrame, book: str, limit: int = fixed.TERM_LIMIT) -> D
 
     Ties go to the earlier first place. The limit is the report's size.
     """
-    # both branches need all counts and filter on them, so the counts are shuffled once and reused
+    # all branches need all counts and filter on them, so the counts are shuffled once and reused
     lone = F.col("first").isNotNull() & F.when(is_opener(), ~F.col("term").contains(" ")).otherwise(False)
-    openers = counted.where(lone).groupBy(book).agg(F.collect_set("term").alias("openers"))
-    kept = counted.where(~is_opener() & (F.col("term").contains(" ") | (F.col("n") >= fixed.TERM_MIN_COUNT)))
-    words = F.split("term", " ")
-    o = F.coalesce("openers", F.array().cast("array<string>"))
-    # the first word that is no opener, at the latest the last word
-    lead = F.aggregate(words, F.lit(0), lambda a, x: F.when((a >= 0) & F.array_contains(o, x), a + 1).when(a >= 0, -a - 1).otherwise(a), lambda a: F.when(a < 0, -a - 1).otherwise(a))
-    start = F.least(lead, F.size(words) - 1)
-    named = kept.join(openers, book, "left").withColumn("name", F.array_join(F.slice(words, start + 1, F.size(words)), " "))
+    openers = counted.where(lone).select(book, F.col("term").alias("word"), F.lit(True).alias("opens"))
+    kept = counted.where(~is_opener() & (F.col("term").contains(" ") | (F.col("n") >= fixed.TERM_MIN_COUNT))).withColumn("words", F.split("term", " "))
+    # a name begins at its first word that is no opener, at the latest at its last; words meet openers one by one
+    placed = kept.select(book, "term", F.size("words").alias("size"), F.posexplode("words").alias("place", "word")).join(openers, [book, "word"], "left")
+    begins = placed.groupBy(book, "term").agg(F.coalesce(F.min(F.when(F.col("opens").isNull(), F.col("place"))), F.max("size") - 1).alias("start"))
+    named = kept.join(begins, [book, "term"]).withColumn("name", F.array_join(F.slice("words", F.col("start") + 1, F.size("words")), " "))
     named = named.where(F.col("name").rlike("^[A-Z]"))
     best = named.groupBy(book, "name").agg(F.max(F.struct(F.col("n"), F.struct(*(-F.col(f"first.{c}") for c in named.schema["first"].dataType.names)).alias("at"))).alias("best"))
     order = Window.partitionBy(book).orderBy(F.desc("best"))
@@ -63,19 +63,47 @@ def merge(base: DataFrame, incoming: DataFrame) -> DataFrame:
     return b.join(i, "term", "full").select("term", F.coalesce(F.nullif("i", F.lit("")), "b", F.lit("")).alias("rendering"))
 
 
-def missing_terms(pairs: DataFrame, glossary: DataFrame, key: str, source: str, target: str) -> DataFrame:
-    """(key, term) where the source has the term anywhere and the target lacks its rendering.
+def _blocks(glossary: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """Terms with their renderings, as many at a time as take so many bytes."""
+    held, size = [], 0
+    for r in glossary.where("rendering <> '' AND term <> ''").select("term", "rendering").distinct().toLocalIterator():
+        held.append((r.term, r.rendering))
+        size += len(r.term) + len(r.rendering) + 100
+        if size >= block_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    A term meets only texts that hold its first characters: each text is cut into its distinct pieces of
-    `_HEAD` characters, from every start, and these meet the heads of the terms. Shorter terms meet the pieces' own heads.
-    """
-    terms = glossary.where("rendering <> '' AND term <> ''").select("term", "rendering", F.substring("term", 1, _HEAD).alias("head")).distinct()
-    sizes = [r[0] for r in terms.select(F.length("head").alias("n")).distinct().collect()]  # at most _HEAD rows
-    s, none = F.col(source), F.array().cast("array<string>")
 
-    def pieces(n: int) -> Column:
-        return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n)))).otherwise(none)
+def _scanned(pairs: DataFrame, terms: list[tuple[str, str]], key: str, source: str, target: str) -> DataFrame:
+    """key, target and the terms (with renderings) that occur in the source, for texts that have any."""
+    kind, sent = pairs.schema[key].dataType.simpleString(), pairs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for term, rendering in sent.value:
+            machine.add_word(term, [*machine.get(term, []), (term, rendering)])
+        machine.make_automaton()
+        for batch in batches:
+            found = [list({x for _, hits in machine.iter(text) for x in hits}) if text else [] for text in batch.column(1).to_pylist()]
+            some = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            terms_ = pa.array([[{"term": t, "rendering": r} for t, r in x] for x in found if x], pa.list_(pa.struct([("term", pa.string()), ("rendering", pa.string())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(2).take(some), terms_], ["key", "target", "found"])
+
+    return pairs.select(key, source, target).mapInArrow(run, f"key {kind}, target string, found array<struct<term: string, rendering: string>>")
 
-    heads = F.array_distinct(F.flatten(F.array(none, *map(pieces, sizes))))
-    met = pairs.select(key, source, target, F.explode(heads).alias("head")).join(terms, "head")
-    return met.where(s.contains(F.col("term")) & ~T.mentions(F.col(target), F.col("rendering"))).select(key, "term").distinct()
+
+def missing_terms(pairs: DataFrame, glossary: DataFrame, key: str, source: str, target: str, block_bytes: int = 8 << 20) -> DataFrame:
+    """(key, term) where the source has the term anywhere and the target lacks its rendering.
+
+    An automaton of all terms (in blocks of bounded bytes, a pass each) reads every source once, however many terms there are.
+    Renderings are looked for in the same task, so no text is shuffled: only keys and terms are. Null texts have no terms and lack every rendering.
+    """
+    spark, out = pairs.sparkSession, None
+    for block in _blocks(glossary, block_bytes):
+        met = _scanned(pairs, block, key, source, target)
+        lacking = F.filter("found", lambda x: ~F.coalesce(T.mentions(F.col("target"), x["rendering"]), F.lit(False)))
+        told = met.select(F.col("key").alias(key), F.explode(F.array_distinct(F.transform(lacking, lambda x: x["term"]))).alias("term"))
+        out = told if out is None else out.unionByName(told)
+    return spark.createDataFrame([], f"{key} {pairs.schema[key].dataType.simpleString()}, term string") if out is None else out.distinct()
