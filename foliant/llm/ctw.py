@@ -9,12 +9,14 @@ The tree holds every context of the training documents, and grows with them; no
 
 1. `survey` deals the documents into units of bounded bytes, which it keeps compressed, and counts the distinct strings of depth + 1
    bytes of each, dealt into parts by the two bytes before the last. Strings of held-out documents count zero, so all have a place.
+   There are more parts the larger the corpus is (1,024 to 65,536).
 2. `totals` merges the counts of a part as its rows stream by, sorted; first those of each group of units, then the groups.
 3. Below the contexts of two bytes a tree lies in one part: `Subtree` weighs it there. What the
    contexts of two bytes weigh (at most 65,536 contexts of 255 decisions, in fact those that occur) goes to the driver,
    which weighs the root's levels and broadcasts the mixture that reaches each of them.
-4. Each part then knows the log-probability of its strings; units ask for theirs, one task a part and group of units, and their
-   documents add them up. So no task sees more than one part's values and what `group_units` units ask of it.
+4. Each part then knows the log-probability of its strings; units ask for theirs, and their documents add them up. A part's values
+   are sent once, and what units ask of it streams by them one unit at a time, so memory holds one part's values and nothing is copied
+   for each group of units. The tasks that do so grow in number with the corpus.
 
 The word baseline is exact: words that make up at least 1 / max_words of the training tokens are
 broadcast (so at most max_words), and all others meet their counts in a join.
@@ -46,7 +48,7 @@ from foliant.llm import _tools as tools
 class Tree:
     depth: int = 5  # at most 6: a string is a signed number of 64 bits
     unit_bytes: int = 16_500_000
-    group_units: int = 128  # units, about, whose strings of a part meet in one task
+    group_units: int = 128  # units, about, that are merged at once, and for which there are 1,024 parts
     max_words: int = 1 << 20
 
 
@@ -107,9 +109,9 @@ def _unpacked(packed: bytes, kind: type, steps: bool = False) -> np.ndarray:
     return np.cumsum(numbers) if steps else numbers
 
 
-def _part(keys: np.ndarray) -> np.ndarray:
-    """The part of each string: one of 1,024, by the two bytes before its last."""
-    return ((keys >> 8 & 0xFFFF) * 40503 & 0xFFFF) >> 6
+def _part(keys: np.ndarray, bits: int = 10) -> np.ndarray:
+    """The part of each string: one of 2 ** bits, by the two bytes before its last."""
+    return ((keys >> 8 & 0xFFFF) * 40503 & 0xFFFF) >> (16 - bits)
 
 
 def _sealed(rows: pa.RecordBatch) -> bytes:
@@ -120,9 +122,9 @@ def _sealed(rows: pa.RecordBatch) -> bytes:
     return out.getvalue()
 
 
-def _dealt(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted strings by part, and their parts in it."""
-    part = _part(keys)
+    part = _part(keys, bits)
     order = np.argsort(part, kind="stable")
     return order, part[order]
 
@@ -141,14 +143,14 @@ def _strings(texts: list[bytes], held: list[bool], depth: int) -> list[tuple[np.
     return found
 
 
-def _surveyed(batches: Iterator[pa.RecordBatch], tree: Tree, pending: int = 250_000) -> Iterator[pa.RecordBatch]:
+def _surveyed(batches: Iterator[pa.RecordBatch], tree: Tree, bits: int, pending: int = 250_000) -> Iterator[pa.RecordBatch]:
     """Rows of a task; memory is bounded by merging and by the bytes of a unit (one text at least)."""
 
     def rows(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in _SURVEY], schema=_SURVEY)
 
     def unit_rows(unit: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        order, part = _dealt(keys)
+        order, part = _dealt(keys, bits)
         keys, n = keys[order], n[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         spans = list(zip(cuts[:-1], cuts[1:]))
@@ -294,11 +296,11 @@ def _top(depth: int) -> int:
     return min(2, depth)
 
 
-def survey(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Staged rows of `_SURVEY` of (doc_id, held_out, text)."""
+def survey(docs: DataFrame, tree: Tree, bits: int = 10) -> DataFrame:
+    """Staged rows of `_SURVEY` of (doc_id, held_out, text), strings in 2 ** bits parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _surveyed(batches, tree)
+        yield from _surveyed(batches, tree, bits)
 
     return tools.stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "unit long, part int, docs binary, n long, grams binary, counts binary"), "zstd")
 
@@ -368,13 +370,13 @@ def values(strings: DataFrame, tree: Tree) -> DataFrame:
 
 
 def asked(told: DataFrame, known: DataFrame, groups: int = 1) -> DataFrame:
-    """(unit, part, grams, log10) of the strings of each unit: a part's values stream by before what the units of a group ask."""
+    """(unit, part, grams, log10) of the strings of each unit: a part's values come first, and what units ask of it streams by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = log10 = None
         for batch in batches:
             units, parts, strings, found = [], [], [], []
-            for p, _, unit, g, v in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, unit, g, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if unit < 0:
                     keys, log10 = _unpacked(g, np.int64, True), _unpacked(v, np.float32)
                 else:
@@ -384,10 +386,10 @@ def asked(told: DataFrame, known: DataFrame, groups: int = 1) -> DataFrame:
                     found.append(_packed(log10[np.searchsorted(keys, _unpacked(g, np.int64, True))]))
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(parts, pa.int32()), pa.array(strings, pa.binary()), pa.array(found, pa.binary())], ["unit", "part", "grams", "log10"])
 
-    asks = told.where("part >= 0").select("part", _group(groups), "unit", "grams", F.lit(None).cast("binary").alias("log10"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    both = known.select("part", every, F.lit(-1).cast("long").alias("unit"), "grams", "log10").union(asks)
-    return both.repartition("part", "group").sortWithinPartitions("part", "group", "unit").mapInArrow(run, "unit long, part int, grams binary, log10 binary")
+    asks = told.where("part >= 0").select("part", "unit", "grams", F.lit(None).cast("binary").alias("log10"))
+    both = known.select("part", F.lit(-1).cast("long").alias("unit"), "grams", "log10").union(asks)
+    dealt = both.repartition("part") if groups == 1 else both.repartition(groups * int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    return dealt.sortWithinPartitions("part", "unit").mapInArrow(run, "unit long, part int, grams binary, log10 binary")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -431,10 +433,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=
     """
     hold = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     d = docs.select(F.col(doc_id).alias("doc_id"), hold.alias("held_out"), F.col(text).alias("text"))
-    told = survey(d, tree)
+    size = d.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    groups = max(1, -(-size // (tree.unit_bytes * tree.group_units)))
+    told = survey(d, tree, min(16, 10 + (groups - 1).bit_length()))
     words = tools.stage(d.where("not held_out").select("text").mapInArrow(_worded, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "zstd")
-    n_docs, n_units = told.where("part < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("unit")).first()
-    groups = max(1, -(-n_units // tree.group_units))
+    n_docs = told.where("part < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, distinct = words.agg(F.sum("n"), F.count("*")).first()
     n_train, n_distinct = (n or 0) + n_docs, distinct + (n_docs > 0)
     over = float(n_train + n_distinct + 1)

@@ -97,6 +97,20 @@ def test_units_groups_and_parts_do_not_change_scores(spark):
         assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-5)
 
 
+def test_nothing_is_copied_for_each_group_of_units(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(60)], "doc_id long, text string").select("doc_id", F.lit(False).alias("held_out"), "text")
+    sizes = {}
+    for groups in (1, 4, 16):
+        told = ctw.survey(docs.coalesce(1), ctw.Tree(unit_bytes=400), 10 + groups.bit_length() - 1)
+        known = ctw.values(ctw.totals(told, groups), ctw.Tree())
+        found = ctw.asked(told, known, groups)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan
+        sizes[groups] = found.agg(F.sum(F.length("log10"))).first()[0], known.agg(F.sum(F.length("log10"))).first()[0]
+        assert len(ctw._part(np.arange(1 << 20) << 3, 12)) and set(r.part for r in known.collect()) <= set(range(1 << (10 + groups.bit_length() - 1)))
+    assert len(set(sizes.values())) == 1
+
+
 def test_scores_and_baseline(spark):
     rows = [(r.doc_id, r.text, "x") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(900, None, "x"), (901, "", "x"), (902, "Unseen qqqqq zzz", "x"), rows[0]]
