@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -57,15 +57,23 @@ def stage(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _held_bytes(value: Column, kind: DataType) -> Column:
+    """About the bytes that a value holds besides its own eight, whatever it is made of."""
+    none = F.lit(0).cast("long")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("long"), none)
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.aggregate(value, none, lambda n, x: n + 16 + _held_bytes(x, kind.elementType)), none)
+    if isinstance(kind, MapType):
+        return _held_bytes(F.map_keys(value), ArrayType(kind.keyType)) + _held_bytes(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((8 + _held_bytes(value[f.name], f.dataType) for f in kind), none)
+    return none
+
+
 def row_bytes(df: DataFrame) -> Column:
-    """About the bytes of a row: its fixed columns, and what strings and arrays hold."""
-    fixed, more = 16 + 8 * len(df.columns), []
-    for f in df.schema:
-        if isinstance(f.dataType, (StringType, BinaryType)):
-            more.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
-        elif isinstance(f.dataType, (ArrayType, MapType)):
-            more.append(F.greatest(F.size(f.name), F.lit(0)) * 16)
-    return sum(more, F.lit(fixed)).cast("long")
+    """About the bytes of a row: its fixed columns, and what strings, arrays, maps and structs hold at any depth."""
+    return sum((_held_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16 + 8 * len(df.columns)).cast("long"))
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:

@@ -3,7 +3,7 @@
 Tokens with digits become a wildcard. A line's leaf in the tree is its token count and its leading
 tokens; in a leaf, lines that agree with its commonest line at most positions share that line's
 template, the rest vote again, and so on until every line has a template. A round elects several
-templates of a leaf at once, four times as many in each round, so rounds are few however many templates a leaf holds. A
+templates of a leaf at once, four times as many in each round up to `most_elected`, so a ballot has a bounded size and rounds are few. A
 template is boilerplate when it recurs in at least `min_contexts` different documents that are no
 copies, or with as many different lines before it and after it, and its lines are then dropped
 everywhere. A document is a copy when templates that recur in `min_contexts` different documents
@@ -38,6 +38,7 @@ class Tree:
     min_generalised: int = 8  # shorter lines have no variable fields but digits
     min_agreement: float = 0.7  # share of equal positions that joins a template
     elected: int = 16  # templates of a leaf in the first round; results don't depend on it
+    most_elected: int = 1024  # in any round
     min_contexts: int = 5  # different documents, or different neighbours on either side
     max_shared: float = 0.5  # share of recurring tokens beyond which a document is a copy
 
@@ -99,7 +100,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, tree: Tree) -> Da
         first = F.get(F.filter("patterns", lambda p: agrees(p, F.col("tokens"))), F.lit(0))
         voted = tools.stage(left.join(tools.broadcast_if_small(votes), "leaf").withColumn("pattern", first).drop("patterns"))
         found.append(voted.where("pattern is not null").select("h", F.xxhash64("leaf", F.array_join("pattern", " ")).alias("template")))
-        left, elected = voted.where("pattern is null").drop("pattern"), 4 * elected
+        left, elected = voted.where("pattern is null").drop("pattern"), min(4 * elected, tree.most_elected)
     every = found[0] if found else left.select("h", F.col("h").alias("template"))
     for f in found[1:]:
         every = every.union(f)
