@@ -126,15 +126,15 @@ def threads(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """Messages of linear conversations: every row replies to the row before it.
 
     A conversation's rows are ordered by turn (null first), role and text, so equal turns follow each
-    other by role and text. The rows of one conversation are sorted in one task, which spills.
+    other by role and text. The rows of one conversation are sorted in one task, which spills. A message's key is
+    its conversation and its number in it.
     """
     rows = turns.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     at = F.row_number().over(order)
     node = F.struct(F.col("tree").alias("t"), F.col("at").alias("n"))
     up = F.when(F.col("at") > 1, F.struct(F.col("tree").alias("t"), (F.col("at") - 1).alias("n")))
-    rows = rows.withColumn("at", at).withColumn("key", F.to_json(node)).withColumn("key_up", F.to_json(up))
-    return tools.stage(rows.select("tree", F.col("key").alias("node"), F.col("key_up").alias("parent"), "role", "text", F.lit(1.0).alias("score")))
+    return tools.stage(rows.withColumn("at", at).select("tree", node.alias("node"), up.alias("parent"), "role", "text", F.lit(1.0).alias("score")))
 
 
 def format_trees(messages: DataFrame, per_tree: int = 1, mean: bool = True, trained: str = "assistant") -> DataFrame:
