@@ -84,5 +84,6 @@ ETA_UNITS = ("mp", "perc", "ó", "óra")
 SPEED_UNIT = "szakasz/perc"
 
 # Archives.
+CHAPTER_TITLE = "Fejezet"
 MAX_ARCHIVE_BYTES, MAX_ENTRIES, MAX_UNCOMPRESSED = 32 * 1024 * 1024, 2000, 128 * 1024 * 1024
 XHTML_TYPES = ["application/xhtml+xml", "text/html"]

@@ -185,7 +185,16 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.rate_limited(timed(spark, sf_dir), "user_id", "at", ["ts", "event_id"], 2, 3600).select("event_id", "bucket", "allowed")
 
 
-@query()
+#: A user's requests one after another: who holds each book, and the moves of the week.
+CLAIMS_SQL = f"""WITH RECURSIVE m AS (SELECT event_id, user_id, event_id % 7 AS book, value < 250 AS gone, floor(epoch(ts))::BIGINT // {fixed.RECLAIM_SECONDS} AS week, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ s AS (SELECT user_id, 0::BIGINT AS i, MAP {{}}::MAP(BIGINT, STRUCT(job BIGINT, gone BOOLEAN)) AS held, NULL::BIGINT AS week, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS decision FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, i, CASE WHEN decision IN ('claimed', 'moved') THEN map_concat(held, MAP {{book: {{'job': event_id, 'gone': gone}}}}) ELSE held END, CASE WHEN decision = 'moved' THEN week ELSE before END, CASE WHEN decision = 'moved' THEN used + 1 ELSE n END, event_id, decision
+  FROM (SELECT *, CASE WHEN h IS NULL THEN 'claimed' WHEN NOT h.gone THEN 'held' WHEN used >= {fixed.RECLAIMS} THEN 'limited' ELSE 'moved' END AS decision
+   FROM (SELECT m.*, s.held, s.n, s.week AS before, s.held[m.book] AS h, CASE WHEN s.week = m.week THEN s.n ELSE 0 END AS used FROM s JOIN m ON m.user_id = s.user_id AND m.i = s.i + 1)))
+SELECT event_id, decision FROM s WHERE i > 0"""
+
+
+@query(CLAIMS_SQL)
 def preview_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for the free sample of seven books; small values are results that are gone."""
     e = timed(spark, sf_dir).select("event_id", "user_id", "ts", "at", (F.col("event_id") % 7).alias("book"), (F.col("value") < 250).alias("gone"))

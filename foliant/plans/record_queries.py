@@ -39,20 +39,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 CHAPTER = 10  # lines
 
 
-def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book a document, a chapter every ten lines."""
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, title, pos, href, content: a book a document, a chapter every ten lines."""
     lines = T.lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("pos", F.floor(F.col("block_idx") / CHAPTER))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_idx", "line"))), lambda x: F.concat(F.lit("<p>"), T.escape_entities(x["line"]), F.lit("</p>"))), "")
-    chapters = lines.groupBy("doc_id", "pos").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("content"))
+    made = lines.groupBy("doc_id", "pos").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("content"))
     at = F.concat(F.lit("book-"), F.col("doc_id").cast("string"), F.lit(".epub"))
-    return epub.written(chapters.select(at.alias("path"), F.concat(F.lit("Title  "), F.col("doc_id").cast("string")).alias("title"), "pos", F.concat(F.lit("./text/c"), F.col("pos").cast("string"), F.lit(".xhtml")).alias("href"), "content"))
+    return made.select(at.alias("path"), F.concat(F.lit("Title  "), F.col("doc_id").cast("string")).alias("title"), "pos", F.concat(F.lit("./text/c"), F.col("pos").cast("string"), F.lit(".xhtml")).alias("href"), "content")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.written(chapters(spark, sf_dir))
 
 
-_CHAPTERS_SQL = f"""chapters AS (SELECT doc_id, idx // {CHAPTER} AS pos, string_agg('<p>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>', '' ORDER BY idx) AS body
+CHAPTERS_SQL = f"""chapters AS (SELECT doc_id, idx // {CHAPTER} AS pos, string_agg('<p>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>', '' ORDER BY idx) AS body
  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents) GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_CHAPTERS_SQL} SELECT 'book-' || doc_id || '.epub' AS path, 'Title ' || doc_id AS title, pos::BIGINT AS spine_pos, 'c' || pos AS item_id, 'OEBPS/text/c' || pos || '.xhtml' AS href, 'application/xhtml+xml' AS media_type,
+@query(f"""WITH {CHAPTERS_SQL} SELECT 'book-' || doc_id || '.epub' AS path, 'Title ' || doc_id AS title, pos::BIGINT AS spine_pos, 'c' || pos AS item_id, 'OEBPS/text/c' || pos || '.xhtml' AS href, 'application/xhtml+xml' AS media_type,
  sha256('<html><body>' || body || '</body></html>') AS content_hash FROM chapters""")
 def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written as archives and read back: title, references, manifest, links, contents."""
@@ -60,7 +64,7 @@ def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.select("path", "title", "spine_pos", "item_id", "href", "media_type", F.sha2("content", 256).alias("content_hash"))
 
 
-@query(f"""WITH {_CHAPTERS_SQL}, b AS (SELECT 'book-' || doc_id || '.epub' AS path, 'Title ' || doc_id AS title, 'ok' AS status, pos::BIGINT AS spine_pos, 'c' || pos AS item_id, 'OEBPS/text/c' || pos || '.xhtml' AS href, sha256('<html><body>' || body || '</body></html>') AS content_hash FROM chapters)
+@query(f"""WITH {CHAPTERS_SQL}, b AS (SELECT 'book-' || doc_id || '.epub' AS path, 'Title ' || doc_id AS title, 'ok' AS status, pos::BIGINT AS spine_pos, 'c' || pos AS item_id, 'OEBPS/text/c' || pos || '.xhtml' AS href, sha256('<html><body>' || body || '</body></html>') AS content_hash FROM chapters)
 SELECT * FROM b UNION ALL SELECT 'bad-' || doc_id || '.epub', NULL, 'not an archive', NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 100 = 0""")
 def epub_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of books, some of them none, written and read as a data source."""
@@ -77,7 +81,7 @@ def epub_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTE = "machine translation & more"
 
 
-@query(f"""WITH {_CHAPTERS_SQL}, n AS (SELECT doc_id, count(*)::BIGINT AS n_chapters FROM chapters GROUP BY 1)
+@query(f"""WITH {CHAPTERS_SQL}, n AS (SELECT doc_id, count(*)::BIGINT AS n_chapters FROM chapters GROUP BY 1)
 SELECT 'book-' || doc_id || '.epub' AS path, 'ok' AS status, n_chapters + 1 AS n_items, n_chapters + 1 AS n_spine, '<p>changed</p>' AS first_content, 1::BIGINT AS marks, true AS same_again FROM n""")
 def epub_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives with the first chapter replaced, the mark set and a colophon added, read back; and marked a second time."""
@@ -297,12 +301,13 @@ def chunk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, event_type, substr(sha256(user_id::VARCHAR), 1, 16) AS subject FROM events WHERE user_id <> 7""")
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events appended as JSON lines under pseudonyms, in two goes, and one user's lines erased."""
-    path = store.folder(spark, "events")
+    """Events appended as JSON lines under pseudonyms, in two goes; one user's lines are erased from the files that hold them."""
+    path, schema = store.folder(spark, "events"), "event_id long, event_type string, subject string"
     e = _read(spark, sf_dir, "events").select("event_id", "event_type", T.pseudonym(F.col("user_id")).alias("subject"))
     for half in (0, 1):
         store.append_records(e.where(F.col("event_id") % 2 == half), path)
-    return store.records(spark, path, "event_id long, event_type string, subject string").where(F.col("subject") != T.pseudonym(F.lit(7)))
+    store.erase(spark, path, F.col("subject") == T.pseudonym(F.lit(7)), schema)
+    return store.records(spark, path, schema)
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS config, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, round(sum(o_totalprice)) AS usd FROM orders GROUP BY 1)

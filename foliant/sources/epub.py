@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed
+from foliant.sources import html
 
 _CONTAINER, _MIMETYPE = "META-INF/container.xml", "application/epub+zip"
 _EMPTY_SPINE = "empty"
@@ -162,6 +163,17 @@ def spine(opened: DataFrame) -> DataFrame:
     return opened.select("path", "title", F.explode("chapters").alias("c")).select("path", "title", "c.*")
 
 
+def result_view(translated: DataFrame, original: DataFrame) -> DataFrame:
+    """path, href, title, original, translated: translated items beside the original of the same link, empty where there is none.
+
+    Both are spines (path, spine_pos, href, content); of several originals with one link the first counts.
+    """
+    first = original.groupBy("path", "href").agg(F.min_by("content", "spine_pos").alias("original"))
+    fallback = F.concat(F.lit(fixed.CHAPTER_TITLE), F.lit(" "), (F.col("spine_pos") + 1).cast("string"))
+    items = translated.select("path", "href", html.title(F.col("content"), fallback).alias("title"), html.body(F.col("content")).alias("translated"))
+    return items.join(first, ["path", "href"], "left").select("path", "href", "title", F.coalesce(html.body(F.col("original")), F.lit("")).alias("original"), "translated")
+
+
 def written(chapters: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """path and archive of new books from (path, title, pos, href, content): a book's chapters in one row."""
     books_ = chapters.groupBy("path").agg(F.min("title").alias("title"), F.sort_array(F.collect_list(F.struct("pos", "href", "content"))).alias("chapters"))

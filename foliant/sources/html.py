@@ -149,6 +149,12 @@ def restore_segments(segments: Column, hits: Column) -> Column:
     return F.when(F.forall(bodies, lambda b: b.isNotNull()), texts)
 
 
+def body(html: Column) -> Column:
+    """What is inside the body, or all of it without one."""
+    inner = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1)
+    return F.when(html.rlike(r"(?is)<body\b[^>]*>.*</body\s*>"), inner).otherwise(html)
+
+
 def title(html: Column, fallback: Column) -> Column:
     """Text of the first h1, h2 or title."""
     inner = F.regexp_extract(html, r"(?is)<(?:h1|h2|title)\b[^>]*>(.*?)</(?:h1|h2|title)>", 1)

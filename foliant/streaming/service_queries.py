@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed
+from foliant.plans.ledger_queries import CLAIMS_SQL
 from foliant.plans.text_queries import query
 from foliant.sources import store
-from foliant.streaming import gate, publish, sweep
+from foliant.streaming import claims, gate, publish, sweep
 from foliant.streaming.stream_queries import to_table
 
 
@@ -79,6 +80,20 @@ def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("job", "message", "usr", "book", "status", "settled", "cents", F.coalesce("t", F.lit(False)).alias("entitles"))
 
 
+# ---- claims --------------------------------------------------------------------------------
+
+
+@query(CLAIMS_SQL)
+def stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the free sample of seven books as they stream by; small values are results that are gone."""
+    i = F.col("event_id")
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("user"), i.alias("request"), "at", (i % 7).alias("book"), i.alias("job"), (F.col("value") < 250).alias("gone"))
+    end = e.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).where("at is not null").select(*(F.col("at") if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema))
+    path = _files(e.unionByName(end), "requests")
+    told = to_table(claims.claimed(spark.readStream.schema(e.schema).parquet(path)))
+    return told.select(F.col("request").alias("event_id"), "decision")
+
+
 # ---- retention -----------------------------------------------------------------------------
 
 _KEEP = {"click": fixed.RATE_KEEP_DAYS, "view": fixed.RATE_KEEP_DAYS, "error": fixed.EVENT_KEEP_DAYS, "signup": fixed.EVENT_KEEP_DAYS}

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.streaming import gate, publish, sweep
+from foliant.streaming import claims, gate, publish, sweep
 from foliant.streaming.stream_queries import to_table
 
 START = datetime(2024, 1, 1)
@@ -111,6 +111,30 @@ def test_seen_once_by_time_to_live(spark, tmp_path):
     assert told == [(1, "a"), (2, "a")]
 
 
+REQUEST = "user long, request long, at timestamp_ntz, book long, job long, gone boolean"
+
+
+def test_claims_over_batches_equal_one_sequence(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(rng.randrange(3), i, START + timedelta(hours=6 * i + rng.randrange(6)), rng.randrange(3), rng.randrange(40), rng.random() < 0.8) for i in range(150)]
+    rows.sort(key=lambda r: r[2])
+    swapped = [*rows[:49], rows[50], rows[49], *rows[51:]]  # one comes late by less than is waited for
+    parts = [swapped[:50], swapped[50:100], swapped[100:], [(None, None, START + timedelta(days=90), None, None, None)]]
+    told = batches(spark, parts, REQUEST, tmp_path, lambda s: claims.claimed(s, limit=2, window=7 * 86400, late="2 days"))
+    held, moves, want = {}, {}, {}
+    for user, request, at, book, job, gone in sorted(rows, key=lambda r: (r[2], r[1])):
+        now = held.get((user, book))
+        week = user, int((at - datetime(1970, 1, 1)).total_seconds()) // (7 * 86400)
+        if now and now[0] != job:
+            want[request] = "held" if not now[1] else "limited" if moves.get(week, 0) >= 2 else "moved"
+            moves[week] = moves.get(week, 0) + (want[request] == "moved")
+        else:
+            want[request] = "same" if now else "claimed"
+        if want[request] in ("claimed", "same", "moved"):
+            held[user, book] = (job, gone)
+    assert {r[1]: r[2] for b in told for r in b} == want and {"claimed", "held", "moved", "limited"} <= set(want.values())
+
+
 OUTCOME = "job long, message long, at timestamp, usr long, book string, sample boolean, done boolean, usd double"
 
 
