@@ -151,39 +151,50 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- replies of models ---------------------------------------------------------------------
 
-#: reply, input, output, cached, weak blocks
-REPLIES = [
-    ('{"prompt_tokens": 10, "completion_tokens": 4, "prompt_tokens_details": {"cached_tokens": 3}}', 10, 4, 3, None),
-    ('{"input_tokens": 7, "output_tokens": 2, "total_cached_tokens": 5}', 7, 2, 5, None),
-    ('{"prompt_tokens": "10", "input_tokens": 8, "weak_blocks": [0, 2, -1, 1.5, "3", 4]}', 8, 0, 0, "0,2,4"),
-    ('{"weak_blocks": ["a"], "prompt_tokens_details": {"cached_tokens": "9"}, "total_cached_tokens": 1}', 0, 0, 1, None),
-    ('{"weak_blocks": 3}', 0, 0, 0, None),
-    ("no json", 0, 0, 0, None),
-]
-
-
-@query(f"WITH {values('r', 'reply, input, output, cached, weak', REPLIES)} SELECT reply, input::BIGINT AS input, output::BIGINT AS output, cached::BIGINT AS cached, weak FROM r")
+#: What a model answers to an event: usage under either set of names, of the right type or not, or no JSON at all.
+_REPLY_SQL = """r AS (SELECT event_id, CASE event_id % 6
+  WHEN 0 THEN '{"prompt_tokens": ' || user_id || ', "completion_tokens": ' || floor(value)::BIGINT || ', "prompt_tokens_details": {"cached_tokens": ' || user_id % 7 || '}}'
+  WHEN 1 THEN '{"input_tokens": ' || user_id || ', "output_tokens": ' || floor(value)::BIGINT || ', "total_cached_tokens": ' || user_id % 5 || ', "weak_blocks": [' || event_id % 4 || ', 1.5, "3", -1, ' || user_id || ']}'
+  WHEN 2 THEN '{"prompt_tokens": "' || user_id || '", "input_tokens": ' || user_id + 1 || ', "weak_blocks": ["a", -' || user_id || ']}'
+  WHEN 3 THEN '{"weak_blocks": ' || user_id || ', "prompt_tokens_details": {"cached_tokens": "9"}, "total_cached_tokens": ' || user_id || '}'
+  WHEN 4 THEN props ELSE event_type END AS reply FROM events)"""
+_NUMBER = "CASE WHEN json_type(j, '{0}') IN ('UBIGINT', 'BIGINT') THEN json_extract(j, '{0}')::BIGINT END"
+
+
+@query(f"""WITH {_REPLY_SQL}, p AS (SELECT event_id, CASE WHEN json_valid(reply) THEN reply::JSON END AS j FROM r),
+ w AS (SELECT event_id, list_filter(CASE WHEN json_type(j, '$.weak_blocks') = 'ARRAY' THEN json_extract(j, '$.weak_blocks[*]') ELSE [] END, lambda x: json_type(x) = 'UBIGINT') AS ws FROM p)
+SELECT event_id, coalesce({_NUMBER.format('$.prompt_tokens')}, {_NUMBER.format('$.input_tokens')}, 0)::BIGINT AS input, coalesce({_NUMBER.format('$.completion_tokens')}, {_NUMBER.format('$.output_tokens')}, 0)::BIGINT AS output,
+ coalesce({_NUMBER.format('$.prompt_tokens_details.cached_tokens')}, {_NUMBER.format('$.total_cached_tokens')}, 0)::BIGINT AS cached, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, lambda x: x::VARCHAR), ',') END AS weak FROM p JOIN w USING (event_id)""")
 def reply_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by either set of names, and weak blocks that are whole numbers."""
-    r = spark.createDataFrame([x[:1] for x in REPLIES], "reply string")
-    return r.select("reply", replies.usage(F.col("reply")).alias("u"), F.array_join(replies.weak_blocks(F.when(F.col("reply").startswith("{"), F.col("reply"))), ",").alias("weak")).select("reply", "u.*", "weak")
-
-
-#: request, terms, reply, accepted
-FILLS = [
-    (1, "Klein|Paris", '{"Klein": " Kis ", "Paris": "Párizs", "Rome": "Róma"}', "Klein=Kis|Paris=Párizs"),
-    (2, "Klein", '{"Klein": "  "}', None),
-    (3, "Klein", '{"Klein": 5}', None),
-    (4, "Klein", "junk", None),
-    (5, "A|B", '{"B": "b"}', "B=b"),
-]
+    i, u, v = F.col("event_id"), F.col("user_id"), F.floor("value")
+    said = lambda form, *values: F.format_string(form, *values)
+    reply = (
+        F.when(i % 6 == 0, said('{"prompt_tokens": %d, "completion_tokens": %d, "prompt_tokens_details": {"cached_tokens": %d}}', u, v, u % 7))
+        .when(i % 6 == 1, said('{"input_tokens": %d, "output_tokens": %d, "total_cached_tokens": %d, "weak_blocks": [%d, 1.5, "3", -1, %d]}', u, v, u % 5, i % 4, u))
+        .when(i % 6 == 2, said('{"prompt_tokens": "%d", "input_tokens": %d, "weak_blocks": ["a", -%d]}', u, u + 1, u))
+        .when(i % 6 == 3, said('{"weak_blocks": %d, "prompt_tokens_details": {"cached_tokens": "9"}, "total_cached_tokens": %d}', u, u))
+        .when(i % 6 == 4, F.col("props"))
+        .otherwise(F.col("event_type"))
+    )
+    r = _read(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
+    weak = replies.weak_blocks(F.when(F.try_parse_json("reply").isNotNull(), F.col("reply")))
+    return r.select("event_id", replies.usage(F.col("reply")).alias("u"), F.when(F.size(weak) > 0, F.array_join(weak, ",")).alias("weak")).select("event_id", "u.*", "weak")
 
 
-@query(f"WITH {values('f', 'request, terms, reply, said', FILLS)}, x AS (SELECT request, unnest(string_split(said, '|')) AS pair FROM f WHERE said IS NOT NULL) SELECT request::BIGINT AS request, split_part(pair, '=', 1) AS term, split_part(pair, '=', 2) AS rendering FROM x")
+@query(r"""WITH c AS (SELECT conv_id * 100 + turn AS request, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')) AS terms, lower(regexp_extract(text, '[a-z]+', 0)) AS said, length(text) % 4 AS kind FROM conversations WHERE text IS NOT NULL AND len(regexp_extract_all(text, '[A-Z][a-z]+')) > 0),
+ t AS (SELECT DISTINCT request, unnest(terms) AS term, said, kind FROM c)
+SELECT DISTINCT request::BIGINT AS request, term, said || term AS rendering FROM t WHERE kind IN (0, 1) AND (kind = 0 OR length(term) % 2 = 0)""")
 def glossary_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([x[:3] for x in FILLS], "request long, terms string, reply string").withColumn("terms", F.split("terms", "[|]"))
+    """A model is asked for the names of a turn; it answers with spaces around, leaves some blank, adds one that nobody asked for, or answers no JSON."""
+    names = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)
+    c = _read(spark, sf_dir, "conversations").where(F.size(names) > 0).select((F.col("conv_id") * 100 + F.col("turn")).alias("request"), F.array_distinct(names).alias("terms"), F.lower(F.regexp_extract("text", "[a-z]+", 0)).alias("said"), (F.length("text") % 4).alias("kind"))
+    blank = lambda t: F.when((F.col("kind") == 0) | (F.length(t) % 2 == 0), F.concat(F.lit("  "), F.col("said"), t, F.lit(" "))).otherwise(F.lit("  "))
+    entries = F.array_append(F.transform("terms", lambda t: F.struct(t.alias("key"), blank(t).alias("value"))), F.struct(F.lit("Nobody asked").alias("key"), F.lit("x").alias("value")))
+    reply = F.when(F.col("kind") == 3, F.concat(F.lit("junk "), F.col("said"))).when(F.col("kind") == 2, F.to_json(F.create_map(F.lit("Nobody asked"), F.lit("x")))).otherwise(F.to_json(F.map_from_entries(entries)))
+    told = c.select("request", "terms", reply.alias("reply"))
     json = F.when(F.try_parse_json("reply").isNotNull(), F.col("reply"))
-    return replies.accepted_renderings(f.withColumn("reply", json), "request", "terms", "reply")
+    return replies.accepted_renderings(told.withColumn("reply", json), "request", "terms", "reply").distinct()
 
 
 # ---- moves ---------------------------------------------------------------------------------

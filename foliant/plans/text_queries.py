@@ -88,12 +88,21 @@ def tier_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.groupBy(cost.tier(F.col("n_chars")).alias("tier")).agg(F.count("*").alias("n_books"), F.sum("n_chars").alias("n_chars"))
 
 
-@query(f"""WITH models(model) AS (VALUES {_values([(m + s,) for m, *_ in fixed.PRICES for s in ("", "-preview")] + [("gemini-3.5-flash-lite-x",), ("other",), ("",)])}), {PRICE_SQL}
-SELECT model, coalesce((SELECT arg_max(prefix, length(prefix)) FROM prices WHERE starts_with(model, prefix)), '{fixed.DEFAULT_MODEL}') AS profile FROM models""")
+_MODEL_SQL = f"""m AS (SELECT p_partkey, coalesce((SELECT prefix FROM (SELECT prefix, row_number() OVER (ORDER BY prefix) - 1 AS k FROM prices) WHERE k = p_partkey % 9), CASE p_partkey % 9 WHEN 7 THEN lower(p_brand) ELSE '' END)
+  || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '-preview' ELSE '-lite' END AS model FROM part)"""
+
+
+@query(f"""WITH {PRICE_SQL}, {_MODEL_SQL}
+SELECT p_partkey, model, coalesce(arg_max(prefix, length(prefix)), '{fixed.DEFAULT_MODEL}') AS profile FROM m LEFT JOIN prices ON starts_with(model, prefix) GROUP BY p_partkey, model""")
 def model_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [m + s for m, *_ in fixed.PRICES for s in ("", "-preview")] + ["gemini-3.5-flash-lite-x", "other", ""]
-    models = spark.createDataFrame([(m,) for m in names], "model string")
-    return models.select("model", cost.price_profile(F.col("model")).alias("profile"))
+    """Parts name models: known ones, with endings that make them others or not, and unknown ones; the longest known prefix tells the price."""
+    k, known = F.col("p_partkey") % 9, sorted(m for m, *_ in fixed.PRICES)
+    name = F.when(k == 7, F.lower("p_brand")).otherwise("")
+    for i, prefix in enumerate(known):
+        name = F.when(k == i, prefix).otherwise(name)
+    model = F.concat(name, F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "-preview").otherwise("-lite"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", model.alias("model"))
+    return parts.select("p_partkey", "model", cost.price_profile(F.col("model")).alias("profile"))
 
 
 # ---- chunks --------------------------------------------------------------------------------
