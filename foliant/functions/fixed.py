@@ -87,3 +87,11 @@ SPEED_UNIT = "szakasz/perc"
 CHAPTER_TITLE = "Fejezet"
 MAX_ARCHIVE_BYTES, MAX_ENTRIES, MAX_UNCOMPRESSED = 32 * 1024 * 1024, 2000, 128 * 1024 * 1024
 XHTML_TYPES = ["application/xhtml+xml", "text/html"]
+
+# What names may look like; letters in either case but for users and jobs.
+UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+LOCALE = "[a-z]{2,3}(?:-[a-z0-9]{2,8}){0,3}"
+LANGUAGE = "[a-z]{2,3}(?:-[a-z0-9]{2,8})?"
+SOURCE_HASH = "[a-f0-9]{64}"
+USER_ID = "[A-Za-z0-9._:@-]{1,128}"
+JOB_ID = "[A-Za-z0-9_-]{1,64}"

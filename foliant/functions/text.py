@@ -196,6 +196,11 @@ def hmac_sha256(key: bytes):
     return lambda c: base64url(digest(c))
 
 
+def is_named(c: Column, pattern: str, either_case: bool = True) -> Column:
+    """Whether the whole of a text is such a name; false for null."""
+    return F.coalesce(c.rlike(f"{'(?i)' if either_case else ''}\\A(?:{pattern})\\z"), F.lit(False))
+
+
 def clean_title(c: Column) -> Column:
     """Control characters as spaces, collapsed, 500 characters at most; empty is null."""
     return F.nullif(F.substring(collapse(F.regexp_replace(c, "[\\x00-\\x1f\\x7f]", " ")), 1, 500), F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from foliant.functions import fixed
+from foliant.functions import text as T
 from foliant.operators import speculation
 
 _KINDS = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
@@ -290,6 +291,6 @@ def age(seconds: Column) -> Column:
 def valid_acceptance(now: Column, honoured: list[str]) -> Column:
     """Whether an acceptance (id, locale, method, statement, t) of a release in force since `since` counts."""
     latest = now + F.make_dt_interval(secs=F.lit(fixed.MAX_CLOCK_SKEW_SECONDS))
-    known = F.col("id").rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & F.col("locale").rlike("^[a-z]{2}(-[A-Z]{2})?$")
+    known = T.is_named(F.col("id"), fixed.UUID) & T.is_named(F.col("locale"), fixed.LOCALE)
     named = (F.col("method") == "ios-clickwrap") & F.col("statement").isin(honoured)
     return F.coalesce(known & named & (F.col("t") >= F.col("since")) & (F.col("t") <= latest), F.lit(False))

@@ -295,7 +295,7 @@ HONOURED = ["rights-2", "rights-1"]  # statements: the current one and the super
 
 @query(f"""WITH rel(version, since) AS (VALUES {", ".join(f"('{v}', '{t}')" for v, t in _RELEASES)}), a AS (SELECT event_id, 'v' || (event_id % 5 + 1) AS version, CASE WHEN event_id % 10 = 3 THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS said,
  CASE WHEN event_id % 6 = 0 THEN 'web' ELSE 'ios-clickwrap' END AS method, CASE WHEN event_id % 9 = 0 THEN 'x' ELSE 'hu-HU' END AS locale, 'rights-' || event_id % 4 AS statement, CASE WHEN event_id % 8 = 0 THEN 'nope' ELSE regexp_replace(md5(event_id::VARCHAR), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-') END AS id FROM events)
-SELECT event_id, a.version, coalesce(regexp_full_match(id, '(?i)[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') AND method = 'ios-clickwrap' AND regexp_matches(locale, '^[a-z]{{2}}(-[A-Z]{{2}})?$') AND statement IN ('rights-2', 'rights-1') AND TRY_CAST(said AS TIMESTAMP) IS NOT NULL AND TRY_CAST(since AS TIMESTAMP) IS NOT NULL
+SELECT event_id, a.version, coalesce(regexp_full_match(id, '(?i){fixed.UUID}') AND method = 'ios-clickwrap' AND regexp_full_match(locale, '(?i){fixed.LOCALE}') AND statement IN ('rights-2', 'rights-1') AND TRY_CAST(said AS TIMESTAMP) IS NOT NULL AND TRY_CAST(since AS TIMESTAMP) IS NOT NULL
  AND TRY_CAST(said AS TIMESTAMP) >= TRY_CAST(since AS TIMESTAMP) AND TRY_CAST(said AS TIMESTAMP) <= TIMESTAMP '2024-01-25 00:00:00' + INTERVAL {fixed.MAX_CLOCK_SKEW_SECONDS} SECOND, false) AS valid FROM a LEFT JOIN rel ON rel.version = a.version""")
 def terms_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acceptances against the release they name: id, locale, method, statement and dates must be in order,

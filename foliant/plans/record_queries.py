@@ -257,11 +257,11 @@ def budget_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.budget_moves(moves, ["ts", "event_id"], _DAY_CENTS, _MONTH_CENTS).select("event_id", "decision")
 
 
-_JOBS_SQL = """j AS (SELECT o_orderkey AS job, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN '' ELSE 'u' || o_custkey % 40 END AS usr, 'h' || o_orderkey % 9 AS source_hash, CASE WHEN o_orderkey % 2 = 0 THEN 'hu' ELSE 'de' END AS target,
+JOBS_SQL = """j AS (SELECT o_orderkey AS job, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN '' ELSE 'u' || o_custkey % 40 END AS usr, 'h' || o_orderkey % 9 AS source_hash, CASE WHEN o_orderkey % 2 = 0 THEN 'hu' ELSE 'de' END AS target,
  CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS sample, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'running' END AS status, CASE WHEN o_orderkey % 10 < 8 THEN 'r' || o_orderkey END AS result_key, o_orderdate AS finished_at FROM orders)"""
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     user = F.when(c % 11 == 0, None).when(c % 13 == 0, "").otherwise(F.concat(F.lit("u"), (c % 40).cast("string")))
     return _read(spark, sf_dir, "orders").select(
@@ -271,15 +271,15 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_JOBS_SQL} SELECT job, status FROM j WHERE usr = 'u7'")
+@query(f"WITH {JOBS_SQL} SELECT job, status FROM j WHERE usr = 'u7'")
 def owned_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.owned(_jobs(spark, sf_dir), "user", "u7").select("job", "status")
+    return ledger.owned(jobs(spark, sf_dir), "user", "u7").select("job", "status")
 
 
-@query(f"WITH {_JOBS_SQL} SELECT usr AS owner, source_hash, target, job FROM j WHERE sample = 0 AND status = 'done' AND result_key IS NOT NULL AND usr <> '' QUALIFY row_number() OVER (PARTITION BY usr, source_hash, target ORDER BY finished_at DESC, job DESC) = 1")
+@query(f"WITH {JOBS_SQL} SELECT usr AS owner, source_hash, target, job FROM j WHERE sample = 0 AND status = 'done' AND result_key IS NOT NULL AND usr <> '' QUALIFY row_number() OVER (PARTITION BY usr, source_hash, target ORDER BY finished_at DESC, job DESC) = 1")
 def completed_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = _jobs(spark, sf_dir).where("user <> ''")
-    return ledger.completed_translations(jobs).select(F.col("user").alias("owner"), "source_hash", "target", "job")
+    own = jobs(spark, sf_dir).where("user <> ''")
+    return ledger.completed_translations(own).select(F.col("user").alias("owner"), "source_hash", "target", "job")
 
 
 # ---- stored records ------------------------------------------------------------------------
