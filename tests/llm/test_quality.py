@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from foliant.llm import quality
+import duckdb
+
+from foliant.llm import oracles, quality
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,6 +51,22 @@ def test_bad_host_loses_good_documents_and_small_hosts_are_shrunk(spark):
     assert spared == kept | set(range(5))
 
 
+def test_host_verdicts_equal_sql_where_hosts_are_rejected_and_small_ones_saved(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, good if i % 25 == 0 else "short", "bad") for i in range(200)] + [(1000 + i, good if i % 10 else "short", f"h{i % 12}") for i in range(900)]
+    rows += [(5000 + i, t, s) for i, (t, s) in enumerate([("short", "tiny"), (good, "tiny"), ("short", "alone"), (good, None), (None, None), ("short", "pair"), ("short", "pair"), (good, "pair")])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    twin = con.execute(oracles.QUALITY)
+    names = [c[0] for c in twin.description]
+    want = sorted(twin.fetchall())
+    got = sorted(tuple(r[c] for c in names) for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == want
+    lost = [r for r in got if not r[names.index("base_failed")] and not r[names.index("kept")]]
+    assert len(lost) == 8 and all(r[0] < 200 for r in lost)  # the good documents of the bad host, and of no other
+
+
 def test_empty_table_and_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, kept int")
     assert quality.keep(docs).columns == docs.columns
