@@ -55,7 +55,7 @@ class Scoring:
 
 @dataclass(frozen=True)
 class Sample:
-    """What the bisection is fitted on: this many documents at most, by hash, with at most so many terms each."""
+    """What the bisection is fitted on: about this many documents (twice as many at most), by hash, with at most so many terms each."""
 
     docs: int = 4096
     terms: int = 256
@@ -161,11 +161,12 @@ def entries(docs: DataFrame, doc_id: str, text: str, vocabulary: dict[bytes, int
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _ENTRY)
 
 
-def fitted(indexed: DataFrame, n_terms: int, depth: int, sample: Sample) -> np.ndarray:
-    """The tree's weights from a bounded sample: at most sample.docs * sample.terms numbers reach the driver."""
-    d = indexed.where(F.size("terms") > 0)
+def fitted(indexed: DataFrame, n_docs: int, n_terms: int, depth: int, sample: Sample) -> np.ndarray:
+    """The tree's weights from a bounded sample: at most 2 * sample.docs * sample.terms numbers reach the driver."""
+    share = F.pmod(F.xxhash64("doc_id", "n", "terms"), F.lit(1 << 30)) < F.lit(math.ceil(min(1.0, sample.docs / n_docs) * (1 << 30)))
+    d = indexed.where((F.size("terms") > 0) & share)
     some = F.transform(F.slice(F.array_sort(F.transform("terms", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), 1, sample.terms), lambda x: x["t"])
-    rows = d.orderBy(F.xxhash64("doc_id", "n", "terms")).limit(sample.docs).select(some.alias("t")).collect()
+    rows = d.select(some.alias("t")).limit(2 * sample.docs).collect()
     doc = np.repeat(np.arange(len(rows)), [len(r.t) for r in rows])
     term = np.array([t for r in rows for t in r.t], np.int64)
     return bisection(doc, term, len(rows), n_terms, Sample(sample.docs, sample.terms, sample.rounds, depth))
@@ -328,7 +329,7 @@ def _searched(docs: DataFrame, block: list[tuple[int, list[bytes]]], top: int, d
     weights = np.array([scoring.weight(n_docs, frequency.get(i, 0)) for i in range(len(vocabulary))], np.int64)
 
     depth = max(0, min(sample.depth, math.ceil(math.log2(max(1, n_docs / shard_docs)))))
-    tree = fitted(indexed, len(vocabulary), depth, sample)
+    tree = fitted(indexed, n_docs, len(vocabulary), depth, sample)
     told = tools.stage(placed(indexed, tree, depth))
     sizes = {r.leaf: r.n for r in told.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # 2 ** depth rows at most
     start, first = {}, 0
