@@ -11,6 +11,10 @@ of a seed; it knows every string's common prefix with the last one out, so no kn
 compared again, and hands out the common prefix of neighbours with the order. From these and
 the same on the left side follows how far each anchor's neighbourhood recurs.
 
+A seed with very many neighbourhoods is split: a window around it reaches so far to the right that its strings agree on
+`half` bytes behind the seed, or so far to the left that they agree on as many before it. So each of its strings
+goes to two places, by what follows the seed and by what precedes it, and of what is found in either the farther reach counts.
+
 Beside the bytes, passages of `passage_words` words that occur in several documents are counted, since such a
 passage may have fewer than `length` bytes. It is found the same way: the least hash among the short word
 sequences of a window of words is its anchor, and windows whose anchor recurs are compared by their hash.
@@ -50,9 +54,14 @@ class Repeat:
     piece: int = 300_000  # bytes hashed together; any size finds the same
     part_rows: int = 20_000  # anchors to a part of the exchange
     hot_seeds: int = 256  # most seeds to broadcast
+    wide_seed: int = 5_000  # places of a seed from which on it is split
     passage_words: int = 51
     passage_seed: int = 10  # words
 
+    @property
+    def half(self) -> int:
+        return (self.length - self.seed) // 2
+
 
 _powers: list[np.ndarray] = []
 
@@ -345,7 +354,7 @@ def reaches(runs: list[bytes], rule: Repeat) -> Iterator[tuple[int, int, int, in
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch], rule: Repeat, parts: int, flush: int = 12_000_000) -> Iterator[pa.RecordBatch]:
-    """From (t1, t2, text, places): member rows (t1, t2, place, c1, c2) and run rows (part, run)."""
+    """From (t1, t2, text, places, wide ones among them): member rows (t1, t2, place, c1, c2) and run rows (part, run)."""
     names = ["t1", "t2", "place", "c1", "c2", "part", "run"]
     seen: set[tuple[int, int]] = set()
     held: dict[int, list] = {}
@@ -372,6 +381,7 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch], rule: Repeat, parts: int,
         for i in range(batch.num_rows):
             text = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
             places = batch.column(3)[i].as_py()
+            wide = set(batch.column(4)[i].as_py())
             classes = []
             for at in places:
                 right, left = text[at : at + rule.length], text[max(0, at - rule.length + rule.seed) : at][::-1]
@@ -380,8 +390,11 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch], rule: Repeat, parts: int,
                 classes.append((c1, c2))
                 if (c1, c2) not in seen:
                     seen.add((c1, c2))
-                    held.setdefault(xxhash.xxh64_intdigest(right[: rule.seed]) % parts, []).append((s, len(right), c1, c2))
-                    size += len(s) + 100
+                    seed = xxhash.xxh64_intdigest(right[: rule.seed])
+                    sides = [(right[: rule.seed + rule.half], 1), (left[: rule.half], 2)] if at in wide else []
+                    for p in {xxhash.xxh64_intdigest(x, seed=seed ^ side) % parts for x, side in sides} or {seed % parts}:
+                        held.setdefault(p, []).append((s, len(right), c1, c2))
+                        size += len(s) + 100
             t1, t2 = (pa.array([batch.column(c)[i].as_py()] * len(places), pa.int64()) for c in (0, 1))
             c1, c2 = zip(*classes)
             blank = [pa.nulls(len(places), pa.int64()), pa.nulls(len(places), pa.binary())]
@@ -458,16 +471,18 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
     n_places = by_text.agg(F.sum(F.size("h"))).first()[0] or 0
     # a seed that holds over 1 / hot_seeds of all places is one of at most hot_seeds, which are
     # broadcast, so its places are found where they lie; the others meet in a shuffle
-    hot = F.broadcast(again.where(F.col("n") * rule.hot_seeds > n_places).select("h"))
-    rest = places.join(hot, "h", "left_anti").join(again.select("h"), "h", "left_semi")
-    wanted = places.join(hot, "h", "left_semi").unionByName(rest).groupBy("t1", "t2")
-    wanted = wanted.agg(*(F.collect_set(F.when(F.col("worded") == w, F.col("place"))).alias(c) for c, w in (("places", False), ("spots", True))))
-    wanted = wanted.join(counts, ["t1", "t2"]).select("t1", "t2", "first", "places", "spots")
+    known = again.select("h", (F.col("n") >= rule.wide_seed).alias("wide"))
+    hot = F.broadcast(again.where(F.col("n") * rule.hot_seeds > n_places).select("h", (F.col("n") >= rule.wide_seed).alias("wide")))
+    rest = places.join(hot.select("h"), "h", "left_anti").join(known, "h")
+    wanted = places.join(hot, "h").unionByName(rest).groupBy("t1", "t2")
+    lists = {"places": ~F.col("worded"), "wide": ~F.col("worded") & F.col("wide"), "spots": F.col("worded")}
+    wanted = wanted.agg(*(F.collect_set(F.when(of, F.col("place"))).alias(c) for c, of in lists.items()))
+    wanted = wanted.join(counts, ["t1", "t2"]).select("t1", "t2", "first", *lists)
     texts = d.join(wanted.withColumnRenamed("t1", "u1").withColumnRenamed("t2", "u2"), (d.t1 == F.col("u1")) & (d.t2 == F.col("u2")) & d.doc_id.eqNullSafe(F.col("first")))
-    texts = tools.stage(texts.select("t1", "t2", "text", "places", "spots"))
+    texts = tools.stage(texts.select("t1", "t2", "text", "places", "wide", "spots"))
     shared = _shared_passages(texts.where("size(spots) > 0").select("t1", "t2", "text", "spots"), rule)
     worded = by_text.where(F.array_contains("worded", True)).select("t1", "t2", F.lit(True).alias("worded"))
-    texts = texts.where("size(places) > 0").select("t1", "t2", "text", "places")
+    texts = texts.where("size(places) > 0").select("t1", "t2", "text", "places", "wide")
     n_anchors = texts.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, -(-n_anchors // rule.part_rows))
 
@@ -494,7 +509,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, rule: Repeat, want: str) -
         yield from rows(runs)
 
     dealt = found.where("run is not null").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
-    between = dealt.mapInArrow(merge, "c1 long, c2 long, left long, right long")
+    between = dealt.mapInArrow(merge, "c1 long, c2 long, left long, right long").groupBy("c1", "c2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     size = members.groupBy("c1", "c2").agg(F.count("*").alias("n"))
     reach = tools.stage(size.join(between, ["c1", "c2"], "left").where("n > 1 or right is not null"))
     spans = members.join(reach, ["c1", "c2"])

@@ -119,5 +119,24 @@ def test_both_reach_methods_agree():
         assert tuple(map(list, sd._reach_pairs(*args))) == tuple(map(list, sd._reach_offsets(*args)))
 
 
+@pytest.mark.parametrize("length,seed", [(20, 6), (21, 6), (9, 4)])
+def test_split_seeds_miss_nothing(spark, length, seed):
+    """Every seed that occurs twice is split, among texts that share windows to one side of it only."""
+    rule = sd.Repeat(length=length, seed=seed, piece=500, part_rows=5, wide_seed=2)
+    rng = random.Random(length)
+    hot = "q" * seed
+    sides = ["".join(rng.choice("ab") for _ in range(length)) for _ in range(4)]
+    texts = corpus(3, "ab", 25)
+    for i in range(40):
+        left, right = rng.choice(sides), rng.choice(sides)
+        cut = rng.randrange(length)
+        texts.append("".join(rng.choice("cd") for _ in range(rng.randrange(9))) + left[cut:] + hot + right[: rng.randrange(length)] + rng.choice("efgh"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(docs, rule=rule).collect()}
+    whole = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(docs, rule=sd.Repeat(length=length, seed=seed, piece=500, part_rows=5)).collect()}
+    want = brute(texts, length)
+    assert got == whole == {i: want[i][1:] for i in got} and any(w[1] for w in want)
+
+
 def test_empty_table(spark):
     assert sd.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
