@@ -38,10 +38,12 @@ def world(rng):
     return items, docs + [None, "", docs[0]]
 
 
-@pytest.mark.parametrize("block", [4_000_000, 150])
-def test_equals_brute_force_and_blocks_agree(spark, block):
+JOINED = dc.Overlap(index_bytes=0, filter_bits=14, lot=3)
+
+
+@pytest.mark.parametrize("rule", [dc.Overlap(), JOINED, dc.Overlap(index_bytes=0)])
+def test_both_ways_equal_brute_force(spark, rule):
     items, docs = world(random.Random(4))
-    rule = dc.Overlap(block_bytes=block)
     items, docs = items + [None, "", "!?", "too short"], docs + ["Too, short.", "this is too short"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -80,3 +82,19 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert dc.overlaps(docs, bench).count() == 0 and dc.clean(one, bench).count() == 1
+    item = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert dc.overlaps(docs, item, rule=JOINED).count() == 0 and dc.clean(one, item, rule=JOINED).count() == 0
+
+
+def test_both_ways_tell_the_same_overlaps(spark):
+    """Starts and lengths too, where hits lie at many offsets, texts repeat, and ids are null or repeat."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(2)}"
+    items = [(k % 30 or None, " ".join(word() for _ in range(rng.choice([1, 3, 5, 8, 13, 30])))) for k in range(40)] + [(7, None), (8, "")]
+    docs = [(i % 50 or None, " ".join(word() for _ in range(rng.choice([0, 3, 20, 300]))), 1) for i in range(60)] + [(1, items[5][1], 2)] * 3 + [(2, None, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, digest int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, other = (sorted(map(tuple, dc.overlaps(df, bench, rule=r).collect()), key=repr) for r in (dc.Overlap(), JOINED))
+    assert one == other and len(one) > 300
+    kept = [sorted(map(tuple, dc.clean(df, bench, rule=r).collect()), key=repr) for r in (dc.Overlap(), JOINED)]
+    assert kept[0] == kept[1] and (2, None, 3) in kept[0]
