@@ -141,16 +141,17 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
     A column of docs that has one of the two names is replaced.
     """
-    keyed = docs.withColumn("__size", word_count(text)).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    # equal rows are interchangeable: the n-th of a key's rows takes the n-th of its decisions
-    key = ["__id", "__source", "__size"]
-    keyed = keyed.withColumn("__id", F.col(doc_id)).withColumn("__source", F.col(source))
-    nth = Window.partitionBy(*key)
-    keyed = keyed.withColumn("__nth", F.row_number().over(nth.orderBy("__hash")))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
-    taken = copies(slim, seed, **mix_by).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    taken = taken.withColumn("__nth", F.row_number().over(nth.orderBy(F.col("__copies").desc()))).where("__copies > 0").alias("t")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*key, "__nth"]]
-    joined = keyed.alias("d").join(taken, same)
-    own = [F.col(f"d.{c}") for c in docs.columns if c not in ("copies", "size")]
-    return joined.select(*own, F.col("d.__size").alias("size"), F.col("t.__copies").alias("copies"))
+    key = F.sha2(F.to_json(F.struct("doc_id", "source", "size"), {"ignoreNullFields": "false"}), 256)
+    # rows of one key are interchangeable and take one of two numbers of copies: how many take the larger says it all
+    decided = copies(slim, seed, **mix_by).groupBy(key.alias("__key")).agg(F.max("copies").alias("__most"), F.min("copies").alias("__least"), F.count("*").alias("__rows"), F.sum("copies").alias("__sum"))
+    larger = F.when(F.col("__most") == F.col("__least"), F.col("__rows")).otherwise(F.col("__sum") - F.col("__least") * F.col("__rows"))
+    decided = decided.where("__most > 0").select(F.col("__key").alias("__decided"), F.col("__most").alias("__most"), "__least", larger.alias("__larger"))
+    own = F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    keyed = docs.withColumn("__size", word_count(text)).withColumn("__key", F.sha2(F.to_json(own, {"ignoreNullFields": "false"}), 256))
+    # texts are shuffled once: the window and the join are dealt by the same key
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    joined = keyed.withColumn("__nth", nth).join(decided, F.col("__key") == F.col("__decided"))
+    taken = F.when(F.col("__nth") <= F.col("__larger"), F.col("__most")).otherwise(F.col("__least"))
+    joined = joined.withColumn("__copies", taken).where("__copies > 0")
+    return joined.select(*(c for c in docs.columns if c not in ("copies", "size")), F.col("__size").alias("size"), F.col("__copies").alias("copies"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -73,3 +74,20 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(empty).count() == 0 == mixing.sample(empty).count()
     none = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(none).collect()] == [0, 0]
+
+
+def test_sample_of_repeated_rows_and_its_shuffles(spark):
+    """Rows of one key take as many copies together as `mix` gives them, and texts are shuffled once."""
+    rows = [(None, "a b c " + "d " * (i % 3), None, i) for i in range(300)] + [(i, "e f g h", "s", i) for i in range(100)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    sampled = mixing.sample(docs)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    for r in sampled.collect():
+        got[r.doc_id, r.source, r.size] += r.copies
+        assert r.size == len(r.text.split()) and r.copies in (1, 2)
+    assert got == +want and len(got) > 50
+    texts = [line for line in plan.splitlines() if "Exchange hashpartitioning(__key" in line]
+    assert len(texts) == 1
