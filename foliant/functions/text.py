@@ -23,7 +23,8 @@ _MAYBE_UNCOMPOSED = "[^\\u0000-\\u02FF]"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    # not by an expression: that tries every place of the text for white space up to its end
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -96,7 +97,9 @@ def plain_text(html: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(strip_tags(c), F.lit(f"[^{WS[1:-1]}]+")).cast("long")
+    # few texts have tags, and most characters are ASCII: those are told at once
+    bare = F.when(c.contains("<"), strip_tags(c)).otherwise(c)
+    return F.regexp_count(bare, F.lit(f"[!-~]++[^{WS[1:-1]}]*+|[^{WS[1:-1]}]++")).cast("long")
 
 
 def tokens(n_chars: Column) -> Column:
@@ -144,7 +147,7 @@ def block_payload(parts: Column) -> Column:
 def _split(payload: Column, pattern: str) -> tuple[Column, Column]:
     """The text before the first mark; an array of (index, body) in order."""
     parts = F.split(F.regexp_replace(payload, pattern, "\u0001$1\u0002"), "\u0001")
-    hits = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.struct(F.substring_index(x, "\u0002", 1).try_cast("int").alias("index"), F.substring_index(x, "\u0002", -1).alias("body")))
+    hits = F.transform(F.slice(parts, 2, 1 << 30), lambda x: F.struct(F.substring_index(x, "\u0002", 1).try_cast("int").alias("index"), F.substring_index(x, "\u0002", -1).alias("body")))
     return parts[0], F.transform(hits, lambda x: F.struct(x["index"].alias("index"), x["body"].alias("body")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,9 @@ def eta(done: Column, total: Column, mean_ms: Column, concurrency: Column) -> di
 # ---- the offline provider ------------------------------------------------------------------
 
 _MARKED = f"[{fixed.TOKEN_OPEN}{fixed.TOKEN_CLOSE}{fixed.BLOCK_OPEN}{fixed.BLOCK_CLOSE}]"
+_OPEN, _CLOSE, _SOLID = f"[{fixed.TOKEN_OPEN}{fixed.BLOCK_OPEN}]", f"[{fixed.TOKEN_CLOSE}{fixed.BLOCK_CLOSE}]", f"[^{T.WS[1:-1]}]"
+#: A mark that touches other characters than white space, or is no number in a pair of brackets.
+_INSIDE_WORD = f"{_OPEN}(?:(?<={_SOLID}.)|(?![0-9]+{_CLOSE}))|{_CLOSE}(?:(?={_SOLID})|(?<!{_OPEN}[0-9]{{1,9}}.))"
 
 
 def fake_translate(text: Column, terms: dict[str, str] | None = None) -> Column:
@@ -91,10 +96,11 @@ def fake_translate(text: Column, terms: dict[str, str] | None = None) -> Column:
     for term, rendering in (terms or {}).items():
         if rendering:
             text = F.replace(text, F.lit(term), F.lit(rendering))
-    # words and the space between them alternate, so each piece is upper-cased on its own
+    # words and the space between them alternate, so each piece is upper-cased on its own; where every mark is whole and a
+    # word by itself, as in most texts, all of the text is upper-cased at once
     parts = F.regexp_extract_all(text, F.lit(f"({T.WS}+|[^{T.WS[1:-1]}]+)"), 1)
     mixed = F.array_join(F.transform(parts, lambda w: F.when(w.rlike(_MARKED), w).otherwise(F.upper(w))), "")
-    upper = F.when(text.rlike(_MARKED), mixed).otherwise(F.upper(text))
+    upper = F.when(text.rlike(_INSIDE_WORD), mixed).otherwise(F.upper(text))
     mark = f"({fixed.BLOCK_OPEN}\\d+{fixed.BLOCK_CLOSE})"
     return F.when(upper.rlike(mark), F.regexp_replace(upper, mark, f"$1 {fixed.FAKE_PREFIX}")).otherwise(F.concat(F.lit(fixed.FAKE_PREFIX), upper))
 
@@ -117,9 +123,23 @@ def splice(blocks: Column, refined: Column) -> Column:
     return join_blocks(F.transform(blocks, lambda x: F.struct(x["index"].alias("index"), body(x).alias("body"))))
 
 
-def weak_scope(source: Column, draft: Column, weak: Column) -> Column:
-    """Struct of source and draft narrowed to the weak blocks, null where that would be unsafe."""
-    s, d = T.split_blocks(source), T.split_blocks(draft)
+def _scope(s: Column, d: Column, weak: Column) -> Column:
     own, drafted = F.filter(s, lambda x: F.array_contains(weak, x["index"])), F.filter(d, lambda x: F.array_contains(weak, x["index"]))
     safe = (F.size(weak) > 0) & (F.size(s) > 0) & (F.size(d) == F.size(s)) & (F.size(own) > 0) & (F.size(own) == F.size(drafted)) & (F.size(own) < F.size(s))
     return F.when(safe, F.struct(join_blocks(own).alias("source"), join_blocks(drafted).alias("draft")))
+
+
+def weak_scope(source: Column, draft: Column, weak: Column) -> Column:
+    """Struct of source and draft narrowed to the weak blocks, null where that would be unsafe."""
+    return _scope(T.split_blocks(source), T.split_blocks(draft), weak)
+
+
+def with_weak_scope(df: DataFrame, source: str, draft: str, weak: Callable[[Column], Column], out: str) -> DataFrame:
+    """df with the weak scope; weak(blocks of the source) tells the numbers of the weak ones.
+
+    Payloads are split once, and what is weak is known before blocks are compared with it: an expression for it would be computed
+    again for every block.
+    """
+    d = df.withColumn("__s", T.split_blocks(F.col(source))).withColumn("__d", T.split_blocks(F.col(draft)))
+    d = d.withColumn("__weak", F.array_distinct(weak(F.col("__s"))))
+    return d.withColumn(out, _scope(F.col("__s"), F.col("__d"), F.col("__weak"))).drop("__s", "__d", "__weak")

@@ -9,9 +9,11 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from foliant.functions import fixed
 from foliant.functions import text as T
@@ -76,10 +78,10 @@ def retry_delays(attempts: int = 5, base: float = 1.0, most: float = 30.0, jitte
     return [min(most, base * 2**i) * jitter() for i in range(attempts - 1)]
 
 
-def _refined(d: DataFrame, provider: Provider, mode: str, pair: tuple[str, str]) -> DataFrame:
+def _refined(d: DataFrame, provider: Provider, mode: str, pair: tuple[str, str], save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One round: judge what passed the local length check, refine what the routing says."""
     least, most = map(F.lit, quality.band(mode, *pair))
-    flagged = d.withColumn("__flags", quality.flags(F.col("__source"), F.col("__draft"), least, most, F.lit(0)))
+    flagged = save(d.withColumn("__flags", quality.flags(F.col("__source"), F.col("__draft"), least, most, F.lit(0))))  # four ways lead from here
     omitted = F.array_contains("__flags", "omission")
     judged = provider.judge(flagged.where(~omitted), "__source", "__draft", "__verdict")
     judged = judged.unionByName(flagged.where(omitted).withColumn("__verdict", F.lit(None).cast("string")))
@@ -99,19 +101,35 @@ def translate(chunks: DataFrame, key: list[str], blocks: str, provider: Provider
     d = chunks.select(*key, F.col(blocks).alias("__blocks")).withColumn("__source", T.block_payload(F.col("__blocks")))
     d = save(provider.translate(d, "__source", "__draft"))
     for _ in range(MAX_REFINEMENTS):
-        d = save(_refined(d, provider, mode, pair))
+        d = save(_refined(d, provider, mode, pair, save))
     d = d.withColumn("__hits", T.split_blocks(F.col("__draft")))
-    rows = d.select(*key, "__hits", F.posexplode("__blocks").alias("block_idx", "source"))
-    rows = rows.select(*key, F.col("block_idx").cast("long").alias("block_idx"), "source", T.trim(T.body_of(F.col("__hits"), F.col("block_idx"))).alias("target"))
+    d = d.withColumn("__at", _places(F.transform("__hits", lambda x: x["index"]), F.coalesce(F.size("__blocks"), F.lit(0))))
+    # each block leaves with its own body: an exploded row that carries all bodies of its chunk makes a square of them
+    d = d.select(*key, F.col("__blocks").alias("source"), F.transform("__at", lambda i: F.get("__hits", i)["body"]).alias("target"))
+    rows = d.select(*key, F.posexplode(F.arrays_zip("source", "target")).alias("block_idx", "__b"))
+    rows = rows.select(*key, F.col("block_idx").cast("long").alias("block_idx"), "__b.source", T.trim(F.col("__b.target")).alias("target"))
     blank = T.trim(F.col("source")) == ""
-    alone = save(_alone(rows.where(F.col("target").isNull() & ~blank), provider))
-    rows = rows.where(F.col("target").isNotNull() | blank).unionByName(alone)
     reason = quality.guard(F.col("source"), F.col("target"), F.col("target"), pair)
-    rows = rows.withColumn("reason", F.when(~blank, reason))
+    told = lambda r: r.withColumn("reason", F.when(~blank, reason))
+    rows = save(told(rows))  # read three times
+    missed = F.col("target").isNull() & ~blank
+    alone = told(save(_alone(rows.where(missed).drop("reason"), provider)))
+    rows = rows.where(~missed).unionByName(alone)
     retried = save(_alone(rows.where("reason is not null").drop("reason"), provider)).withColumn("reason", reason)
     return rows.where("reason is null").unionByName(retried)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _places(indices: pd.Series, sizes: pd.Series) -> pd.Series:
+    """For each of so many blocks the place of the last hit with its index, null without one: only numbers go to Python."""
+
+    def places(found, n: int) -> list[int | None]:
+        last = {i: place for place, i in enumerate(() if found is None else found)}
+        return [last.get(i) for i in range(n)]
+
+    return pd.Series([places(*x) for x in zip(indices, sizes)])
+
+
 def _alone(rows: DataFrame, provider: Provider) -> DataFrame:
     """Each block as a payload of its own, without marks."""
     return provider.translate(rows.drop("target"), "source", "target").withColumn("target", T.trim(F.regexp_replace("target", f"{fixed.BLOCK_OPEN}\\d+{fixed.BLOCK_CLOSE}", "")))

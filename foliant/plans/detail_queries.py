@@ -96,8 +96,8 @@ def weak_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source and draft narrowed to every third block; nothing where that would be all of them or none."""
     source = T.block_payload(F.split("text", "\n"))
     d = _read(spark, sf_dir, "documents").select("doc_id", source.alias("s")).withColumn("d", F.upper("s"))
-    weak = F.filter(F.transform(T.split_blocks(F.col("s")), lambda x: x["index"]), lambda i: i % 3 == 1)
-    d = d.withColumn("scope", cost.weak_scope(F.col("s"), F.col("d"), weak))
+    weak = lambda blocks: F.filter(F.transform(blocks, lambda x: x["index"]), lambda i: i % 3 == 1)
+    d = cost.with_weak_scope(d, "s", "d", weak, "scope")
     return d.select("doc_id", F.sha2("scope.source", 256).alias("source_hash"), F.sha2("scope.draft", 256).alias("draft_hash"))
 
 
