@@ -90,6 +90,9 @@ def content_chapters(chunked: DataFrame, book: str = "source", doc_id: str = "do
     """The sample of each book: its first chapter of prose with enough words (else with any words,
     else any chapter with enough, with any, the first), up to the word limit, one chunk at least."""
     sized = chunked.select(book, doc_id, "ordinal", T.word_count(F.col("chunk_text")).alias("words"), linked_words(F.col("chunk_text")).alias("linked"))
+    path = store.folder(chunked.sparkSession, "sized")
+    sized.write.parquet(path)  # read twice, and texts are cut and counted once
+    sized = chunked.sparkSession.read.schema(sized.schema).parquet(path)
     chapters = sized.groupBy(book, doc_id).agg(F.sum("words").alias("w"), F.sum("linked").alias("l"))
     prose = ~((F.col("w") > 0) & (F.col("l") / F.nullif(F.col("w"), F.lit(0)) >= fixed.NAVIGATION_RATIO))
     rank = F.when(F.coalesce(prose, F.lit(True)) & (F.col("w") >= least), 0).when(F.coalesce(prose, F.lit(True)) & (F.col("w") > 0), 1).when(F.col("w") >= least, 2).when(F.col("w") > 0, 3).otherwise(4)
@@ -105,8 +108,12 @@ def linked_words(html: Column) -> Column:
     return F.aggregate(F.transform(inner, T.word_count), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def spread(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """`size` rows evenly spread over the order (all, if there are no more)."""
+def spread(df: DataFrame, order: list[str], size: int, fit: Column | None = None) -> DataFrame:
+    """`size` rows evenly spread over the order (all, if there are no more) of those that are fit."""
+    path = store.folder(df.sparkSession, "spread")
+    df.write.parquet(path)  # counted, sampled, dealt and read: what its columns cost is paid once
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    df = df if fit is None else df.where(fit)
     n = df.count()
     if n <= size:
         return df

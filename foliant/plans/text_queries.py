@@ -147,7 +147,7 @@ def first_content_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, words FROM eligible WHERE n <= 12 OR pos IN (SELECT floor(i * n::DOUBLE / 12)::BIGINT FROM range(12) r(i))""")
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.word_count(F.col("text")).alias("words"))
-    return chunking.spread(d.where(F.col("words") >= fixed.EVAL_MIN_WORDS), ["doc_id"], 12)
+    return chunking.spread(d, ["doc_id"], 12, F.col("words") >= fixed.EVAL_MIN_WORDS)
 
 
 @query(f"""WITH RECURSIVE {_chunks_sql(BUDGET)} SELECT c.doc_id, c.ordinal FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.doc_id)""")
