@@ -1,15 +1,18 @@
 """Ordered folds in parallel, by speculation.
 
 Some decisions depend on all that was decided before: whether a budget has room, who holds a job. Rows are dealt into ranges of their
-order, and all ranges run at once, each from a guess of the state that it starts with (at first: that nothing
-happened before). A range tells, for every key of the state that it touched, the value that it started from and the one that it left. What a key
-should have started from is what the last range before it that touched the key left; ranges that started from anything else
-run again from there, the others stay. When no start is wrong the decisions are those of one sequence, since the first range is
-right by itself and each range is right once those before it are.
-
-State lives in a table by range and key, so nothing but the numbers of wrong ranges passes the driver, and a range holds its own rows
-and the keys that they touch. A key that every range touches costs a row a range, and in the worst case as many rounds as ranges
-touch it one after another; ranges whose keys are not disturbed are computed once.
+order, and as many ranges as may run at once do, each from a guess of the state that it starts with. A range tells, for every key of the state that it
+touched, the value that it started from and the one that it left. What a key should have started from is what the last range before it that touched
+the key left; the ranges up to the first that started from anything else are right, since the first range is right by itself and each
+is right once those before it are. The next round takes as many ranges from there on.
+
+All ranges run once from nothing, which tells what they touch. The guess for the first range of a round is the state that the settled ranges left, so it is
+right; for the ranges behind it, it is that state too, with what the ranges between added to numbers when they ran last. A round runs a fixed number of ranges and
+lets the first settle once it touches nothing new, so the work does not grow with the square of the ranges even where every one changes what the next
+one needs (a sequence by nature then); where states settle, a round settles many.
+
+State lives in tables by range and key, so nothing but the numbers of ranges passes the driver, and a range holds its own rows and the keys that
+they touched before or that are settled.
 """
 
 from __future__ import annotations
@@ -76,19 +79,37 @@ def fold(rows: DataFrame, order: list[str], step: Callable[[State, dict], str],
         both = pa.concat_tables([decided, pa.table(keys).cast(decided.schema)])
         return both.append_column("__range", pa.array([place] * len(both), pa.int32()))
 
-    wrong: list[int] | None = None
-    while True:
-        todo = dealt if wrong is None else dealt.where(F.col("__range").isin(wrong))
+    def ran(todo: DataFrame, starts: DataFrame) -> None:
         store.save(todo.groupBy("__range").cogroup(starts.groupBy("__range")).applyInArrow(run, out_ddl), done, ["__range"])
-        read = spark.read.schema(out_ddl).parquet(done)
-        due = F.lag("__end").over(Window.partitionBy("__key").orderBy("__range"))  # a row a range that touched the key
-        keys = read.where("__key is not null").select("__range", "__key", "__start", due.alias("__value"))
-        wrong = sorted(r[0] for r in keys.where(~F.col("__start").eqNullSafe(F.col("__value"))).select("__range").distinct().collect())
-        if not wrong:
-            return read.where("__key is null").select(*columns, name)
-        path = store.folder(spark, "starts")  # a round replaces what its starts are computed from
-        keys.where(F.col("__range").isin(wrong)).select("__range", "__key", "__value").write.parquet(path)
-        starts = spark.read.schema(starts.schema).parquet(path)
+
+    def kept(d: DataFrame, what: str) -> DataFrame:
+        path = store.folder(spark, what)
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    ran(dealt, starts)
+    settled, ahead, number = 0, max(2, spark.sparkContext.defaultParallelism), lambda c: F.expr(f"try_cast({c} AS bigint)")
+    state = spark.createDataFrame([], "__key string, __end string")  # what the settled ranges left
+    while settled < ranges:
+        upto = min(ranges, settled + ahead)
+        now = F.col("__range").between(settled, upto - 1)
+        fresh = spark.read.schema(out_ddl).parquet(done).where("__key is not null").where(now).select("__range", "__key", "__start", "__end")
+        both = fresh.unionByName(state.select(F.lit(-1).alias("__range"), "__key", F.lit(None).cast("string").alias("__start"), "__end"))
+        before = Window.partitionBy("__key").orderBy("__range")  # a row a range of the round that touched the key
+        left = F.first(F.when(F.col("__range") < 0, F.col("__end"))).over(before)
+        due = F.lag("__end").over(before)
+        added = F.sum(F.when(F.col("__range") >= 0, number("__end") - F.coalesce(number("__start"), F.lit(0)))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+        told = both.select("*", left.alias("__left"), due.alias("__due"), added.alias("__added")).where("__range >= 0")
+        told = kept(told.withColumn("__guess", F.when(F.col("__added").isNotNull(), (F.coalesce(number("__left"), F.lit(0)) + F.col("__added")).cast("string")).otherwise(F.coalesce("__left", "__due"))), "told")
+        wrong = sorted(r[0] for r in told.where(~F.col("__start").eqNullSafe(F.col("__due"))).select("__range").distinct().collect())
+        right = wrong[0] if wrong else upto
+        if right > settled:
+            ends = told.where(F.col("__range") < right).groupBy("__key").agg(F.max_by("__end", "__range").alias("__end"))
+            state, settled = kept(state.join(ends, "__key", "left_anti").unionByName(ends), "state"), right
+        else:
+            starts = kept(told.where(F.col("__range").isin(wrong)).select("__range", "__key", F.col("__guess").alias("__value")), "starts")
+            ran(dealt.where(F.col("__range").isin(wrong)), starts)
+    return spark.read.schema(out_ddl).parquet(done).where("__key is null").select(*columns, name)
 
 
 def _ddl(df: DataFrame) -> str:
