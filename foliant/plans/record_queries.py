@@ -39,17 +39,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 CHAPTER = 10  # lines
 
 
+def _paths(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(F.concat(F.lit("book-"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("path"), "doc_id", "text")
+
+
+def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, title, chapters: a book a document, a chapter every ten lines; they are cut within the book's row, and only its text is shuffled."""
+    escaped = _paths(_read(spark, sf_dir, "documents")).withColumn("text", T.escape_entities(F.col("text")))
+    d = escaped.groupBy("path", "doc_id").agg(F.transform(F.collect_list("text"), lambda t: F.split(t, "\n")).alias("texts"))
+    # an id that comes twice is one book, its lines side by side
+    part = lambda k: F.sort_array(F.flatten(F.transform("texts", lambda t: F.transform(F.slice(t, k * CHAPTER + 1, CHAPTER), lambda x, i: F.struct(i.alias("i"), x.alias("line"))))))
+    body = lambda k: F.array_join(F.transform(part(k), lambda x: F.concat(F.lit("<p>"), x["line"], F.lit("</p>"))), "")
+    last = F.floor((F.array_max(F.transform("texts", F.size)) - 1) / CHAPTER).cast("int")
+    made = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.cast("long").alias("pos"), F.concat(F.lit("./text/c"), k.cast("string"), F.lit(".xhtml")).alias("href"), F.concat(F.lit("<html><body>"), body(k), F.lit("</body></html>")).alias("content")))
+    return d.select("path", F.concat(F.lit("Title  "), F.col("doc_id").cast("string")).alias("title"), made.alias("chapters"))
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, title, pos, href, content: a book a document, a chapter every ten lines."""
-    lines = T.lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("pos", F.floor(F.col("block_idx") / CHAPTER))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_idx", "line"))), lambda x: F.concat(F.lit("<p>"), T.escape_entities(x["line"]), F.lit("</p>"))), "")
-    made = lines.groupBy("doc_id", "pos").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("content"))
-    at = F.concat(F.lit("book-"), F.col("doc_id").cast("string"), F.lit(".epub"))
-    return made.select(at.alias("path"), F.concat(F.lit("Title  "), F.col("doc_id").cast("string")).alias("title"), "pos", F.concat(F.lit("./text/c"), F.col("pos").cast("string"), F.lit(".xhtml")).alias("href"), "content")
+    """path, title, pos, href, content."""
+    return _volumes(spark, sf_dir).select("path", "title", F.explode("chapters").alias("c")).select("path", "title", "c.*")
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epub.written(chapters(spark, sf_dir))
+    return epub.bound(_volumes(spark, sf_dir))
 
 
 CHAPTERS_SQL = f"""chapters AS (SELECT doc_id, idx // {CHAPTER} AS pos, string_agg('<p>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>', '' ORDER BY idx) AS body
@@ -85,15 +97,15 @@ NOTE = "machine translation & more"
 SELECT 'book-' || doc_id || '.epub' AS path, 'ok' AS status, n_chapters + 1 AS n_items, n_chapters + 1 AS n_spine, '<p>changed</p>' AS first_content, 1::BIGINT AS marks, true AS same_again FROM n""")
 def epub_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives with the first chapter replaced, the mark set and a colophon added, read back; and marked a second time."""
-    files = _books(spark, sf_dir)
+    changes = _paths(_read(spark, sf_dir, "documents")).select("path", F.lit("OEBPS/text/c0.xhtml").alias("href"), F.lit("<p>changed</p>").alias("content")).distinct()
     path = store.folder(spark, "delivered")
-    epub.rebuilt(files, files.select("path", F.lit("OEBPS/text/c0.xhtml").alias("href"), F.lit("<p>changed</p>").alias("content")), NOTE).write.parquet(path)
+    epub.rebuilt(_books(spark, sf_dir), changes, NOTE).write.parquet(path)
     made = spark.read.schema("path string, archive binary").parquet(path)
-    again = epub.rebuilt(made, spark.createDataFrame([], "path string, href string, content string"), NOTE)
-    both = epub.books(made).join(again.select("path", F.sha2("archive", 256).alias("twice")), "path").join(made.select("path", F.sha2("archive", 256).alias("once")), "path")
+    twice = epub.rebuilt(made.withColumn("once", F.col("archive")), None, NOTE, keep=["once"])
+    both = epub.books(twice.select("path", F.col("once").alias("archive"), (F.col("once") == F.col("archive")).alias("same_again")), keep=["same_again"])
     first = F.filter("chapters", lambda c: c["href"] == "OEBPS/text/c0.xhtml")[0]["content"]
     marks = F.regexp_count("package", F.lit("trainedAlgorithmicMedia")).cast("long")
-    return both.select("path", "status", F.size("items").cast("long").alias("n_items"), F.size("refs").cast("long").alias("n_spine"), first.alias("first_content"), marks.alias("marks"), (F.col("once") == F.col("twice")).alias("same_again"))
+    return both.select("path", "status", F.size("items").cast("long").alias("n_items"), F.size("refs").cast("long").alias("n_spine"), first.alias("first_content"), marks.alias("marks"), "same_again")
 
 
 _LIMITS = epub.Limits(entries=12, uncompressed=4000)
