@@ -88,16 +88,18 @@ class Reader(DataSourceReader):
         return [Share(x) for x in shares(books, self.partition_bytes)] or [Share([])]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        return epub.together(self._chapters(partition.books), pa.schema(list(_ROW.items())))
+
+    def _chapters(self, books: list[tuple[str, str, int]]) -> Iterator[tuple[list[dict], int]]:
         files, _ = opened(self.path)
-        for name, place, size in partition.books:  # one archive in memory at a time
+        for name, place, size in books:  # one archive in memory at a time
             raw = None
             if size <= self.limits.archive_bytes:
                 with files.open_input_stream(place) as f:
                     raw = f.read(self.limits.archive_bytes + 1)
             book = epub.unpack(raw, self.limits)
             chapters = book["chapters"] or [dict.fromkeys(epub._CHAPTER)]
-            rows = [{"path": name, "size": size, "status": book["status"], "title": book["title"], **c} for c in chapters]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_ROW.items())))
+            yield [{"path": name, "size": size, "status": book["status"], "title": book["title"], **c} for c in chapters], sum(len(c["content"] or "") for c in chapters)
 
 
 @dataclass
