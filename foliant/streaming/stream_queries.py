@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,37 +40,52 @@ def to_table(stream: DataFrame, mode: str = "append", at: str | None = None) ->
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def limited(stream: DataFrame, limit: int = LIMIT) -> DataFrame:
+def limited(stream: DataFrame, limit: int = LIMIT, slots: int = 512) -> DataFrame:
     """event_id, user_id, bucket, allowed with the counters of each user's open windows as state.
 
+    Users are dealt into `slots` keys, since each key costs calls, a user in it next to nothing; a null user is one by itself.
     Counters go when their window has passed by event time. Within a micro-batch requests are taken
-    in order of time, between batches in order of arrival. A user's rows stream by: only requests
-    that may still be allowed are held, `limit` a window at most.
+    in order of time, between batches in order of arrival. Rows stream by: only requests
+    that may still be allowed are held, `limit` a user and window at most.
     """
+    by, told = ["user", "bucket"], ["event_id", "user_id", "bucket", "allowed"]
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        told = ["event_id", "user_id", "bucket", "allowed"]
-        used = dict(zip(*state.get)) if state.exists else {}
-        first = None  # the earliest requests so far, as many as each window has room for
+        packed = np.frombuffer(bytes(state.get[0]), np.int64) if state.exists else np.empty(0, np.int64)
+        used = pd.DataFrame(packed.reshape(-1, 3), columns=[*by, "used"])
+        named = lambda rows, allowed: rows.assign(user_id=None if key[0] < 0 else rows["user"], allowed=allowed)[told]
+
+        def split(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+            rows = rows.sort_values(["ts", "event_id"])
+            before = rows[by].merge(used, "left", by)["used"].fillna(0).to_numpy()
+            fits = before + rows.groupby(by, dropna=False, sort=False).cumcount().to_numpy() < limit
+            return rows[fits], rows[~fits]
+
+        first, fresh = None, []  # the earliest requests so far, as many as each window has room for; and those not looked at
         for part in parts:
-            rows = (part if first is None else pd.concat([first, part])).sort_values(["ts", "event_id"])
-            fits = rows["bucket"].map(used).fillna(0) + rows.groupby("bucket").cumcount() < limit
-            first = rows[fits]
-            yield rows[~fits].assign(allowed=False)[told]  # enough earlier ones are known
-        for bucket, n in first["bucket"].value_counts().items():
-            used[int(bucket)] = used.get(int(bucket), 0) + int(n)
-        used = {b: n for b, n in used.items() if (b + WINDOW) * 1000 > state.getCurrentWatermarkMs()}
-        state.update((list(used), list(used.values())))
-        state.setTimeoutTimestamp(max((max(used, default=0) + WINDOW) * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield first.assign(allowed=True)[told]
+            fresh.append(part)
+            if first is None or sum(map(len, fresh)) >= len(first):
+                first, others = split(pd.concat([first, *fresh]) if first is not None else part)
+                fresh = []
+                yield named(others, False)  # enough earlier ones are known
+        if fresh:
+            first, others = split(pd.concat([first, *fresh]))
+            yield named(others, False)
+        taken = first.groupby(by, as_index=False).size().rename(columns={"size": "used"})
+        used = pd.concat([used, taken]).astype("int64").groupby(by, as_index=False)["used"].sum()
+        end = (used["bucket"] + WINDOW) * 1000
+        state.update((used[end > state.getCurrentWatermarkMs()].to_numpy(np.int64).tobytes(),))
+        state.setTimeoutTimestamp(max(int(end.max()) if len(end) else 0, state.getCurrentWatermarkMs()) + 1)
+        yield named(first, True)
 
     d = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
-    seconds = F.unix_seconds("ts")
-    keyed = d.withColumn("bucket", seconds - F.pmod(seconds, F.lit(WINDOW)))
-    return keyed.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, bucket long, allowed boolean", "buckets array<long>, used array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    seconds, user = F.unix_seconds("ts"), F.col("user_id")
+    slot = F.when(user.isNull(), -1).otherwise(F.pmod(F.xxhash64(user), F.lit(slots)))
+    keyed = d.select("event_id", F.coalesce(user, F.lit(0)).cast("long").alias("user"), "ts", (seconds - F.pmod(seconds, F.lit(WINDOW))).alias("bucket"), slot.alias("slot"))
+    return keyed.groupBy("slot").applyInPandasWithState(decide, "event_id long, user_id long, bucket long, allowed boolean", "packed binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @query(f"""WITH e AS (SELECT event_id, user_id, (floor(epoch(ts))::BIGINT // {WINDOW}) * {WINDOW} AS bucket, ts FROM events)
