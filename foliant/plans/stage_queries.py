@@ -15,7 +15,7 @@ from foliant.sources import epub, store
 
 def _kept(d: DataFrame) -> DataFrame:
     path = store.folder(d.sparkSession, "stage")
-    d.write.parquet(path)
+    d.write.option("compression", "zstd").parquet(path)  # texts, read a few times: small counts for more than fast
     return d.sparkSession.read.schema(d.schema).parquet(path)
 
 
