@@ -48,7 +48,8 @@ def untranslated(text: Column, source: str, target: str) -> Column:
     if source == target or source not in fixed.STOPWORDS:
         return F.lit(False)
     out = (T.stopword_hits(text, source) >= fixed.LANGUAGE_HITS) & (T.stopword_hits(text, target) < fixed.LANGUAGE_HITS)
-    return out & ~text.rlike(fixed.DISTINCTIVE[target]) if target in fixed.DISTINCTIVE else out
+    # one character of its own settles it, before words are looked for
+    return ~text.rlike(fixed.DISTINCTIVE[target]) & out if target in fixed.DISTINCTIVE else out
 
 
 def guard(source: Column, target_html: Column, target: Column, pair: tuple[str, str] = ("en", "hu")) -> Column:
